@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that hold one query each: NAME, query(spark, sf_dir) and, where SQL can express it, SQL.
-MODULES = ["op2_jaccard", "op3_tokens", "op7_packing", "op8_toxicity"]
+MODULES = ["op2_jaccard", "op3_tokens", "op7_packing", "op8_toxicity", "op9_quality"]
 
 
 def _modules() -> list:
