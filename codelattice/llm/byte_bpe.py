@@ -3,18 +3,21 @@
 A byte-level BPE never merges across pre-tokens, so a text's ids are those of its pre-tokens in a row. Most pre-tokens
 are whole vocabulary strings. Which vocabulary strings encode alone as their one token is proven offline, with the
 library itself (a rank order can make a string unreachable); these count as one without any merging. The rest is
-merged by the library, in batches, once for each distinct pre-token that a process remembers.
+merged once for each distinct pre-token that a process remembers: by rank, where the file's merges come in the order
+of their ids (that is checked), else by the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import struct
 import unicodedata
 from itertools import chain
 
+import numpy as np
 import regex
+import tiktoken
 from tokenizers import Tokenizer, pre_tokenizers
 
 from .common import MEMO_WORDS
@@ -66,55 +69,74 @@ def proven(tokenizer) -> list[str]:
     return [s for (s, own), e in zip(found, ids, strict=True) if e.ids == [own]]
 
 
+def ranked(tokenizer) -> tiktoken.Encoding | None:
+    """The same merges by rank; None where the merges aren't in the order of the ids or the model has options."""
+    letters, model = byte_letters(), json.loads(tokenizer.to_str())["model"]
+    merges = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if merges != sorted(merges) or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return None
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    ranks = {bytes(letters[c] for c in s): i for s, i in model["vocab"].items() if s not in special}
+    return tiktoken.Encoding("own", pat_str=PATTERN.pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
-    """Whole texts -> what `value` makes of the ids of their pre-tokens. Memory: MEMO_WORDS entries besides the vocabulary."""
+    """Whole texts -> counts of tokens, or packed ids (little-endian, 32 bits each). Special strings keep their own id, as by the library's default."""
 
-    def __init__(self, path: str, value, known: dict | None = None):
-        self.tokenizer, self.value = load(path), value
-        self.known = dict(known or {})
-        self.memo: dict = dict(self.known)
+    def __init__(self, path: str, known: set | None = None):
+        self.tokenizer = load(path)
+        self.by_rank = ranked(self.tokenizer)
+        self.known = dict.fromkeys(known or (), 1)
+        self.memo = dict(self.known)
         added = self.tokenizer.get_added_tokens_decoder()
-        special = {t.content: i for i, t in added.items()}
         assert all(not (t.lstrip or t.rstrip or t.single_word or t.normalized) for t in added.values()), "special tokens with options"
-        self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.special_values = {s: value([i]) for s, i in special.items()}
+        self.special = {t.content: i for i, t in added.items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda text: [text]
 
-    def pieces(self, text: str) -> list[str]:
-        """Pre-tokens; special strings stay whole, as by the library's default."""
-        if self.special is None or not self.special.search(text):
-            return cut(text)
-        out = []
-        for part in self.special.split(text):
-            out += [part] if part in self.special_values else cut(part)
-        return out
+    def merged(self, piece: str) -> list[int]:
+        if self.by_rank is not None:
+            return self.by_rank._encode_single_piece(piece.encode())
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
-    def __call__(self, texts: list[str]) -> list[list]:
-        """For each text the values of its pre-tokens, in order."""
-        cuts = [self.pieces(t) for t in texts]
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of each text: one for each special string and each proven pre-token, merges for the rest."""
         if len(self.memo) > MEMO_WORDS:
             self.memo = dict(self.known)
-        memo = self.memo
-        missing = list(set(chain.from_iterable(cuts)).difference(memo))
-        for s in [s for s in missing if s in self.special_values]:
-            memo[s] = self.special_values[s]
-        missing = [s for s in missing if s not in memo]
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            for s, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                memo[s] = self.value(e.ids)
-        return [list(map(memo.__getitem__, c)) for c in cuts]
+        memo, out = self.memo, []
+        for text in texts:
+            n = 0
+            for part in self.split(text):
+                if part in self.special:
+                    n += 1
+                    continue
+                pieces = cut(part)
+                for p in set(pieces).difference(memo):
+                    memo[p] = len(self.merged(p))
+                n += sum(map(memo.__getitem__, pieces))
+            out.append(n)
+        return out
+
+    def packed(self, text: str) -> bytes:
+        out = []
+        for part in self.split(text):
+            if part in self.special:
+                out.append(packed([self.special[part]]))
+            elif self.by_rank is not None and not _NOT_FAST.search(part):
+                out.append(self.by_rank.encode_to_numpy(part, disallowed_special=()).tobytes())
+            else:
+                out += [packed(self.merged(p)) for p in cut(part)]
+        return b"".join(out)
 
 
 def packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return np.array(ids, "<u4").tobytes()
 
 
 _ENCODERS: dict = {}
 
 
-def encoder(path: str, kind: str, known: dict | None = None) -> Encoder:
-    """One encoder of each kind ("count" or "packed") for a process; its memo serves all tasks that run there."""
-    key = path, kind
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, {"count": len, "packed": packed}[kind], known)
-    return _ENCODERS[key]
+def encoder(path: str, known: set | None = None) -> Encoder:
+    """One encoder for a process and file; its memo serves all tasks that run there."""
+    if (path, known is None) not in _ENCODERS:
+        _ENCODERS[path, known is None] = Encoder(path, known)
+    return _ENCODERS[path, known is None]

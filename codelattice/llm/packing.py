@@ -35,12 +35,12 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
     """One row for each piece of each document: its ids, then end_id; longer ones are cut into full pieces, the first may be shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = byte_bpe.encoder(tokenizer, "packed"), byte_bpe.packed([end_id])
+        encode, end = byte_bpe.encoder(tokenizer).packed, byte_bpe.packed([end_id])
         task, ranks = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for b in slices(batches):
             rows = []
-            for doc, values in zip(b.column(0).to_pylist(), encode([t.decode() for t in utf8(b.column(1))]), strict=True):
-                ids = memoryview(b"".join(values) + end)
+            for doc, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
+                ids = memoryview(encode(text.decode()) + end)
                 n = len(ids) // 4
                 at = [0] if n <= capacity else [*([0] if n % capacity else []), *range(n % capacity, n, capacity)]
                 for k, (s, e) in enumerate(zip(at, [*at[1:], n], strict=True)):

@@ -24,8 +24,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, text: str =
         library = byte_bpe.load(tokenizer)
         if '"type":"ByteLevel"' in library.to_str().replace(" ", "") and library.normalizer is None:
             # The proof runs here, once; its size is that of the vocabulary.
-            known = docs.sparkSession.sparkContext.broadcast(dict.fromkeys(byte_bpe.proven(library), 1))
-            count = lambda texts: [sum(v) for v in byte_bpe.encoder(tokenizer, "count", known.value)([t.decode() for t in texts])]
+            known = docs.sparkSession.sparkContext.broadcast(set(byte_bpe.proven(library)))
+            count = lambda texts: byte_bpe.encoder(tokenizer, known.value).counts([t.decode() for t in texts])
         else:
             count = lambda texts: [len(e.ids) for e in _whole(tokenizer).encode_batch([t.decode() for t in texts], add_special_tokens=False)]
     elif tokenizer.endswith(".model"):
