@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that hold one query each: NAME, query(spark, sf_dir) and, where SQL can express it, SQL.
-MODULES = ["op1_fixity", "op2_jaccard", "op3_tokens", "op7_packing", "op8_toxicity", "op9_quality", "op10_license"]
+MODULES = ["op1_fixity", "op2_jaccard", "op3_tokens", "op4_chat", "op5_decontaminate", "op6_search", "op7_packing", "op8_toxicity", "op9_quality", "op10_license"]
 
 
 def _modules() -> list:
