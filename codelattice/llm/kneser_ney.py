@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from .common import U64, mix, slices, utf8
 
 #: Documented bound: labelled texts of each class that are learned from, and how many of five go to the models (the rest fit the curve).
-TRAIN_DOCS, MODEL_SHARE = 4_000, 3
+TRAIN_DOCS, MODEL_SHARE = 3_000, 3
 #: Characters of context.
 ORDER = 6
 #: Kneser-Ney discount.
-DISCOUNT = 0.75
+DISCOUNT = 1.0
 #: Words scored together, and remembered by a process.
-MEMO = 500_000
+MEMO = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 _LONGEST = 40
 
@@ -39,27 +39,30 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _codes(ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Words with their ends marked, as rows of code points (0 pads), and their lengths. Longer words are cut into parts beforehand."""
-    n = np.array([len(w) + 2 for w in ws])
-    rows = np.zeros((len(ws), int(n.max(initial=2))), np.uint32)
-    flat = np.frombuffer("".join(f"\x02{w}\x03" for w in ws).encode("utf-32-le", "surrogatepass"), np.uint32)
-    rows[np.arange(rows.shape[1]) < n[:, None]] = flat
-    return rows, n
+def _flat(ws: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words with their ends marked, one after another: code points, places within their word, starts of the words."""
+    codes = np.frombuffer("".join(f"\x02{w}\x03" for w in ws).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
+    n = np.array([len(w) + 2 for w in ws], np.int64)
+    starts = np.cumsum(n) - n
+    return codes, np.arange(len(codes)) - np.repeat(starts, n), starts
 
 
-def _grams(rows: np.ndarray, k: int) -> np.ndarray:
-    """At each place the hash of the last k characters up to it; 0 where there are fewer."""
-    h = np.zeros(rows.shape, U64)
+def _grams(codes: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """At each place the hash of the last k characters up to it; 0 where the word has fewer. k = 0: 1 everywhere."""
+    h = np.full(len(codes), U64(1)) if not k else np.zeros(len(codes), U64)
     for back in range(k):
-        part = np.zeros(rows.shape, U64)
-        part[:, back:] = rows[:, : rows.shape[1] - back]
+        part = np.zeros(len(codes), U64)
+        part[back:] = codes[: len(codes) - back]
         h = mix(h ^ part, 7)
-    h[:, : k - 1] = 0
-    h[rows == 0] = 0
+    h[place < k - 1] = 0
     return h
 
 
+def _context(codes: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """At each place the hash of the k - 1 characters before it."""
+    return np.r_[U64(0), _grams(codes, place, k - 1)[:-1]] if k > 1 else _grams(codes, place, 0)
+
+
 class Table:
     """hash -> value by binary search over sorted hashes."""
 
@@ -84,64 +87,54 @@ class Models:
 
     def __init__(self, counts: dict[str, tuple[int, int]]):
         ws = sorted(w for w in counts if w)
-        rows, _ = _codes(ws)
-        number = np.array([counts[w] for w in ws], float)
-        letters = np.unique(rows)
-        self.floor = 1.0 / max(len(letters), 1)
-        grams = {k: _grams(rows, k) for k in range(1, ORDER + 1)}
-        context = {k: np.c_[np.zeros((len(rows), 1), U64), grams[k][:, :-1]] for k in grams}
-        self.top = []
-        for c in (0, 1):
-            self.top.append(self._levels({k: _summed(g[g > 0], np.repeat(number[:, c], (g > 0).sum(1))) for k, g in ((k, grams[k]) for k in (ORDER, ORDER - 1, ORDER - 2))}, grams, context))
-        # Continuation counts: how many different characters stand before a gram, over both classes.
-        shared = {}
-        for k in range(1, ORDER):
-            longer, own = grams[k + 1], grams[k]
-            ok = longer > 0
-            pairs = np.unique(np.stack([longer[ok], own[ok]]), axis=1)
-            shared[k] = _summed(pairs[1], np.ones(pairs.shape[1]))
-        self.shared = self._levels(shared, grams, context)
+        codes, place, starts = _flat(ws)
+        number = np.repeat(np.array([counts[w] for w in ws], float), np.diff(np.r_[starts, len(codes)]), axis=0)
+        self.floor = 1.0 / max(len(np.unique(codes)), 1)
+        self.top, self.shared = ({}, {}), {}
+        below = _grams(codes, place, 1)
+        for k in range(1, ORDER + 1):
+            g, below = below, _grams(codes, place, k + 1)
+            if k <= ORDER - 3:
+                # Continuation counts: how many different characters stand before a gram, over both classes.
+                ok = below > 0
+                _, first = np.unique(below[ok], return_index=True)
+                self.shared[k] = self._level(*_summed(g[ok][first], np.ones(len(first))), g, codes, place, k)
+            if k > ORDER - 3:
+                for c in (0, 1):
+                    self.top[c][k] = self._level(*_summed(g[g > 0], number[g > 0, c]), g, codes, place, k)
 
     @staticmethod
-    def _levels(counts, grams, context):
-        """k -> (discounted count of a gram, its context's total, its context's number of grams)."""
-        out = {}
-        for k, (keys, n) in counts.items():
-            g, h = grams[k].ravel(), context[k - 1].ravel() if k > 1 else np.where(grams[1] > 0, U64(1), U64(0)).ravel()
-            names, first = np.unique(g, return_index=True)
-            of = dict_of(names, h[first], keys)
-            known = n > 0
-            keys, n, of = keys[known], n[known], of[known]
-            totals, types = _summed(of, n), _summed(of, np.ones(len(n)))
-            out[k] = Table(keys, np.maximum(n - DISCOUNT, 0)), Table(*totals), Table(*types)
-        return out
+    def _level(keys, n, g, codes, place, k):
+        """Of the grams of one order: discounted counts; of their contexts: totals and numbers of grams."""
+        names, first = np.unique(g, return_index=True)
+        of = dict_of(names, _context(codes, place, k)[first], keys)
+        known = n > 0
+        keys, n, of = keys[known], n[known], of[known]
+        return Table(keys, np.maximum(n - DISCOUNT, 0)), Table(*_summed(of, n)), Table(*_summed(of, np.ones(len(n))))
 
     def log_ratio(self, ws: list[str]) -> np.ndarray:
         """For each word the toxic less the ordinary log-likelihood."""
-        rows, _ = _codes(ws)
-        grams = {k: _grams(rows, k) for k in range(1, ORDER + 1)}
+        codes, place, starts = _flat(ws)
 
         def step(level, k, below):
-            g = grams[k]
-            h = np.c_[np.zeros((len(rows), 1), U64), grams[k - 1][:, :-1]] if k > 1 else np.where(g > 0, U64(1), U64(0))
+            g, h = _grams(codes, place, k), _context(codes, place, k)
             count, total, types = (t(x) for t, x in zip(level[k], (g, h, h), strict=True))
             with np.errstate(divide="ignore", invalid="ignore"):
                 p = (count + DISCOUNT * types * below) / total
             return np.where((g > 0) & (total > 0), p, below)
 
-        p = np.full(rows.shape, self.floor)
-        lower = {}
-        for k in range(1, ORDER):
-            p = lower[k] = step(self.shared, k, p)
+        p = np.full(len(codes), self.floor)
+        for k in range(1, ORDER - 2):
+            p = step(self.shared, k, p)
         out = []
         for c in (0, 1):
-            q = lower[ORDER - 3]
+            q = p
             for k in (ORDER - 2, ORDER - 1, ORDER):
                 q = step(self.top[c], k, q)
             out.append(q)
         ratio = np.log(out[1]) - np.log(out[0])
-        ratio[:, 0] = 0
-        return np.where(rows > 0, ratio, 0).sum(1)
+        ratio[place == 0] = 0
+        return np.add.reduceat(ratio, starts)
 
 
 def dict_of(names: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
