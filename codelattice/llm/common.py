@@ -11,11 +11,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Rows that Python code takes from an Arrow batch at once.
 SLICE_ROWS = 512
 #: Entries of a memo of words; a memo only holds pure functions of its keys and is emptied beyond that.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
 #: Ids that may be broadcast (16 MB of longs in a hash relation); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -34,19 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, *parts: str) -> DataFrame:
+    """Write df once as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors. parts: columns to partition by."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table that stored() has made, once nothing reads it any more."""
+def dropped(df: DataFrame, part: str = "") -> None:
+    """Delete the files of a table that stored() has made (or of a partition, as "column=value"), once nothing reads them any more."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles() if part in x}:
         path = jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -96,3 +97,15 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
         return x ^ (x >> U64(31))
+
+
+def with_column(docs: DataFrame, name: str, kind: DataType, f) -> DataFrame:
+    """docs with one more column, computed from whole texts by f(list of UTF-8 texts) -> values; one pass, no shuffle."""
+    text = docs.columns.index("text")
+    assert name not in docs.columns, f"{name} is a column already"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(f(utf8(b.column(text))))], [*b.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, kind)]))

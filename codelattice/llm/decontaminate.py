@@ -164,7 +164,46 @@ def passages(words: list[bytes], t: np.ndarray, found: dict[int, np.ndarray], in
         yield item_id, -start, n, coverage, same
 
 
+class Matcher:
+    """Finds the passages of a block of items in whole texts."""
+
+    def __init__(self, index: Index):
+        self.index, self.canonical = index, Canonical()
+
+    def __call__(self, text: bytes) -> list[tuple]:
+        words = text.split()
+        if not len(self.index.keys):
+            return []
+        t, _ = self.canonical(words)
+        found = {w: (h, at) for w in self.index.widths if len(at := self.index.hits(h := windows(t, w)))}
+        return list(passages(words, t, found, self.index)) if found else []
+
+
+def matchers(spark, benchmark: DataFrame) -> Iterator:
+    """For each block of the benchmark a function that makes a Matcher, on an executor too."""
+    items = benchmark.select("item_id", "text").where("text is not null")
+    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    blocks = max(1, -(-int(total) // BLOCK_WORDS))
+    for block in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).orderBy("item_id", "text").toArrow()
+        index = spark.sparkContext.broadcast(Index(list(zip(part.column(0).to_pylist(), utf8(part.column(1).combine_chunks()), strict=True))))
+        yield lambda index=index: Matcher(index.value)
+
+
+def leak_tests(spark, benchmark: DataFrame) -> Iterator:
+    """For each block of the benchmark a function: texts -> whether each holds a passage."""
+    for matcher in matchers(spark, benchmark):
+
+        def leaks(texts: list[bytes], matcher=matcher, held=[]) -> list[bool]:  # noqa: B006  one matcher, and its memo, for a task
+            if not held:
+                held.append(matcher())
+            return [bool(held[0](t)) for t in texts]
+
+        yield leaks
+
+
 _FOUND = "doc_id long, item_id long, first_word long, n_words long, coverage double, exact boolean"
+_KINDS = pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -174,28 +213,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     whole text. Null and empty texts match nothing; items of the same text each give a row; a null item_id is an item, a
     null doc_id stays null.
     """
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").where("text is not null")
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    blocks = max(1, -(-int(total) // BLOCK_WORDS))
-    out = None
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).orderBy("item_id", "text").toArrow()
-        index = spark.sparkContext.broadcast(Index(list(zip(part.column(0).to_pylist(), utf8(part.column(1).combine_chunks()), strict=True))))
+    names, out = [c.split()[0] for c in _FOUND.split(", ")], None
+    for matcher in matchers(docs.sparkSession, benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            canonical, known = Canonical(), index.value
+        def run(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
+            match = matcher()
             for b in slices(batches):
-                rows = []
-                if len(known.keys):
-                    for doc_id, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
-                        words = text.split()
-                        t, _ = canonical(words)
-                        found = {w: (h, at) for w in known.widths if len(at := known.hits(h := windows(t, w)))}
-                        if found:
-                            rows += [(doc_id, *x) for x in passages(words, t, found, known)]
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], ["doc_id", "item_id", "first_word", "n_words", "coverage", "exact"])
+                rows = [(doc_id, *x) for doc_id, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True) for x in match(text)]
+                columns = zip(*rows, strict=True) if rows else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names)
 
         found = docs.select("doc_id", "text").mapInArrow(run, _FOUND)
         out = found if out is None else out.unionByName(found)

@@ -9,14 +9,15 @@ of two sketches is at most the size of the symmetric difference of the sets. Jac
 * In a band the hash space is cut into blocks, more than there can be differences. A block's content is the XOR (the
   parity) of its shingles' hashes. A difference touches one block, so two similar sets agree on a non-empty block.
   With the prefix principle over one global order of the block contents, the first D + 1 non-empty blocks suffice (D:
-  the most differences). The order puts blocks that hold frequent shingles last and fuller blocks first; it affects
+  the most differences). The order puts blocks that hold nothing but frequent shingles last and fuller blocks first; it affects
   the speed only.
 * A set that has no more than D non-empty blocks, and all sets in small bands, sign with single shingles.
 
 Signatures travel in packed blobs of 6 bytes each, dealt by ranges of the key space. In a range, small groups give all
 their pairs and large groups give a star around their smallest member. Pairs pass the bound on sketches of full
-length, then the exact comparison of whole texts. A large group whose star doesn't connect it is taken up again in
-rounds of pivots until its members are in one component or all their pairs have been compared, so no link is lost.
+length, then the exact comparison of whole texts. Where its star doesn't connect a large group, the sketches of its
+members are compared with each other in blocks; pairs of different components that the bound allows are compared
+exactly, the nearest first, until none is left. So no link between components is lost.
 
 Null or empty texts and texts without words have the empty set and no links. Rows with a null doc_id are returned
 with a null component. Where rows repeat a doc_id with other texts, each row gets the component of its own text, and
@@ -42,15 +43,19 @@ WORDS = 5
 #: A band whose sets stay below this signs with single shingles.
 RAW_BELOW = 128
 #: Blocks in a band, as a share of its largest size.
-BLOCKS = 0.45
+BLOCKS = 0.6
 #: Groups up to this size give all their pairs at once.
 SMALL_GROUP = 8
+#: Members of a large group that are compared as one block, and pairs that a member gives to each other component in the first turn.
+BLOCK_MEMBERS, TURN_PAIRS = 2_048, 32
 #: Documents of a task whose signatures are packed together (their places take 16 bits).
-PACK_DOCS = 16_384
+PACK_DOCS = 4_096
+#: Documents to a range of the key space.
+RANGE_DOCS = 8_192
 #: Signatures of a range that are in memory at once.
-RANGE_SIGNATURES = 8_000_000
+RANGE_SIGNATURES = 3_000_000
 #: Documents that are looked at for frequent shingles; they only set the order of blocks.
-ORDER_SAMPLE = 4_096
+ORDER_SAMPLE = 20_480
 #: Frequent shingles that are kept for the order (8 bytes each, broadcast).
 ORDER_SHINGLES = 131_072
 
@@ -81,8 +86,8 @@ def fingerprint(h: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """One bit flipped for each shingle, about four bits a shingle and a power of two in all."""
-    bits = 4 << len(h).bit_length()
+    """One bit flipped for each shingle, eight to sixteen bits a shingle and a power of two in all."""
+    bits = 8 << len(h).bit_length()
     counts = np.bincount((h & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(counts.astype(np.uint8), bitorder="little").tobytes()
 
@@ -101,40 +106,42 @@ def differences(a: int, b: int, percent: int) -> int:
     return (a + b) * (100 - percent) // (100 + percent)
 
 
-def _raw_keys(h: np.ndarray, frequent: np.ndarray, prefix: int, salt: int) -> np.ndarray:
+def _raw_keys(h: np.ndarray, late: np.ndarray, prefix: int, salt: int) -> np.ndarray:
     keys = mix(h ^ U64(salt), 5)
-    order = np.where(np.isin(h, frequent, assume_unique=True), U64(1) << U64(63), U64(0)) | (keys >> U64(1))
+    order = (late.astype(U64) << U64(63)) | (keys >> U64(1))
     return keys[np.argsort(order, kind="stable")[:prefix]]
 
 
 def signatures(h: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The keys of a set. Two sets with enough overlap share one at least."""
+    """The keys of a set. Two sets with enough overlap share one at least. frequent: sorted hashes."""
     a = len(h)
     if not a:
         return h
     own, most = a.bit_length() - 1, a * 100 // percent
+    late = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h if len(frequent) else np.zeros(a, bool)
+    places, parts = mix(h, 1) >> U64(32), mix(h, 2)
     found = []
     for band in (own, *range(own + 1, most.bit_length())):
         largest = min(most, (2 << band) - 1)
         smallest = -(-a * percent // 100) if band == own else 1 << band
         prefix = a - (-(-(a + smallest) * percent // (100 + percent))) + 1
         if 2 << band <= RAW_BELOW:
-            found.append(_raw_keys(h, frequent, prefix, band))
+            found.append(_raw_keys(h, late, prefix, band))
             continue
         d = differences(a, largest, percent)
-        blocks = int(BLOCKS * (2 << band))
-        block = ((mix(h, 1) >> U64(32)) * U64(blocks)) >> U64(32)
+        block = (places * U64(BLOCKS * (2 << band))) >> U64(32)
         order = np.argsort(block, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0])
-        parity = np.bitwise_xor.reduceat(mix(h, 2)[order], starts)
+        block = block[order]
+        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        parity = np.bitwise_xor.reduceat(parts[order], starts)
         full = np.diff(np.r_[starts, a])
-        late = np.bitwise_or.reduceat(np.isin(h, frequent, assume_unique=True)[order], starts) if len(frequent) else np.zeros(len(starts), bool)
+        last = np.bitwise_and.reduceat(late[order], starts)
         with np.errstate(over="ignore"):
-            keys = mix(parity ^ block[order][starts] * _C1 ^ U64(64 + band) * _C2)
-        rank = (late.astype(U64) << U64(63)) | ((U64(31) - np.minimum(full, 31).astype(U64)) << U64(58)) | (keys >> U64(6))
+            keys = mix(parity ^ block[starts] * _C1 ^ U64(64 + band) * _C2)
+        rank = (last.astype(U64) << U64(63)) | ((U64(31) - np.minimum(full, 31).astype(U64)) << U64(58)) | (keys >> U64(6))
         found.append(keys[np.argsort(rank, kind="stable")[: d + 1]])
         if len(starts) <= d:
-            found.append(_raw_keys(h, frequent, prefix, 128 + band))
+            found.append(_raw_keys(h, late, prefix, 128 + band))
     return np.concatenate(found)
 
 
@@ -261,6 +268,51 @@ def _near(percent: int):
     return run
 
 
+def _within(percent: int, turn: int):
+    """The pairs within a block of a group (or between two) whose sketches allow the similarity and whose components
+    differ: for each member and other component the nearest first, four times as many each turn. A pair (-1, -1) tells
+    that there are more."""
+    low, high = TURN_PAIRS * 4 ** (turn - 1) if turn else 0, TURN_PAIRS * 4**turn
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("n", "ascending"), ("id", "ascending")])
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        own, ids, comp, n = (t.column(c).to_numpy() for c in ("own", "id", "component", "n"))
+        raw = t.column("sketch").to_pylist()
+        at, out, more = 0, [], False
+        for stop in sorted({int(np.searchsorted(n, 2 * x)) for x in 1 << np.arange(int(n[-1]).bit_length())} | {len(n)}):
+            # Rows [at, stop) begin in one power of two; their partners reach as far as sizes allow.
+            if stop <= at:
+                continue
+            end = int(np.searchsorted(n, n[stop - 1] * 100 // percent, "right"))
+            width = len(raw[at])
+            bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), axis=0) for x in raw[at:end]])
+            bits = bits.view(np.uint64) if width % 8 == 0 else bits
+            for x in range(at, stop):
+                last = int(np.searchsorted(n, n[x] * 100 // percent, "right"))
+                y = np.arange(x + 1, last)
+                y = y[(comp[y] != comp[x]) & ((i == j) | (own[y] != own[x]))]
+                if len(y):
+                    apart = np.bitwise_count(bits[y - at] ^ bits[x - at]).sum(1, dtype=np.int64)
+                    ok = apart <= (n[x].astype(np.int64) + n[y]) * (100 - percent) // (100 + percent)
+                    y, apart = y[ok], apart[ok]
+                    if len(y):
+                        order = np.lexsort((ids[y], apart, comp[y]))
+                        y = y[order]
+                        first = np.flatnonzero(np.r_[True, comp[y][1:] != comp[y][:-1]])
+                        rank = np.arange(len(y)) - np.repeat(first, np.diff(np.r_[first, len(y)]))
+                        more |= bool((rank >= high).any())
+                        y = y[(rank >= low) & (rank < high)]
+                        out.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])))
+            at = stop
+        if more:
+            out.append((np.array([-1]), np.array([-1])))
+        a, b = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.table({"a": a, "b": b})
+
+    return run
+
+
 def _linked(percent: int):
     """The exact comparison of two whole texts."""
 
@@ -287,7 +339,7 @@ def _frequent(docs: DataFrame, n_docs: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
 
     some = docs.select("text").where(F.rand(17) < min(1.0, ORDER_SAMPLE / max(n_docs, 1)))
-    least = max(4, ORDER_SAMPLE // 400)
+    least = 4
     top = some.mapInArrow(shingles, "h long").groupBy("h").count().where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(ORDER_SHINGLES)
     return np.sort(np.array([r.h for r in top.collect()], np.int64).view(U64))
 
@@ -301,17 +353,18 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     n_docs = docs.count()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(parts, n_docs // 25_000, 1)
+    ranges = max(16, n_docs // RANGE_DOCS)
     frequent = spark.sparkContext.broadcast(_frequent(docs, n_docs))
-    signed = stored(docs.mapInArrow(_sign(ranges, frequent, percent), _SIGNED), "signed")
-    blobs = signed.where("rng is not null").select("rng", "node0", "blob").repartition(ranges, "rng").sortWithinPartitions("rng", "node0")
+    signed = stored(docs.mapInArrow(_sign(ranges, frequent, percent), _SIGNED).withColumn("kind", F.when(F.col("rng").isNull(), "set").otherwise("blob")), "signed", "kind")
+    blobs = signed.where("kind = 'blob'").select("rng", "node0", "blob").repartition(ranges, "rng").sortWithinPartitions("rng", "node0")
     paired = stored(blobs.mapInArrow(_pair, _PAIRED), "paired")
+    dropped(signed, "kind=blob")
+    signed = signed.where("kind = 'set'")
 
-    sets = signed.where("node is not null").select("doc_id", "node", "n", "fp1", "fp2")
+    sets = signed.select("doc_id", "node", "n", "fp1", "fp2")
     reps = sets.where("n > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.min("node").alias("node"), F.min("n").alias("n"))
     member = stored(sets.where("n > 0 and doc_id is not null").join(reps.select("fp1", "fp2", "rep"), ["fp1", "fp2"]).select("node", "rep"), "members")
-    sketches = signed.where("node is not null").select("node", "sketch").join(reps.select("node", "rep", "n"), "node").select("rep", "n", "sketch")
+    sketches = signed.select("node", "sketch").join(reps.select("node", "rep", "n"), "node").select("rep", "n", "sketch")
 
     def of(pairs: DataFrame) -> DataFrame:
         """Pairs of nodes -> distinct pairs of different sets, by their representatives."""
@@ -333,27 +386,25 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     star = stored(of(paired.where("l is not null").select("l", "r")), "star")
     links = compared(star).where("linked").select("a", "b")
     found = components(links)
-    groups = paired.where("gid is not null").select("gid", F.explode("members").alias("node")).join(member, "node").select("gid", F.col("rep").alias("id")).distinct()
-    pivots = 16
-    while True:
-        # Members of the groups that more than one component shares; each round compares them with more pivots.
-        labelled = groups.join(found, "id", "left").select("gid", "id", F.coalesce("component", "id").alias("component"))
-        split = labelled.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y").select("gid", "size")
-        open_groups = stored(labelled.join(split, "gid"), "open")
-        most = open_groups.agg(F.max("size")).first()[0]
-        if most is None:
-            break
-        share = F.least(F.lit(1.0), F.lit(float(pivots)) / F.col("size"))
-        chosen = open_groups.where(F.pmod(F.xxhash64("id", "gid"), F.lit(1_000_000)) < share * 1_000_000)
-        pairs = chosen.select("gid", F.col("id").alias("x"), F.col("component").alias("cx")).join(open_groups.select("gid", F.col("id").alias("y"), F.col("component").alias("cy")), "gid").where("cx <> cy")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-        more = compared(pairs).where("linked").select("a", "b")
-        dropped(open_groups)
+    groups = stored(paired.where("gid is not null").select("gid", F.explode("members").alias("node")).join(member, "node").select("gid", F.col("rep").alias("id")).distinct(), "groups")
+    # The groups that the stars leave in more than one component; their sketches are compared in blocks.
+    labelled = groups.join(found, "id", "left").select("gid", "id", F.coalesce("component", "id").alias("component"))
+    split = labelled.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
+    blocks = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(F.col("own"), k).alias("i"), F.greatest(F.col("own"), k).alias("j")))
+    members = labelled.join(split.select("gid", blocks.alias("blocks")), "gid").withColumn("own", own)
+    members = members.select("gid", "id", "component", "own", F.explode(cells).alias("cell")).select("gid", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "own", "id", "component")
+    members = members.join(sketches.toDF("id", "n", "sketch"), "id").select("gid", "i", "j", "own", "id", "component", "n", "sketch")
+    turn = 0
+    while True:  # a second turn only where a member has more than TURN_PAIRS such pairs with one other component
+        pairs = stored(members.groupBy("gid", "i", "j").applyInArrow(_within(percent, turn), "a long, b long").distinct(), "cross")
+        more = stored(compared(pairs.where("a <> b").join(star, ["a", "b"], "left_anti")).where("linked").select("a", "b"), "more")
         links = links.union(more)
-        found = components(links)
-        if pivots >= most:  # by now all members have been pivots
+        if pairs.where("a = b").isEmpty():
             break
-        pivots *= 4
+        turn += 1
+    found = components(links)
     named = member.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component_id"))
     rows = sets.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles")).join(named, "node", "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

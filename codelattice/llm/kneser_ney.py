@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .common import U64, mix, slices, utf8
+from .common import U64, mix, slices, utf8, with_column
 
 #: Documented bound: labelled texts of each class that are learned from, and how many of five go to the models (the rest fit the curve).
 TRAIN_DOCS, MODEL_SHARE = 3_000, 3
@@ -226,27 +227,34 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Scorer, np.ndarray] | Non
     return scorer, fit_logistic(scorer.evidence([t or "" for t in rest.column(0).to_pylist()]), y)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) -> (doc_id, held_out, score, predicted), one row for each row of docs.
-
-    Null and empty texts and texts without letters have no evidence and get the curve's value at none (0 where there
-    is nothing to learn from). A null doc_id is not held out.
-    """
+def scoring(docs: DataFrame, labels: DataFrame):
+    """A function: texts -> scores, as learned from docs and their labels; 0 where there is nothing to learn from."""
     learned = train(docs, labels)
     if learned is not None:
         learned[0].memo = {}
     model = docs.sparkSession.sparkContext.broadcast(learned)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            if model.value is None:
-                score = np.zeros(b.num_rows)
-            else:
-                scorer, w = model.value
-                x = scorer.evidence([t.decode() for t in utf8(b.column(1))])
-                score = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -40, 40)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], ["doc_id", "score"])
-
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
+    def score(texts: list[bytes]) -> np.ndarray:
+        if model.value is None:
+            return np.zeros(len(texts))
+        scorer, w = model.value
+        x = scorer.evidence([t.decode() for t in texts])
+        return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -40, 40)))
+
+    return score
+
+
+def judged(docs: DataFrame, score, least: float) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, held_out, score, predicted); a null doc_id is not held out."""
+    scored = with_column(docs.select("doc_id", "text"), "score", DoubleType(), score)
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, held_out, score, predicted), one row for each row of docs.
+
+    Null and empty texts and texts without letters have no evidence and get the curve's value at none (0 where there
+    is nothing to learn from).
+    """
+    return judged(docs, scoring(docs, labels), 0.5)
