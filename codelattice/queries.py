@@ -57,9 +57,6 @@ def _rows(entries):
     return entries.select(ticket("source").alias("source"), "edge_kind", F.coalesce(ticket("target"), F.lit("")).alias("target"), F.when(F.col("edge_kind") == "", F.col("fact_name")).otherwise("").alias("fact_name"), F.col("fact_value").cast("string").alias("value"))
 
 
-SUPPLIER_3 = node("supplier/3")
-
-
 @query(LIFT + "SELECT ticket AS source, '' AS edge_kind, '' AS target, name AS fact_name, value FROM facts WHERE ticket = 'graph://tpch?lang=tpch#part%2F7'", ["parts_"])
 def store_read_node_facts(x):
     return _rows(store.read(x.entries, node("part/7")))
@@ -67,12 +64,12 @@ def store_read_node_facts(x):
 
 @query(LIFT + "SELECT ticket AS source, '' AS edge_kind, '' AS target, name AS fact_name, value FROM facts WHERE ticket = 'graph://tpch?lang=tpch#supplier%2F3' UNION ALL SELECT src, kind, dst, '', '' FROM edges WHERE src = 'graph://tpch?lang=tpch#supplier%2F3'", ["suppliers"])
 def store_read_all(x):
-    return _rows(store.read(x.entries, SUPPLIER_3, "*"))
+    return _rows(store.read(x.entries, node("supplier/3"), "*"))
 
 
 @query(LIFT + "SELECT src AS source, kind AS edge_kind, dst AS target, '' AS fact_name, '' AS value FROM edges WHERE src = 'graph://tpch?lang=tpch#supplier%2F3' AND kind = '/graph/edge/childof'", ["suppliers"])
 def store_read_kind(x):
-    return _rows(store.read(x.entries, SUPPLIER_3, V.edge("childof")))
+    return _rows(store.read(x.entries, node("supplier/3"), V.edge("childof")))
 
 
 @query(LIFT + "SELECT name AS fact_name, count(*) AS n, min(ticket) AS first_ticket FROM facts WHERE starts_with(name, '/graph/loc') GROUP BY name", ["anchors", "suppliers"])
