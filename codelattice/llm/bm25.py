@@ -1,13 +1,13 @@
 """Exact top-k search by BM25 over an inverted index, shard by shard, with block-max pruning.
 
-Documents are dealt into shards of bounded size; each shard has an inverted index with the largest impact of every term, and
-of every term in each block of documents. Every query meets every shard: a task holds one shard's index and streams the
-queries past it in blocks. Scores use the document frequencies, number and mean length of all documents, so the shards'
-top k merge into the exact top k.
+Documents are dealt into shards of bounded size, and each shard's inverted index is written once to the shared folder: terms,
+their documents, frequencies. Queries go out in blocks of bounded size; a task holds one shard's index and answers a whole
+block. Scores use the document frequencies, number and mean length of all documents, so the shards' top k merge into
+the exact top k.
 
 For a query, terms are split as in WAND: the weakest, whose largest impacts together stay below the k-th best score so
 far, can't lift a document into the top k alone, so only documents of the other terms are candidates. A candidate's score
-on those, plus the block maxima of the weak terms in its block, bounds it; only what the bound leaves is scored in full.
+on those, plus the block maxima of the weak terms in its block, bounds it; what the bound leaves is scored in full.
 Dropping nothing that could tie, the result is exact; equal scores rank by doc_id.
 """
 
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import U64, Memo, hashed, slices, stored, utf8, word_hashes
 
 K1, B = 1.2, 0.75
-#: Documents to a shard, documents to a block.
-SHARD_DOCS, BLOCK = 24_000, 64
+#: Documents to a shard, documents to a block of them, queries that go out together (about 5 KB each).
+SHARD_DOCS, BLOCK, QUERY_BLOCK = 14_000, 32, 3_000
 #: Scores are rounded to so many digits, in which ties are seen.
 DIGITS = 6
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -45,26 +45,40 @@ def terms(texts: list[bytes], memo: Memo) -> tuple[np.ndarray, np.ndarray, np.nd
     return of[at], h[at], np.diff(np.r_[at, len(h)]), n
 
 
+def packed_index(ids: np.ndarray, of: np.ndarray, h: np.ndarray, tf: np.ndarray, lengths: np.ndarray) -> dict:
+    """The postings of some documents by term, as bytes."""
+    order = np.argsort(h, kind="stable")  # documents stay in order within a term
+    h, of, tf = h[order], of[order], tf[order]
+    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    return {"ids": ids.astype("<i8").tobytes(), "lengths": lengths.astype("<u4").tobytes(), "names": h[starts].astype("<u8").tobytes(), "starts": starts.astype("<u4").tobytes(), "docs": of.astype("<u2").tobytes(), "tf": tf.astype("<u4" if len(tf) and tf.max() > 65_535 else "<u2").tobytes()}
+
+
 class Shard:
-    """The inverted index of some documents. Postings lie by term, in order of the documents."""
-
-    def __init__(self, ids: np.ndarray, of: np.ndarray, h: np.ndarray, tf: np.ndarray, lengths: np.ndarray, mean: float):
-        self.ids = ids
-        impact = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[of] / max(mean, 1e-9)))).astype(np.float64)
-        order = np.lexsort((of, h))
-        h, self.doc, self.impact = h[order], of[order].astype(np.int32), impact[order]
-        new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
-        self.starts = np.flatnonzero(new)
-        self.names = h[self.starts]
-        self.ends = np.r_[self.starts[1:], len(h)]
-        self.most = np.maximum.reduceat(self.impact, self.starts) if len(h) else np.zeros(0)
+    """The inverted index of some documents, and the same postings by document."""
+
+    def __init__(self, row: dict, mean: float):
+        self.ids, lengths, self.names = (np.frombuffer(row[c], t) for c, t in (("ids", "<i8"), ("lengths", "<u4"), ("names", "<u8")))
+        self.doc = np.frombuffer(row["docs"], "<u2").astype(np.int32)
+        n = len(self.doc)
+        tf = np.frombuffer(row["tf"], "<u2" if len(row["tf"]) == 2 * n else "<u4").astype(float)
+        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / max(mean, 1e-9)))
+        self.starts = np.frombuffer(row["starts"], "<u4").astype(np.int64)
+        self.ends = np.r_[self.starts[1:], n]
+        self.impact = impact.astype(np.float32)  # bounds only; exact scores come from the documents' side
+        self.most = np.maximum.reduceat(self.impact, self.starts).astype(float) if n else np.zeros(0)
         # Block maxima: one entry for each term and block in which it occurs.
         block = self.doc // BLOCK
-        cut = np.flatnonzero(new | np.r_[True, block[1:] != block[:-1]]) if len(h) else np.zeros(0, np.int64)
-        self.block_of, self.block_most = block[cut], np.maximum.reduceat(self.impact, cut) if len(h) else np.zeros(0)
+        new = np.zeros(n, bool)
+        new[self.starts] = True
+        cut = np.flatnonzero(new | np.r_[True, block[1:] != block[:-1]]) if n else np.zeros(0, np.int64)
+        self.block_of, self.block_most = block[cut], np.maximum.reduceat(self.impact, cut) if n else np.zeros(0, np.float32)
         self.block_starts = np.searchsorted(cut, self.starts)
         self.block_ends = np.r_[self.block_starts[1:], len(cut)]
-        self.blocks = len(ids) // BLOCK + 1
+        self.blocks = len(self.ids) // BLOCK + 1
+        order = np.argsort(self.doc, kind="stable")
+        self.terms_of, self.exact_of = np.repeat(np.arange(len(self.names), dtype=np.int32), self.ends - self.starts)[order], impact[order]
+        self.doc_ends = np.cumsum(np.bincount(self.doc, minlength=len(self.ids)))
+        self.weights = np.zeros(len(self.names))
 
     def top(self, h: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best (doc_id, score) of this shard for a query of terms with weights; only scores above 0."""
@@ -78,58 +92,56 @@ class Shard:
         order = np.argsort(bound, kind="stable")
         at, weight, bound = at[order], weight[order], bound[order]
         total = np.cumsum(bound)
-        slack = 1e-9 * total[-1] + 10.0**-DIGITS
-
-        def gather(part):
-            n = self.ends[at[part]] - self.starts[at[part]]
-            rows = np.arange(n.sum()) + np.repeat(self.starts[at[part]] - np.cumsum(n) + n, n)
-            return self.doc[rows], self.impact[rows] * np.repeat(weight[part], n)
-
+        slack = 1e-5 * total[-1] + 10.0**-DIGITS
+        self.weights[at] = weight
         # A first threshold: full scores of the documents that are best on the strongest terms.
         size = np.cumsum((self.ends - self.starts)[at][::-1])
-        strong = slice(len(at) - max(1, int(np.searchsorted(size, 4 * k + len(self.ids) // 16))), len(at))
-        doc, part = gather(strong)
-        score = np.bincount(doc, part, len(self.ids))
-        seeds = np.argpartition(-score, min(2 * k, len(score) - 1))[: 2 * k]
-        full = self.full(at, weight, seeds)
-        threshold = np.sort(full)[-k] if len(full) >= k else 0.0
+        strong = len(at) - max(1, int(np.searchsorted(size, len(self.ids) // 8)))
+        score = self.sums(at, weight, strong, len(at))
+        threshold = self.kth(np.argpartition(-score, min(2 * k, len(score) - 1))[: 2 * k], k)
         weak = int(np.searchsorted(total, threshold - slack)) if threshold > 0 else 0
-        doc, part = gather(slice(weak, len(at)))
-        score = np.bincount(doc, part, len(self.ids))
+        if weak < strong:
+            score += self.sums(at, weight, weak, strong)
+        else:
+            weak = strong
         found = np.flatnonzero(score > 0)
-        if weak and len(found):
+        upper = score[found]
+        if weak:
             # Block maxima of the weak terms bound what they can add.
-            n = self.block_ends[at[:weak]] - self.block_starts[at[:weak]]
-            rows = np.arange(n.sum()) + np.repeat(self.block_starts[at[:weak]] - np.cumsum(n) + n, n)
-            more = np.bincount(self.block_of[rows], self.block_most[rows] * np.repeat(weight[:weak], n), self.blocks)
-            found = found[score[found] + more[found // BLOCK] >= threshold - slack]
-            exact = self.full(at, weight, found)
-        else:
-            exact = score[found]
-        exact = np.round(exact, DIGITS)
+            more = self.sums(at, weight, 0, weak, blocks=True)
+            upper = upper + more[found // BLOCK]
+        if len(found) > 4 * k:
+            threshold = max(threshold, self.kth(found[np.argpartition(-upper, 2 * k)[: 2 * k]], k))
+        found = found[upper >= threshold - slack]
+        exact = np.round(self.full(found), DIGITS)
+        self.weights[at] = 0
         best = np.lexsort((self.ids[found], -exact))[:k]
         return self.ids[found[best]], exact[best]
 
-    def full(self, at: np.ndarray, weight: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Scores of some documents over all terms, each term's list read by bisection where it is longer than they are many."""
-        docs = np.asarray(docs)
-        order = np.argsort(docs)
-        some, out = docs[order].astype(np.int32), np.zeros(len(docs))
-        for t, w in zip(at, weight, strict=True):
-            s, e = self.starts[t], self.ends[t]
-            if e - s < len(some):
-                x = np.searchsorted(some, self.doc[s:e])
-                ok = x < len(some)
-                ok[ok] = some[x[ok]] == self.doc[s:e][ok]
-                out[x[ok]] += self.impact[s:e][ok] * w
-            else:
-                x = s + np.searchsorted(self.doc[s:e], some)
-                ok = x < e
-                ok[ok] = self.doc[x[ok]] == some[ok]
-                out[ok] += self.impact[x[ok]] * w
-        back = np.empty_like(out)
-        back[order] = out
-        return back
+    def sums(self, at, weight, low: int, high: int, blocks: bool = False) -> np.ndarray:
+        """Weighted impacts of some of a query's terms, by document, or the block maxima by block."""
+        starts, ends, where, what, n = (self.block_starts, self.block_ends, self.block_of, self.block_most, self.blocks) if blocks else (self.starts, self.ends, self.doc, self.impact, len(self.ids))
+        s, size = starts[at[low:high]], ends[at[low:high]] - starts[at[low:high]]
+        rows = np.arange(size.sum()) + np.repeat(s - np.cumsum(size) + size, size)
+        return np.bincount(where[rows], what[rows] * np.repeat(weight[low:high], size), n)
+
+    def kth(self, docs: np.ndarray, k: int) -> float:
+        full = self.full(docs)
+        return float(np.partition(full, -k)[-k]) if len(full) >= k else 0.0
+
+    def full(self, docs: np.ndarray) -> np.ndarray:
+        """Exact scores of some documents, from all their terms that have a weight now."""
+        if not len(docs):
+            return np.zeros(0)
+        ends = self.doc_ends[docs]
+        size = ends - np.where(docs > 0, self.doc_ends[docs - 1], 0)
+        last = np.cumsum(size)
+        rows = np.arange(last[-1]) + np.repeat(ends - last, size)
+        return np.bincount(np.repeat(np.arange(len(docs)), size), self.exact_of[rows] * self.weights[self.terms_of[rows]], len(docs))
+
+
+_INDEX = "shard int, ids binary, lengths binary, names binary, starts binary, docs binary, tf binary"
+_INDEX_ARROW = pa.schema([("shard", pa.int32())] + [(c, pa.binary()) for c in ("ids", "lengths", "names", "starts", "docs", "tf")])
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -139,6 +151,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     whole text. Only documents that share a term are ranked, so a query may have fewer than k rows, or none if its
     text is null or empty. Rows with a null id are not searched; rows that repeat a doc_id are ranked each for itself.
     """
+    spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     queries = queries.select("query_id", "text").where("query_id is not null")
 
@@ -177,43 +190,53 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(h.view(np.int64))], ["id", "h"])
 
     asked = queries.mapInArrow(query_terms, "id long, h long").distinct().join(stats.where("kind = 2").select("h", "n"), "h")
-    weight = F.log(1 + (F.lit(float(n_docs)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    asked = asked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("h", weight.alias("w")))).alias("q"))  # bounded by a query's text
-    every = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "id", F.col("q.h").alias("terms"), F.col("q.w").alias("weights"), F.lit(None).cast("string").alias("text"))
-    held = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"), F.col("doc_id").alias("id"), F.lit(None).cast("array<long>").alias("terms"), F.lit(None).cast("array<double>").alias("weights"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = held.unionByName(every).repartition(shards, "shard").sortWithinPartitions("shard", F.col("text").isNull(), "id")
+    asked = asked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("h", "n"))).alias("q"))  # bounded by a query's text
+    n_queries = asked.count() if shards else 0
+    rounds = max(1, -(-n_queries // QUERY_BLOCK))
+    asked = stored(asked.select(F.pmod(F.xxhash64("id"), F.lit(rounds)).cast("int").alias("round"), "id", F.col("q.h").alias("h"), F.col("q.n").alias("n")), "queries")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, at, held, base = word_hashes(), None, [], 0
+
+        def row():
+            parts = [np.concatenate([x[i] for x in held]) for i in range(5)]
+            fields = {"shard": at} | packed_index(*parts)
+            return pa.RecordBatch.from_pylist([fields], schema=_INDEX_ARROW)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_hashes()
-        at, held, shard = None, [], None
         for b in slices(batches, 1024):
-            for rows in _runs(b):
-                if rows.column(0)[0].as_py() != at:
-                    at, held, shard = rows.column(0)[0].as_py(), [], None
-                if rows.column(4).null_count == 0:
-                    held.append((rows.column(1).to_numpy(), *terms(utf8(rows.column(4)), memo)))
+            shard = b.column(0).to_numpy()
+            cuts = np.r_[0, np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(shard)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if e == s:
                     continue
-                if shard is None:
-                    if not held:
-                        continue
-                    base = np.cumsum([0, *(len(x[0]) for x in held)])
-                    shard = Shard(np.concatenate([x[0] for x in held]), np.concatenate([x[1] + o for x, o in zip(held, base, strict=False)]), *(np.concatenate([x[i] for x in held]) for i in (2, 3, 4)), mean)
-                    held = [held[0]]
-                out = []
-                for q, h, w in zip(rows.column(1).to_pylist(), rows.column(2), rows.column(3), strict=True):
-                    ids, scores = shard.top(h.values.to_numpy().view(U64), w.values.to_numpy(), k)
-                    out.append((np.full(len(ids), q), ids, scores))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in range(3)], ["query_id", "doc_id", "score"])
-
-    best = dealt.mapInArrow(search, "query_id long, doc_id long, score double")
+                if shard[s] != at:
+                    if held:
+                        yield row()
+                    at, held, base = int(shard[s]), [], 0
+                of, h, tf, n = terms(utf8(b.column(2).slice(s, e - s)), memo)
+                held.append((b.column(1).slice(s, e - s).to_numpy(), (of + base).astype(np.uint16), h, tf.astype(np.uint32), n.astype(np.uint32)))
+                base += e - s
+        if held:
+            yield row()
+
+    # The running number of a row deals documents evenly, however often a doc_id repeats.
+    dealt = docs.select(F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"), "doc_id", "text").repartitionByRange(shards, "shard").sortWithinPartitions("shard")
+    index = stored(dealt.mapInArrow(build, _INDEX), "index")
+    best = None
+    for r in range(rounds):
+        block = asked.where(F.col("round") == r).select("id", "h", "n").toArrow().combine_chunks()  # QUERY_BLOCK queries, more or less
+        ids, h, n = (block.column(c).combine_chunks() for c in range(3)) if block.num_rows else (pa.array([], pa.int64()),) * 3
+        packed = spark.sparkContext.broadcast((ids.to_numpy(), h.offsets.to_numpy(), h.values.to_numpy().view(U64), n.values.to_numpy()) if block.num_rows else None)
+
+        def search(batches: Iterator[pa.RecordBatch], packed=packed) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for row in b.to_pylist() if packed.value else ():
+                    shard, (ids, ends, h, n) = Shard(row, mean), packed.value
+                    weight = np.log(1 + (n_docs - n + 0.5) / (n + 0.5))
+                    out = [(q, *shard.top(h[s:e], weight[s:e], k)) for q, s, e in zip(ids, ends[:-1], ends[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x[1]) for x in out])), pa.array(np.concatenate([x[1] for x in out])), pa.array(np.concatenate([x[2] for x in out]))], ["query_id", "doc_id", "score"])
+
+        found = index.mapInArrow(search, "query_id long, doc_id long, score double")
+        best = found if best is None else best.unionByName(found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
-
-
-def _runs(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch within which the shard, and whether rows are documents or queries, stays the same."""
-    kind = b.column(0).to_numpy().astype(np.int64) * 2 + b.column(4).is_null().to_numpy(zero_copy_only=False)
-    cuts = np.r_[0, np.flatnonzero(kind[1:] != kind[:-1]) + 1, len(kind)]
-    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-        if e > s:
-            yield b.slice(s, e - s)
