@@ -16,10 +16,13 @@ from pyspark.sql.types import DataType, StructField, StructType
 #: Rows that Python code takes from an Arrow batch at once.
 SLICE_ROWS = 512
 #: Entries of a memo of words; a memo only holds pure functions of its keys and is emptied beyond that.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 #: Ids that may be broadcast (16 MB of longs in a hash relation); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
+#: Rows of whole texts that go to Python in one Arrow batch while a table is stored; the session's own bound serves short rows.
+BATCH_ROWS, TEXT_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
+
 U64 = np.uint64
 
 
@@ -39,7 +42,12 @@ def stored(df: DataFrame, name: str, *parts: str) -> DataFrame:
     """Write df once as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors. parts: columns to partition by."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*parts).parquet(path)
+    usual = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(min(int(usual), TEXT_BATCH) if int(usual) > 0 else TEXT_BATCH))
+    try:
+        df.write.partitionBy(*parts).parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, usual)
     return spark.read.schema(df.schema).parquet(path)
 
 

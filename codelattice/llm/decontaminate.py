@@ -50,7 +50,7 @@ def _canonical(word: bytes) -> int:
     lower = bare.decode(errors="replace").lower().encode()
     flags = _STOP if word.rstrip(b"\"')]\xc2\xbb")[-1:] in (b".", b"!", b"?", b":") else 0
     digits = sum(48 <= c < 58 for c in bare)
-    if digits and 2 * digits >= len(bare):
+    if bare.lstrip(b"+-$")[:1].isdigit() and 2 * digits >= len(bare):
         flags |= _NUMBER
     elif bare[:1].isupper() or bare and bare.decode(errors="replace")[0].isupper():
         flags |= _CAPITAL

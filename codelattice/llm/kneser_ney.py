@@ -31,7 +31,7 @@ ORDER = 6
 #: Kneser-Ney discount.
 DISCOUNT = 1.0
 #: Words scored together, and remembered by a process.
-MEMO = 400_000
+MEMO = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 _LONGEST = 40
 
@@ -154,8 +154,8 @@ class Scorer:
         if len(self.memo) > MEMO:
             self.memo = {}
         missing = sorted(set(chain.from_iterable(cuts)).difference(self.memo))
-        for i in range(0, len(missing), 20_000):
-            ws = missing[i : i + 20_000]
+        for i in range(0, len(missing), 10_000):
+            ws = missing[i : i + 10_000]
             parts = [[w[j : j + _LONGEST] for j in range(0, len(w), _LONGEST)] for w in ws]
             flat = self.models.log_ratio(list(chain.from_iterable(parts)))
             ends = np.cumsum([len(p) for p in parts])

@@ -80,7 +80,7 @@ WITH t(license, grams) AS (VALUES {rows}),
 lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
 units AS (SELECT doc_id, unnest(CASE WHEN len(parts) > 1 THEN list_append(parts, text) ELSE [text] END) AS unit FROM lines),
 words AS (SELECT doc_id, string_split(trim(regexp_replace(lower(unit), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM units),
-numbered AS (SELECT row_number() OVER () AS unit_id, doc_id, w FROM words WHERE len(w) BETWEEN 2 AND 200),
+numbered AS (SELECT row_number() OVER () AS unit_id, doc_id, w FROM words WHERE len(w) >= 2),
 grams AS (SELECT unit_id, doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM numbered),
 scored AS (SELECT unit_id, doc_id, license, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM grams, t),
 best AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY dice DESC, license) AS k FROM scored WHERE dice >= {dice})

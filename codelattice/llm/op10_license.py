@@ -4,7 +4,6 @@ from .common import table
 from .license_scan import license_scan, sql
 
 NAME = "op10_license_scan"
-#: Units of over 200 words are beyond every template's size bound; the SQL leaves them out for that reason alone.
 SQL = sql()
 
 
