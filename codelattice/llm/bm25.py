@@ -5,15 +5,15 @@ their documents, frequencies. Queries go out in blocks of bounded size; a task h
 block. Scores use the document frequencies, number and mean length of all documents, so the shards' top k merge into
 the exact top k.
 
-For a query, terms are split as in WAND: the weakest, whose largest impacts together stay below the k-th best score so
-far, can't lift a document into the top k alone, so only documents of the other terms are candidates. A candidate's score
-on those, plus the block maxima of the weak terms in its block, bounds it; what the bound leaves is scored in full.
-Dropping nothing that could tie, the result is exact; equal scores rank by doc_id.
+For a query, terms are split as in WAND. The rare ones are read in full. The common ones, whose impacts are small, are only
+bounded at first, by their maxima in each block of documents: a document whose score on the rare terms plus its block's
+bound stays below the k-th best score so far is out. What the bound leaves is scored on the common terms too. Dropping
+nothing that could tie, the result is exact; equal scores rank by doc_id.
 """
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -26,27 +26,41 @@ from .common import U64, Memo, hashed, slices, stored, utf8, word_hashes
 
 K1, B = 1.2, 0.75
 #: Documents to a shard, documents to a block of them, queries that go out together (about 5 KB each).
-SHARD_DOCS, BLOCK, QUERY_BLOCK = 14_000, 32, 3_000
+SHARD_DOCS, BLOCK, QUERY_BLOCK = 14_000, 16, 3_000
+#: Share of a shard's documents from which a term counts as common.
+COMMON = 0.1
 #: Scores are rounded to so many digits, in which ties are seen.
 DIGITS = 6
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Bytes of words (A-Z lowered, all beyond ASCII kept); others part them.
+_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def terms(texts: list[bytes], memo: Memo) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each text its distinct terms: text numbers, term hashes, frequencies; and the texts' lengths."""
-    words = [_WORD.findall(t.lower()) for t in texts]
-    n = np.array([len(w) for w in words], np.int64)
-    h = hashed(list(chain.from_iterable(words)), memo)
-    of = np.repeat(np.arange(len(texts)), n)
-    order = np.lexsort((h, of))
-    h, of = h[order], of[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])] if len(h) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    return of[at], h[at], np.diff(np.r_[at, len(h)]), n
+    counts = [Counter(t.translate(_WORDS).split()) for t in texts]
+    size = np.array([len(c) for c in counts], np.int64)
+    tf = np.fromiter(chain.from_iterable(c.values() for c in counts), np.int64, size.sum())
+    of = np.repeat(np.arange(len(texts)), size)
+    return of, hashed(list(chain.from_iterable(counts)), memo), tf, np.bincount(of, tf, len(texts)).astype(np.int64)
 
 
 def packed_index(ids: np.ndarray, of: np.ndarray, h: np.ndarray, tf: np.ndarray, lengths: np.ndarray) -> dict:
-    """The postings of some documents by term, as bytes."""
+    """The postings of some documents by term, as bytes.
+
+    Documents with the same most frequent common term (so mostly of one language) and like lengths get neighbouring
+    numbers, which makes block maxima tight.
+    """
+    if len(h):
+        names, at, df = np.unique(h, return_inverse=True, return_counts=True)
+        favourite = np.lexsort((names[at], tf * (df[at] > 0.05 * len(ids)), of))  # the last of a document is its favourite
+        last = np.flatnonzero(np.r_[of[favourite][1:] != of[favourite][:-1], True])
+        key = np.full(len(ids), -1, np.int64)
+        key[of[favourite][last]] = at[favourite][last]
+        by = np.lexsort((lengths, key))
+        place = np.empty(len(ids), np.int64)
+        place[by] = np.arange(len(ids))
+        ids, lengths, of = ids[by], lengths[by], place[of]
+        h, of, tf = (x[np.argsort(of, kind="stable")] for x in (h, of, tf))
     order = np.argsort(h, kind="stable")  # documents stay in order within a term
     h, of, tf = h[order], of[order], tf[order]
     starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
@@ -54,31 +68,25 @@ def packed_index(ids: np.ndarray, of: np.ndarray, h: np.ndarray, tf: np.ndarray,
 
 
 class Shard:
-    """The inverted index of some documents, and the same postings by document."""
+    """The inverted index of some documents. Terms that many of them hold also have a dense row, and block maxima."""
 
     def __init__(self, row: dict, mean: float):
         self.ids, lengths, self.names = (np.frombuffer(row[c], t) for c, t in (("ids", "<i8"), ("lengths", "<u4"), ("names", "<u8")))
         self.doc = np.frombuffer(row["docs"], "<u2").astype(np.int32)
         n = len(self.doc)
         tf = np.frombuffer(row["tf"], "<u2" if len(row["tf"]) == 2 * n else "<u4").astype(float)
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / max(mean, 1e-9)))
+        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / max(mean, 1e-9)))
         self.starts = np.frombuffer(row["starts"], "<u4").astype(np.int64)
         self.ends = np.r_[self.starts[1:], n]
-        self.impact = impact.astype(np.float32)  # bounds only; exact scores come from the documents' side
-        self.most = np.maximum.reduceat(self.impact, self.starts).astype(float) if n else np.zeros(0)
-        # Block maxima: one entry for each term and block in which it occurs.
-        block = self.doc // BLOCK
-        new = np.zeros(n, bool)
-        new[self.starts] = True
-        cut = np.flatnonzero(new | np.r_[True, block[1:] != block[:-1]]) if n else np.zeros(0, np.int64)
-        self.block_of, self.block_most = block[cut], np.maximum.reduceat(self.impact, cut) if n else np.zeros(0, np.float32)
-        self.block_starts = np.searchsorted(cut, self.starts)
-        self.block_ends = np.r_[self.block_starts[1:], len(cut)]
-        self.blocks = len(self.ids) // BLOCK + 1
-        order = np.argsort(self.doc, kind="stable")
-        self.terms_of, self.exact_of = np.repeat(np.arange(len(self.names), dtype=np.int32), self.ends - self.starts)[order], impact[order]
-        self.doc_ends = np.cumsum(np.bincount(self.doc, minlength=len(self.ids)))
-        self.weights = np.zeros(len(self.names))
+        common = np.flatnonzero(self.ends - self.starts > max(64, COMMON * len(self.ids)))
+        self.row_of = np.full(len(self.names), -1, np.int32)
+        self.row_of[common] = np.arange(len(common))
+        self.blocks = -(-len(self.ids) // BLOCK)
+        self.dense = np.zeros((len(common), self.blocks * BLOCK))
+        for k, t in enumerate(common):
+            self.dense[k, self.doc[self.starts[t] : self.ends[t]]] = self.impact[self.starts[t] : self.ends[t]]
+        self.rough = self.dense.astype(np.float32)  # for bounds
+        self.block_most = self.dense.reshape(len(common), self.blocks, BLOCK).max(2) if len(common) else np.zeros((0, self.blocks))
 
     def top(self, h: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best (doc_id, score) of this shard for a query of terms with weights; only scores above 0."""
@@ -88,56 +96,38 @@ class Shard:
         at, weight = at[ok], weight[ok]
         if not len(at):
             return self.ids[:0], np.zeros(0)
-        bound = self.most[at] * weight
-        order = np.argsort(bound, kind="stable")
-        at, weight, bound = at[order], weight[order], bound[order]
-        total = np.cumsum(bound)
-        slack = 1e-5 * total[-1] + 10.0**-DIGITS
-        self.weights[at] = weight
-        # A first threshold: full scores of the documents that are best on the strongest terms.
-        size = np.cumsum((self.ends - self.starts)[at][::-1])
-        strong = len(at) - max(1, int(np.searchsorted(size, len(self.ids) // 8)))
-        score = self.sums(at, weight, strong, len(at))
-        threshold = self.kth(np.argpartition(-score, min(2 * k, len(score) - 1))[: 2 * k], k)
-        weak = int(np.searchsorted(total, threshold - slack)) if threshold > 0 else 0
-        if weak < strong:
-            score += self.sums(at, weight, weak, strong)
-        else:
-            weak = strong
-        found = np.flatnonzero(score > 0)
-        upper = score[found]
-        if weak:
-            # Block maxima of the weak terms bound what they can add.
-            more = self.sums(at, weight, 0, weak, blocks=True)
-            upper = upper + more[found // BLOCK]
-        if len(found) > 4 * k:
-            threshold = max(threshold, self.kth(found[np.argpartition(-upper, 2 * k)[: 2 * k]], k))
-        found = found[upper >= threshold - slack]
-        exact = np.round(self.full(found), DIGITS)
-        self.weights[at] = 0
+        row = self.row_of[at]
+        rare, weak, w = row < 0, row[row >= 0], weight[row >= 0]
+        # The rare terms are read in full: they make the candidates.
+        score = self.sums(at[rare], weight[rare])
+        full = lambda docs: score[docs] + w @ self.dense[np.ix_(weak, docs)]
+        # What the common terms can add at most to the documents of a block; documents without a rare term included.
+        more = w @ self.block_most[weak]
+        upper = score + np.repeat(more, BLOCK)[: len(score)]
+        threshold = 0.0
+        for guess in (score, upper):  # the k-th best of a few promising documents bounds the k-th best of all from below
+            first = full(np.argpartition(-guess, min(3 * k, len(score) - 1))[: 3 * k])
+            threshold = max(threshold, float(np.partition(first, -k)[-k])) if len(first) >= k else 0.0
+        slack = 1e-9 * (score.max() + (more.max() if len(more) else 0)) + 10.0**-DIGITS
+        found = np.flatnonzero(upper >= threshold - slack)
+        if len(found) > 64 * k:
+            # Blocks alone don't tell these apart; their common terms are added up in single precision.
+            low, high = found[0], found[-1] + 1
+            near = score[low:high] + w.astype(np.float32) @ self.rough[weak, low:high]
+            first = full(low + np.argpartition(-near, 3 * k)[: 3 * k])
+            threshold = max(threshold, float(np.partition(first, -k)[-k]))
+            found = low + np.flatnonzero(near >= threshold * (1 - 1e-4) - slack)
+        exact = full(found)
+        exact = np.round(exact, DIGITS)
+        found, exact = found[exact > 0], exact[exact > 0]
         best = np.lexsort((self.ids[found], -exact))[:k]
         return self.ids[found[best]], exact[best]
 
-    def sums(self, at, weight, low: int, high: int, blocks: bool = False) -> np.ndarray:
-        """Weighted impacts of some of a query's terms, by document, or the block maxima by block."""
-        starts, ends, where, what, n = (self.block_starts, self.block_ends, self.block_of, self.block_most, self.blocks) if blocks else (self.starts, self.ends, self.doc, self.impact, len(self.ids))
-        s, size = starts[at[low:high]], ends[at[low:high]] - starts[at[low:high]]
+    def sums(self, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Weighted impacts of some terms, by document."""
+        s, size = self.starts[at], self.ends[at] - self.starts[at]
         rows = np.arange(size.sum()) + np.repeat(s - np.cumsum(size) + size, size)
-        return np.bincount(where[rows], what[rows] * np.repeat(weight[low:high], size), n)
-
-    def kth(self, docs: np.ndarray, k: int) -> float:
-        full = self.full(docs)
-        return float(np.partition(full, -k)[-k]) if len(full) >= k else 0.0
-
-    def full(self, docs: np.ndarray) -> np.ndarray:
-        """Exact scores of some documents, from all their terms that have a weight now."""
-        if not len(docs):
-            return np.zeros(0)
-        ends = self.doc_ends[docs]
-        size = ends - np.where(docs > 0, self.doc_ends[docs - 1], 0)
-        last = np.cumsum(size)
-        rows = np.arange(last[-1]) + np.repeat(ends - last, size)
-        return np.bincount(np.repeat(np.arange(len(docs)), size), self.exact_of[rows] * self.weights[self.terms_of[rows]], len(docs))
+        return np.bincount(self.doc[rows], self.impact[rows] * np.repeat(weight, size), len(self.ids))
 
 
 _INDEX = "shard int, ids binary, lengths binary, names binary, starts binary, docs binary, tf binary"

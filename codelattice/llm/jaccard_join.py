@@ -53,7 +53,7 @@ PACK_DOCS = 4_096
 #: Documents to a range of the key space.
 RANGE_DOCS = 8_192
 #: Signatures of a range that are in memory at once.
-RANGE_SIGNATURES = 3_000_000
+RANGE_SIGNATURES = 2_500_000
 #: Documents that are looked at for frequent shingles; they only set the order of blocks.
 ORDER_SAMPLE = 20_480
 #: Frequent shingles that are kept for the order (8 bytes each, broadcast).
@@ -202,45 +202,56 @@ def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blobs, sorted by range -> pairs of nodes that share a key, and the members of large groups."""
 
     def grouped(rng: int, keys: np.ndarray, nodes: np.ndarray, chunked: bool):
-        """Also returns for each key its smallest node, to carry on with."""
-        order = np.lexsort((nodes, keys))
-        keys, nodes = keys[order], nodes[order]
-        new = np.r_[True, keys[1:] != keys[:-1]]
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.r_[starts, len(keys)])
-        carry = keys[starts], nodes[starts]
-        size, first = np.repeat(sizes, sizes), np.repeat(starts, sizes)
-        left, right = [], []
-        for d in range(1, SMALL_GROUP):
-            i = np.flatnonzero((size[d:] <= SMALL_GROUP) & (size[d:] > d) & (first[d:] == first[:-d])) if len(keys) > d else []
-            if len(i):
-                left.append(nodes[i])
-                right.append(nodes[i + d])
-        i = np.flatnonzero((size > SMALL_GROUP) & ~new)
-        left.append(nodes[first[i]])
-        right.append(nodes[i])
-        l, r = np.concatenate(left), np.concatenate(right)
+        """Pairs and large groups of a range, a part of its keys at a time. Returns each key with its smallest node, to carry on with."""
+        left, right, carry_keys, carry_nodes, told = [], [], [], [], set()
+        part = (keys >> np.uint32(29)).astype(np.uint8)
+        for p in range(8):
+            some = np.flatnonzero(part == p)
+            if not len(some):
+                continue
+            k, v = keys[some], nodes[some]
+            order = np.lexsort((v, k))
+            k, v = k[order], v[order]
+            new = np.r_[True, k[1:] != k[:-1]]
+            starts = np.flatnonzero(new)
+            sizes = np.diff(np.r_[starts, len(k)])
+            carry_keys.append(k[starts])
+            carry_nodes.append(v[starts])
+            # Keys of one node alone, most of them, are left out from here on.
+            shared = np.repeat(sizes > 1, sizes)
+            k, v, new = k[shared], v[shared], new[shared]
+            sizes = sizes[sizes > 1]
+            starts = np.cumsum(sizes) - sizes
+            size, first = np.repeat(sizes, sizes), np.repeat(starts, sizes)
+            for d in range(1, SMALL_GROUP):
+                i = np.flatnonzero((size[d:] <= SMALL_GROUP) & (first[d:] == first[:-d])) if len(k) > d else []
+                if len(i):
+                    left.append(v[i])
+                    right.append(v[i + d])
+            i = np.flatnonzero((size > SMALL_GROUP) & ~new)
+            left.append(v[first[i]])
+            right.append(v[i])
+            for g in np.flatnonzero(sizes > SMALL_GROUP):
+                s, e = starts[g], starts[g] + sizes[g]
+                gid = xxhash.xxh64_intdigest(v[s:e].tobytes()) if not chunked else xxhash.xxh64_intdigest(f"{rng} {k[s]}")
+                if gid not in told:
+                    told.add(gid)
+                    parts = [v[x : min(x + 8192, e)] for x in range(s, e, 8192)]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array(np.full(len(parts), gid, U64).view(np.int64)), pa.array(parts, pa.list_(pa.int64()))], schema=_PAIRED_ARROW)
+        l, r = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         if len(l):
             names, at = np.unique(np.r_[l, r], return_inverse=True)
             both = np.unique(at[: len(l)].astype(U64) * U64(len(names)) + at[len(l) :].astype(U64))
             l, r = names[(both // U64(len(names))).astype(np.int64)], names[(both % U64(len(names))).astype(np.int64)]
             ok = l != r
             l, r = l[ok], r[ok]
-            for k in range(0, len(l), 65_536):
-                n = len(l[k : k + 65_536])
-                yield pa.RecordBatch.from_arrays([pa.array(l[k : k + n]), pa.array(r[k : k + n]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], schema=_PAIRED_ARROW)
-        told, big = set(), np.flatnonzero(sizes > SMALL_GROUP)
-        for k in big:
-            s, e = starts[k], starts[k] + sizes[k]
-            gid = xxhash.xxh64_intdigest(nodes[s:e].tobytes()) if not chunked else xxhash.xxh64_intdigest(f"{rng} {keys[s]}")
-            if gid not in told:
-                told.add(gid)
-                parts = [nodes[x : min(x + 8192, e)] for x in range(s, e, 8192)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array(np.full(len(parts), gid, U64).view(np.int64)), pa.array(parts, pa.list_(pa.int64()))], schema=_PAIRED_ARROW)
-        return carry
+            for x in range(0, len(l), 65_536):
+                n = len(l[x : x + 65_536])
+                yield pa.RecordBatch.from_arrays([pa.array(l[x : x + n]), pa.array(r[x : x + n]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], schema=_PAIRED_ARROW)
+        return np.concatenate(carry_keys), np.concatenate(carry_nodes)
 
     at, keys, nodes, held, chunked = None, [], [], 0, False
-    for b in batches:
+    for b in slices(batches, 8):
         for rng, node0, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             if rng != at or held > RANGE_SIGNATURES:
                 if held:

@@ -26,8 +26,8 @@ from .common import U64, mix, slices, utf8, with_column
 
 #: Documented bound: labelled texts of each class that are learned from, and how many of five go to the models (the rest fit the curve).
 TRAIN_DOCS, MODEL_SHARE = 3_000, 3
-#: Characters of context.
-ORDER = 6
+#: Characters of a gram, and those of the lower orders, which both classes share.
+ORDER, SHARED = 6, 1
 #: Kneser-Ney discount.
 DISCOUNT = 1.0
 #: Words scored together, and remembered by a process.
@@ -95,12 +95,12 @@ class Models:
         below = _grams(codes, place, 1)
         for k in range(1, ORDER + 1):
             g, below = below, _grams(codes, place, k + 1)
-            if k <= ORDER - 3:
+            if k <= SHARED:
                 # Continuation counts: how many different characters stand before a gram, over both classes.
                 ok = below > 0
                 _, first = np.unique(below[ok], return_index=True)
                 self.shared[k] = self._level(*_summed(g[ok][first], np.ones(len(first))), g, codes, place, k)
-            if k > ORDER - 3:
+            else:
                 for c in (0, 1):
                     self.top[c][k] = self._level(*_summed(g[g > 0], number[g > 0, c]), g, codes, place, k)
 
@@ -125,12 +125,12 @@ class Models:
             return np.where((g > 0) & (total > 0), p, below)
 
         p = np.full(len(codes), self.floor)
-        for k in range(1, ORDER - 2):
+        for k in range(1, SHARED + 1):
             p = step(self.shared, k, p)
         out = []
         for c in (0, 1):
             q = p
-            for k in (ORDER - 2, ORDER - 1, ORDER):
+            for k in range(SHARED + 1, ORDER + 1):
                 q = step(self.top[c], k, q)
             out.append(q)
         ratio = np.log(out[1]) - np.log(out[0])
