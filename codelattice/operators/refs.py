@@ -108,3 +108,34 @@ def related_definitions(graph: Graph) -> DataFrame:
     """(node, related, definition): nodes that an edge relates, either way, where the related one has a definition."""
     pairs = graph.edges_all().where(~edgekinds.is_anchor_edge("kind", graph.v)).select(F.col("src").alias("node"), F.col("dst").alias("related")).distinct()
     return pairs.join(definitions(graph).withColumnRenamed("node", "related"), "related").select("node", "related", "definition")
+
+
+def at_point(graph: Graph, file: str, offset: int) -> DataFrame:
+    """What a point of a file refers to: (start, end, kind, target, target_kind, definition), innermost spans first."""
+    d = decorations(graph, offset, offset, "around", file)
+    kinds = graph.wide().select(F.col("ticket").alias("target"), F.col("kind").alias("target_kind"))
+    known = definitions(graph).withColumnRenamed("node", "target")
+    return d.join(kinds, "target", "left").join(known, "target", "left").select("start", "end", "kind", "target", "target_kind", "definition").orderBy(F.col("end") - F.col("start"), "start", "kind", "target")
+
+
+#: The letter of a node kind in tag files.
+TAG_LETTERS = {"record": "c", "function": "f", "variable": "v", "package": "p", "interface": "i", "constant": "d", "macro": "d", "sum": "g", "talias": "t"}
+
+
+def tags(graph: Graph) -> DataFrame:
+    """(file, line, node, letter): binding definitions as a tag file has them."""
+    r = narrow_references(graph).where(F.col("kind") == graph.v.edge("defines/binding"))
+    kinds = graph.wide().select(F.col("ticket").alias("target"), F.col("kind").alias("node_kind"))
+    letters = F.create_map(*(F.lit(x) for pair in TAG_LETTERS.items() for x in pair))
+    placed = r.join(kinds, "target").join(files(graph), "file")
+    return placed.select("file", spans.point("text", "start")["line_number"].alias("line"), F.col("target").alias("node"), F.coalesce(letters[F.col("node_kind")], F.lit("?")).alias("letter"))
+
+
+def path(graph: Graph, start: DataFrame, *kinds: str) -> DataFrame:
+    """(start, end): nodes reached from start(ticket) along one edge of each kind in turn, % turning an edge round."""
+    e = graph.edges_all()
+    at = start.select(F.col("ticket").alias("start"), F.col("ticket").alias("at"))
+    for k in kinds:
+        step = e.where(F.col("kind") == k).select(F.col("src").alias("at"), F.col("dst").alias("next"))
+        at = at.join(step, "at").select("start", F.col("next").alias("at")).distinct()
+    return at.select("start", F.col("at").alias("end"))

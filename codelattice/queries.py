@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import edgekinds, spans, text
+from .functions import diff, edgekinds, html, render, spans, text
 from .functions.uri import basename, clean_path, dirname, parse_ticket, ticket
-from .model import VOCABULARY, valid_entry, vname
-from .operators import content, refs, store, xrefs
+from .model import VNAME, VOCABULARY, valid_entry, vname
+from .operators import content, refs, store, units, xrefs
 from .operators import graph as g
 from .operators.graph import Graph
 from .plans import patterns
+from .sources import entries as entry_streams
 from .sources.lift import SQL as LIFT
 from .sources.lift import Lift, node
 from .sources.lift import facts as lifted_facts
@@ -409,6 +410,86 @@ def pattern_ordinal(x):
     return patterns.solve(x, 'T %param.1 C T ./tpch/role Role Role = "assistant"').select("C", "T")
 
 
+# --- streams, tools and renderings ---
+
+
+@query(LIFT + "SELECT '' AS edge_kind, count(*) AS n FROM facts WHERE ticket LIKE '%supplier%' GROUP BY 1 UNION ALL SELECT kind, count(*) FROM edges WHERE src LIKE '%supplier%' GROUP BY kind", ["suppliers"])
+def entries_wire_roundtrip(x):
+    return store.counts_by_kind(entry_streams.decoded(entry_streams.encoded(x.entries)).distinct())
+
+
+@query(LIFT + "SELECT ticket AS source, '' AS edge_kind, '' AS target, count(*)::INT AS n_properties FROM facts WHERE ticket LIKE '%nation%' OR ticket LIKE '%region%' OR ticket LIKE '%customer%' GROUP BY ticket UNION ALL SELECT src, kind, dst, 1 FROM edges WHERE src LIKE '%nation%' OR src LIKE '%customer%'", ["places"])
+def entries_aggregated(x):
+    return store.aggregated(x.entries).select("source", "edge_kind", F.coalesce("target", F.lit("")).alias("target"), F.size("properties").alias("n_properties"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'new' ELSE 'old' END AS value FROM nation", lift=False)
+def store_upsert(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    rows = lambda value, df: df.select(node(F.concat(F.lit("nation/"), F.col("n_nationkey").cast("string"))).alias("source"), F.lit("").alias("edge_kind"), F.lit(None).cast(VNAME).alias("target"), F.lit("/v").alias("fact_name"), F.lit(value).cast("binary").alias("fact_value"))
+    both = store.upserted(rows("old", n), rows("new", n.where("n_nationkey % 2 = 0")))
+    return both.select(F.substring_index("source.signature", "/", -1).cast("long").alias("n_nationkey"), F.col("fact_value").cast("string").alias("value"))
+
+
+@query(LIFT + DEFINITIONS_SQL + """SELECT r."start" AS "start", r."end" AS "end", r.kind, r.target, f.value AS target_kind, d.definition FROM refs r LEFT JOIN facts f ON f.ticket = r.target AND f.name = '/graph/node/kind' LEFT JOIN definitions d ON d.node = r.target
+    WHERE r.file = 'graph://tpch?path=orders/7' AND r."start" <= 12 AND r."end" >= 12""", XREF)
+def what_is_at(x):
+    return refs.at_point(x, "graph://tpch?path=orders/7", 12)
+
+
+@query(LIFT + REFS_SQL + """SELECT file, ("start" // 10 + 1)::INT AS line, target AS node, CASE f.value WHEN 'record' THEN 'c' ELSE 'f' END AS letter FROM refs JOIN facts f ON f.ticket = target AND f.name = '/graph/node/kind' WHERE kind = '/graph/edge/defines/binding'""", XREF)
+def tag_export(x):
+    return refs.tags(x)
+
+
+@query("SELECT DISTINCT 'graph://tpch?lang=tpch#region%2F' || n_regionkey AS \"start\", 'graph://tpch?lang=tpch#nation%2F' || c_nationkey AS \"end\" FROM customer JOIN nation ON c_nationkey = n_nationkey", ["places"])
+def path_query(x):
+    regions = x.wide().where(F.contains("ticket", F.lit("region"))).select("ticket")
+    return refs.path(x, regions, "%" + V.edge("childof"), "%" + V.edge("typed"), V.edge("typed"))
+
+
+@query(LIFT + """, w AS (SELECT DISTINCT src AS anchor, "start", "end" FROM edges JOIN (SELECT ticket, value::INT AS "start" FROM facts WHERE name = '/graph/loc/start') s ON s.ticket = src JOIN (SELECT ticket, value::INT AS "end" FROM facts WHERE name = '/graph/loc/end') f ON f.ticket = src)
+    SELECT anchor, 'node/kind' AS name, 'anchor' AS value FROM w UNION SELECT anchor, 'loc/start', "start"::VARCHAR FROM w UNION SELECT anchor, 'loc/end', "end"::VARCHAR FROM w UNION SELECT src, kind, dst FROM edges WHERE src IN (SELECT anchor FROM w) AND kind <> '/graph/edge/childof'""", DEFS)
+def reply_atomised(x):
+    return content.atomised(refs.narrow_references(x))
+
+
+@query("SELECT DISTINCT kind, rank FROM (SELECT kind, row_number() OVER (ORDER BY k) AS rank FROM (VALUES ('/graph/edge/defines/binding', 0), ('/graph/edge/documents', 1), ('/graph/edge/ref', 2), ('/graph/edge/ref/call', 3), ('%/graph/edge/defines/binding', 4), ('%/graph/edge/documents', 5), ('%/graph/edge/ref', 6), ('%/graph/edge/ref/call', 7), ('/graph/edge/typed', 8), ('/graph/edge/childof', 9), ('/graph/edge/overrides', 10), ('/graph/edge/tagged', 12), ('/graph/edge/param', 11), ('%/graph/edge/typed', 13), ('%/graph/edge/childof', 14), ('%/graph/edge/overrides', 15), ('%/graph/edge/param', 16), ('%/graph/edge/tagged', 17)) v(kind, k))")
+def edge_kind_order(x):
+    kinds = g.edge_totals(x).select("kind")
+    return kinds.select("kind", F.row_number().over(Window.orderBy(edgekinds.display_rank("kind"))).cast("long").alias("rank"))  # a row for each kind
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+    s AS (SELECT *, (sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY n) - strlen(line) - 1)::BIGINT AS line_start FROM l) SELECT doc_id, n AS line_number, line_start + 6 AS "start", line_start + 6 + strlen(line) AS "end" FROM s""", lift=False)
+def spans_patched(spark, d):
+    t = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", F.concat(F.lit("ADDED\n"), F.col("text")).alias("new"))
+    lines = spans.line_index(t, "doc_id", "text").select("doc_id", F.col("line_number").cast("long").alias("line_number"), F.col("line_start").alias("start"), (F.col("line_start") + F.col("line_bytes")).alias("end"))
+    return spans.patched(lines, diff.edits(t, "doc_id", "text", "new"), "doc_id").select("doc_id", "line_number", "start", "end")
+
+
+@query("SELECT p_partkey, p_type || '::' || p_brand || '(' || p_name || ')' AS signature, p_type || '.' || p_brand AS qualified_name, p_brand AS base_name FROM part", lift=False)
+def marked_source(spark, d):
+    leaf = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("pre_text"))
+    p = spark.read.parquet(f"{d}/part.parquet")
+    context = F.struct(F.lit("CONTEXT").alias("kind"), F.array(leaf("IDENTIFIER", "p_type")).alias("child"), F.lit("::").alias("post_text"))
+    whole = F.concat(F.lit('{"child":['), F.to_json(context), F.lit(","), F.to_json(leaf("IDENTIFIER", "p_brand")), F.lit(',{"kind":"PARAMETER","pre_text":"(","post_text":")","child":['), F.to_json(leaf("IDENTIFIER", "p_name")), F.lit("]}]}"))
+    t = p.select("p_partkey", whole.alias("tree"))
+    return t.select("p_partkey", *(render.rendered("tree", how).alias(how) for how in ("signature", "qualified_name", "base_name")))
+
+
+@query(lift=False)
+def claim_assignment(spark, d):
+    """Suppliers as units, parts as inputs; the choice is sequential, so there is no SQL for it."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").where("l_quantity = 1").select(F.col("l_suppkey").alias("unit"), F.col("l_partkey").alias("input"))
+    return units.claims(rows)
+
+
+@query(lift=False)
+def html_plain_text(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", html.plain_text("html").alias("text"))
+
+
 # --- flagship ---
 
 

@@ -51,6 +51,16 @@ def _plain(row: dict) -> dict:
     return row | {"source": as_dict(row["source"]), "target": as_dict(row["target"])}
 
 
+def decoded(records: DataFrame) -> DataFrame:
+    """The inverse of encoded."""
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([wire.decode_entry(r) for blob in b["record"] for r in wire.records(bytes(blob))], columns=list(wire.ENTRY_FIELDS))
+
+    return records.mapInPandas(decode, ENTRY)
+
+
 def write_delimited(entries: DataFrame, path: str) -> None:
     """Delimited streams, one for each partition, by the data source of this module."""
     entries.sparkSession.dataSource.register(DelimitedSource)

@@ -67,3 +67,14 @@ def test_archives(spark, tmp_path):
     assert kzip.by_digest_or_language(units, inputs, languages=["go"])[1].count() == 2
     with pytest.raises(ValueError):
         kzip.by_digest_or_language(units, inputs)
+
+
+def test_generated_code_rules(spark):
+    from codelattice.sources import metadata
+
+    files = spark.createDataFrame([("f", '{"type": "m", "meta": [{"type": "nop"}, {"type": "anchor_defines", "begin": 1, "end": 4, "edge": "%/graph/edge/generates", "vname": {"signature": "s", "corpus": "c", "root": "", "path": "", "language": ""}}]}'), ("g", "{broken")], "file string, text string")
+    rules = metadata.rules(files)
+    assert [(r.file, r.begin, r.end, r.kind, r.reverse) for r in rules.collect()] == [("f", 1, 4, "/graph/edge/generates", True)]
+    anchors = spark.createDataFrame([("a", "f", 1, 4), ("b", "f", 1, 5)], "anchor string, file string, start int, end int")
+    refs = spark.createDataFrame([("a", "/graph/edge/defines/binding", "n"), ("b", "/graph/edge/defines", "m")], "anchor string, kind string, target string")
+    assert [tuple(r) for r in metadata.edges(rules, anchors, refs).collect()] == [("graph://c#s", "/graph/edge/generates", "n")]
