@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Memo, hashed, slices, stored, utf8, word_hashes
+from .common import U64, Memo, hashed, slices, small_batches, stored, utf8, word_hashes
 
 K1, B = 1.2, 0.75
 #: Documents to a shard, documents to a block of them, queries that go out together (about 5 KB each).
-SHARD_DOCS, BLOCK, QUERY_BLOCK = 14_000, 16, 3_000
+SHARD_DOCS, BLOCK, QUERY_BLOCK = 10_000, 16, 3_000
 #: Share of a shard's documents from which a term counts as common.
 COMMON = 0.1
 #: Scores are rounded to so many digits, in which ties are seen.
@@ -142,6 +142,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     text is null or empty. Rows with a null id are not searched; rows that repeat a doc_id are ranked each for itself.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     queries = queries.select("query_id", "text").where("query_id is not null")
 

@@ -16,12 +16,12 @@ from pyspark.sql.types import DataType, StructField, StructType
 #: Rows that Python code takes from an Arrow batch at once.
 SLICE_ROWS = 512
 #: Entries of a memo of words; a memo only holds pure functions of its keys and is emptied beyond that.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 150_000
 #: Ids that may be broadcast (16 MB of longs in a hash relation); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
-#: Rows of whole texts that go to Python in one Arrow batch while a table is stored; the session's own bound serves short rows.
-BATCH_ROWS, TEXT_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
+#: Bytes that go to Python in one Arrow batch. Whole texts and packed blobs make rows large, so the session's bound is lowered.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 U64 = np.uint64
 
@@ -38,16 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the memory of tasks that hand large rows to Python; it holds for the rest of the session and changes no result."""
+    spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, name: str, *parts: str) -> DataFrame:
     """Write df once as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors. parts: columns to partition by."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    usual = spark.conf.get(BATCH_ROWS)
-    spark.conf.set(BATCH_ROWS, str(min(int(usual), TEXT_BATCH) if int(usual) > 0 else TEXT_BATCH))
-    try:
-        df.write.partitionBy(*parts).parquet(path)
-    finally:
-        spark.conf.set(BATCH_ROWS, usual)
+    small_batches(spark)
+    df.write.partitionBy(*parts).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -109,6 +110,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 def with_column(docs: DataFrame, name: str, kind: DataType, f) -> DataFrame:
     """docs with one more column, computed from whole texts by f(list of UTF-8 texts) -> values; one pass, no shuffle."""
+    small_batches(docs.sparkSession)
     text = docs.columns.index("text")
     assert name not in docs.columns, f"{name} is a column already"
 

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, U64, Memo, dropped, hashed, mix, slices, small_semi_join, stored, utf8, word_hashes
+from .common import BROADCAST_IDS, U64, Memo, dropped, hashed, mix, slices, small_batches, small_semi_join, stored, utf8, word_hashes
 from .components import components
 
 WORDS = 5
@@ -362,6 +362,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     distinct 5-word shingles.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     n_docs = docs.count()
     ranges = max(16, n_docs // RANGE_DOCS)

@@ -27,11 +27,11 @@ from .common import U64, mix, slices, utf8, with_column
 #: Documented bound: labelled texts of each class that are learned from, and how many of five go to the models (the rest fit the curve).
 TRAIN_DOCS, MODEL_SHARE = 3_000, 3
 #: Characters of a gram, and those of the lower orders, which both classes share.
-ORDER, SHARED = 6, 1
+ORDER, SHARED = 6, 3
 #: Kneser-Ney discount.
 DISCOUNT = 1.0
 #: Words scored together, and remembered by a process.
-MEMO = 150_000
+MEMO = 250_000
 _WORD = re.compile(r"[^\W\d_]+")
 _LONGEST = 40
 
@@ -65,17 +65,20 @@ def _context(codes: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
 
 
 class Table:
-    """hash -> value by binary search over sorted hashes."""
+    """hash -> a row of values by binary search over sorted hashes; zeros where there is none."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order].astype(np.float32)
+    def __init__(self, *columns: tuple[np.ndarray, np.ndarray]):
+        self.keys = np.unique(np.concatenate([k for k, _ in columns]))
+        self.values = np.zeros((len(self.keys) + 1, len(columns)))
+        for i, (k, v) in enumerate(columns):
+            self.values[np.searchsorted(self.keys, k), i] = v
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(keys.shape, np.float32)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.values[at], np.float32(0))
+        at = np.searchsorted(self.keys, keys)
+        missing = at == len(self.keys)
+        missing[~missing] = self.keys[at[~missing]] != keys[~missing]
+        at[missing] = len(self.keys)
+        return self.values[at].T
 
 
 def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,49 +94,45 @@ class Models:
         codes, place, starts = _flat(ws)
         number = np.repeat(np.array([counts[w] for w in ws], float), np.diff(np.r_[starts, len(codes)]), axis=0)
         self.floor = 1.0 / max(len(np.unique(codes)), 1)
-        self.top, self.shared = ({}, {}), {}
+        self.levels = {}
         below = _grams(codes, place, 1)
         for k in range(1, ORDER + 1):
             g, below = below, _grams(codes, place, k + 1)
+            names, first = np.unique(g, return_index=True)
+            context = _context(codes, place, k)[first]
             if k <= SHARED:
                 # Continuation counts: how many different characters stand before a gram, over both classes.
                 ok = below > 0
-                _, first = np.unique(below[ok], return_index=True)
-                self.shared[k] = self._level(*_summed(g[ok][first], np.ones(len(first))), g, codes, place, k)
+                _, once = np.unique(below[ok], return_index=True)
+                counts_of = [_summed(g[ok][once], np.ones(len(once)))]
             else:
-                for c in (0, 1):
-                    self.top[c][k] = self._level(*_summed(g[g > 0], number[g > 0, c]), g, codes, place, k)
-
-    @staticmethod
-    def _level(keys, n, g, codes, place, k):
-        """Of the grams of one order: discounted counts; of their contexts: totals and numbers of grams."""
-        names, first = np.unique(g, return_index=True)
-        of = dict_of(names, _context(codes, place, k)[first], keys)
-        known = n > 0
-        keys, n, of = keys[known], n[known], of[known]
-        return Table(keys, np.maximum(n - DISCOUNT, 0)), Table(*_summed(of, n)), Table(*_summed(of, np.ones(len(n))))
+                counts_of = [_summed(g[g > 0], number[g > 0, c]) for c in (0, 1)]
+            grams, contexts = [], []
+            for keys, n in counts_of:
+                of = dict_of(names, context, keys)
+                known = n > 0
+                keys, n, of = keys[known], n[known], of[known]
+                grams.append((keys, np.maximum(n - DISCOUNT, 0)))
+                contexts += [_summed(of, n), _summed(of, np.ones(len(n)))]
+            # Discounted counts of grams; of contexts the totals and numbers of grams; a column, or two, for each class.
+            self.levels[k] = Table(*grams), Table(*contexts)
 
     def log_ratio(self, ws: list[str]) -> np.ndarray:
         """For each word the toxic less the ordinary log-likelihood."""
         codes, place, starts = _flat(ws)
-
-        def step(level, k, below):
-            g, h = _grams(codes, place, k), _context(codes, place, k)
-            count, total, types = (t(x) for t, x in zip(level[k], (g, h, h), strict=True))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                p = (count + DISCOUNT * types * below) / total
-            return np.where((g > 0) & (total > 0), p, below)
-
-        p = np.full(len(codes), self.floor)
-        for k in range(1, SHARED + 1):
-            p = step(self.shared, k, p)
-        out = []
-        for c in (0, 1):
-            q = p
-            for k in range(SHARED + 1, ORDER + 1):
-                q = step(self.top[c], k, q)
-            out.append(q)
-        ratio = np.log(out[1]) - np.log(out[0])
+        p = [np.full(len(codes), self.floor)]
+        g = _grams(codes, place, 0)
+        for k in range(1, ORDER + 1):
+            h = np.r_[U64(0), g[:-1]] if k > 1 else g
+            g = _grams(codes, place, k)
+            if k == SHARED + 1:
+                p = [p[0], p[0]]
+            counts, rest = self.levels[k][0](g), self.levels[k][1](h)
+            for c in range(len(p)):
+                total, types = rest[2 * c], rest[2 * c + 1]
+                known = (g > 0) & (total > 0)
+                p[c] = np.where(known, (counts[c] + DISCOUNT * types * p[c]) / np.where(known, total, 1), p[c])
+        ratio = np.log(p[1]) - np.log(p[0])
         ratio[place == 0] = 0
         return np.add.reduceat(ratio, starts)
 
