@@ -57,7 +57,7 @@ RANGE_SIGNATURES = 2_500_000
 #: Documents that are looked at for frequent shingles; they only set the order of blocks.
 ORDER_SAMPLE = 20_480
 #: Frequent shingles that are kept for the order (8 bytes each, broadcast).
-ORDER_SHINGLES = 131_072
+ORDER_SHINGLES = 65_536
 
 _POWERS = np.array([pow(0x9E3779B97F4A7C15 | 1, k, 2**64) for k in range(WORDS)], U64)
 _C1, _C2 = U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
@@ -352,7 +352,7 @@ def _frequent(docs: DataFrame, n_docs: int) -> np.ndarray:
     some = docs.select("text").where(F.rand(17) < min(1.0, ORDER_SAMPLE / max(n_docs, 1)))
     least = 4
     top = some.mapInArrow(shingles, "h long").groupBy("h").count().where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(ORDER_SHINGLES)
-    return np.sort(np.array([r.h for r in top.collect()], np.int64).view(U64))
+    return np.sort(top.select("h").toArrow().column(0).to_numpy().astype(np.int64).view(U64))
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:

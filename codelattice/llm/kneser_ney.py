@@ -25,7 +25,7 @@ from pyspark.sql.types import DoubleType
 from .common import U64, mix, slices, utf8, with_column
 
 #: Documented bound: labelled texts of each class that are learned from, and how many of five go to the models (the rest fit the curve).
-TRAIN_DOCS, MODEL_SHARE = 3_000, 3
+TRAIN_DOCS, MODEL_SHARE = 2_000, 3
 #: Characters of a gram, and those of the lower orders, which both classes share.
 ORDER, SHARED = 6, 3
 #: Kneser-Ney discount.
@@ -89,10 +89,10 @@ def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Models:
     """The two class models over shared lower orders."""
 
-    def __init__(self, counts: dict[str, tuple[int, int]]):
-        ws = sorted(w for w in counts if w)
+    def __init__(self, ws: list[str], number: np.ndarray):
+        """ws: distinct words; number: their counts in ordinary and in toxic texts, a row each."""
         codes, place, starts = _flat(ws)
-        number = np.repeat(np.array([counts[w] for w in ws], float), np.diff(np.r_[starts, len(codes)]), axis=0)
+        number = np.repeat(number.astype(np.float32), np.diff(np.r_[starts, len(codes)]), axis=0)
         self.floor = 1.0 / max(len(np.unique(codes)), 1)
         self.levels = {}
         below = _grams(codes, place, 1)
@@ -215,10 +215,11 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Scorer, np.ndarray] | Non
 
     # Bounded by the sample: 2 * TRAIN_DOCS texts.
     got = rows.where(part < MODEL_SHARE).select("text", "label").mapInArrow(counted, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0"), F.sum("n1")).toArrow()
-    counts = dict(zip(got.column(0).to_pylist(), zip(got.column(1).to_pylist(), got.column(2).to_pylist(), strict=True), strict=True))
-    if not any(n for n, _ in counts.values()) or not any(n for _, n in counts.values()):
+    number = np.stack([got.column(c).to_numpy() for c in (1, 2)], axis=1) if got.num_rows else np.zeros((0, 2))
+    if not number.sum(0).all():
         return None
-    scorer = Scorer(Models(counts))
+    scorer = Scorer(Models(got.column(0).to_pylist(), number))
+    del got, number
     rest = rows.where(part >= MODEL_SHARE).select("text", "label").toArrow()
     y = np.array(rest.column(1).to_pylist(), float)
     if not 0 < y.sum() < len(y):
