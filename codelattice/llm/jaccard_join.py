@@ -14,7 +14,8 @@ of two sketches is at most the size of the symmetric difference of the sets. Jac
 * A set that has no more than D non-empty blocks, and all sets in small bands, sign with single shingles.
 
 Signatures travel in packed blobs of 6 bytes each, dealt by ranges of the key space. In a range, small groups give all
-their pairs and large groups give a star around their smallest member. Pairs pass the bound on sketches of full
+their pairs and large groups give a star around their smallest member. A range of too many signatures is cut by bits of
+its keys in temporary files, so the whole group of a key is always seen at once. Pairs pass the bound on sketches of full
 length, then the exact comparison of whole texts. Where its star doesn't connect a large group, the sketches of its
 members are compared with each other in blocks; pairs of different components that the bound allows are compared
 exactly, the nearest first, until none is left. So no link between components is lost.
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import chain
+from tempfile import TemporaryFile
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +54,7 @@ BLOCK_MEMBERS, TURN_PAIRS = 2_048, 32
 PACK_DOCS = 4_096
 #: Documents to a range of the key space.
 RANGE_DOCS = 8_192
-#: Signatures of a range that are in memory at once.
+#: Signatures of a range that are in memory at once; where one key has more, all of that key.
 RANGE_SIGNATURES = 2_500_000
 #: Documents that are looked at for frequent shingles; they only set the order of blocks.
 ORDER_SAMPLE = 20_480
@@ -198,12 +200,49 @@ _PAIRED = "l long, r long, gid long, members array<long>"
 _PAIRED_ARROW = pa.schema([("l", pa.int64()), ("r", pa.int64()), ("gid", pa.int64()), ("members", pa.list_(pa.int64()))])
 
 
+class _Parts:
+    """The signatures of a range in temporary files without names, dealt by three bits of the key."""
+
+    RECORD = np.dtype([("key", "<u4"), ("node", "<i8")])
+
+    def __init__(self, shift: int):
+        self.shift, self.files, self.sizes = shift, [TemporaryFile() for _ in range(8)], [0] * 8
+
+    def add(self, keys: np.ndarray, nodes: np.ndarray) -> None:
+        part = (keys >> np.uint32(self.shift)) & np.uint32(7)
+        for p in range(8):
+            some = np.flatnonzero(part == p)
+            if len(some):
+                records = np.empty(len(some), self.RECORD)
+                records["key"], records["node"] = keys[some], nodes[some]
+                self.files[p].write(records.tobytes())
+                self.sizes[p] += len(some)
+
+    def _read(self, file, n: int) -> tuple[np.ndarray, np.ndarray]:
+        records = np.frombuffer(file.read(n * self.RECORD.itemsize), self.RECORD)
+        return records["key"], records["node"]
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys and nodes of RANGE_SIGNATURES at most, each with all nodes of its keys; more only where the bits of the key are used up."""
+        for p, (file, size) in enumerate(zip(self.files, self.sizes, strict=True)):
+            with file:
+                file.seek(0)
+                if size > RANGE_SIGNATURES and self.shift:
+                    finer = _Parts(max(self.shift - 3, 0))
+                    for x in range(0, size, RANGE_SIGNATURES):
+                        finer.add(*self._read(file, min(RANGE_SIGNATURES, size - x)))
+                    file.truncate(0)
+                    yield from finer
+                elif size:
+                    yield self._read(file, size)
+
+
 def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blobs, sorted by range -> pairs of nodes that share a key, and the members of large groups."""
 
-    def grouped(rng: int, keys: np.ndarray, nodes: np.ndarray, chunked: bool):
-        """Pairs and large groups of a range, a part of its keys at a time. Returns each key with its smallest node, to carry on with."""
-        left, right, carry_keys, carry_nodes, told = [], [], [], [], set()
+    def grouped(keys: np.ndarray, nodes: np.ndarray):
+        """Pairs and large groups of keys with all their nodes, a part of the keys at a time."""
+        left, right, told = [], [], set()
         part = (keys >> np.uint32(29)).astype(np.uint8)
         for p in range(8):
             some = np.flatnonzero(part == p)
@@ -215,8 +254,6 @@ def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.r_[True, k[1:] != k[:-1]]
             starts = np.flatnonzero(new)
             sizes = np.diff(np.r_[starts, len(k)])
-            carry_keys.append(k[starts])
-            carry_nodes.append(v[starts])
             # Keys of one node alone, most of them, are left out from here on.
             shared = np.repeat(sizes > 1, sizes)
             k, v, new = k[shared], v[shared], new[shared]
@@ -233,7 +270,7 @@ def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             right.append(v[i])
             for g in np.flatnonzero(sizes > SMALL_GROUP):
                 s, e = starts[g], starts[g] + sizes[g]
-                gid = xxhash.xxh64_intdigest(v[s:e].tobytes()) if not chunked else xxhash.xxh64_intdigest(f"{rng} {k[s]}")
+                gid = xxhash.xxh64_intdigest(v[s:e].tobytes())
                 if gid not in told:
                     told.add(gid)
                     parts = [v[x : min(x + 8192, e)] for x in range(s, e, 8192)]
@@ -248,23 +285,31 @@ def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in range(0, len(l), 65_536):
                 n = len(l[x : x + 65_536])
                 yield pa.RecordBatch.from_arrays([pa.array(l[x : x + n]), pa.array(r[x : x + n]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], schema=_PAIRED_ARROW)
-        return np.concatenate(carry_keys), np.concatenate(carry_nodes)
 
-    at, keys, nodes, held, chunked = None, [], [], 0, False
+    def finished():
+        """The range that ends."""
+        if parts is not None:
+            parts.add(np.concatenate(keys), np.concatenate(nodes))
+            for some in parts:
+                yield from grouped(*some)
+        elif held:
+            yield from grouped(np.concatenate(keys), np.concatenate(nodes))
+
+    at, keys, nodes, held, parts = None, [], [], 0, None
     for b in slices(batches, 8):
         for rng, node0, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            if rng != at or held > RANGE_SIGNATURES:
-                if held:
-                    carry = yield from grouped(at, np.concatenate(keys), np.concatenate(nodes), chunked := chunked or rng == at)
-                    keys, nodes = ([carry[0]], [carry[1]]) if rng == at else ([], [])
-                chunked = chunked and rng == at
-                at, held = rng, sum(map(len, keys))
+            if rng != at:
+                yield from finished()
+                at, keys, nodes, held, parts = rng, [], [], 0, None
+            elif held > RANGE_SIGNATURES:
+                parts = parts or _Parts(29)
+                parts.add(np.concatenate(keys), np.concatenate(nodes))
+                keys, nodes, held = [], [], 0
             n = len(blob) // 6
             keys.append(np.frombuffer(blob, "<u4", n))
             nodes.append(np.frombuffer(blob, "<u2", n, 4 * n).astype(np.int64) + node0)
             held += n
-    if held:
-        yield from grouped(at, np.concatenate(keys), np.concatenate(nodes), chunked)
+    yield from finished()
 
 
 def _near(percent: int):

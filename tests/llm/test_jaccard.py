@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from codelattice.llm import jaccard_join as j
@@ -70,6 +71,32 @@ def test_components_match_brute_force(spark, seed, percent, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute(rows, percent)
 
 
+def test_over_full_ranges_keep_whole_groups(monkeypatch):
+    """However few signatures are held at once, pairs and groups are those of the whole range; no pair of later blobs is lost."""
+    rng = np.random.default_rng(5)
+    blobs = []
+    for r in range(2):
+        for doc in range(60):  # keys of 2 to 8 nodes, of many nodes, and of one node
+            keys = np.unique(np.r_[rng.choice(40, 3) * 90_000_001, [7, 8][doc % 2], 2**32 - 1 if doc % 3 else 5, rng.integers(0, 2**32, 20)].astype(np.uint32))
+            blobs.append((r, doc * 100, keys.tobytes() + np.zeros(len(keys), np.uint16).tobytes()))
+    blobs.append((2, 0, np.array([3, 3, 4], np.uint32).tobytes() + np.array([0, 1, 0], np.uint16).tobytes()))  # A and B
+    blobs += [(2, 100 * i, np.array([x, 9], np.uint32).tobytes() + bytes(4)) for i, x in ((1, 4), (2, 3))]  # C has the key of A and B
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*blobs, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["rng", "node0", "blob"])
+
+    def paired():
+        rows = [x for b in j._pair(iter([batch])) for x in b.to_pylist()]
+        groups = defaultdict(set)
+        for x in rows:
+            groups[x["gid"]].update(x["members"] or ())
+        return {(x["l"], x["r"]) for x in rows if x["gid"] is None}, {frozenset(g) for g in groups.values()}
+
+    whole = paired()
+    assert {(0, 1), (0, 200), (1, 200)} <= whole[0] and len(whole[1]) > 4
+    for few in (2, 30, 400):
+        monkeypatch.setattr(j, "RANGE_SIGNATURES", few)
+        assert paired() == whole
+
+
 def test_odd_rows(spark):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in j.jaccard_components(docs(spark, ODD)).collect()]
     assert sorted(x for x in got if x[0]) == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (5, 1, 5), (6, 2, 6), (7, 1, 7), (8, 1, 8)]
