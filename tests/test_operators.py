@@ -121,6 +121,20 @@ def test_claims_go_to_the_least_busy(spark):
     assert {(r.input, r.unit) for r in units.claims(pairs).collect()} == {("a", "u1"), ("b", "u2"), ("z", "u9")}
 
 
+def test_claims_of_the_whole_table(spark, tables):
+    from codelattice.queries import QUERIES
+
+    candidates = {}
+    for r in spark.read.parquet(f"{tables}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().collect():
+        candidates.setdefault(r.l_partkey, []).append(r.l_suppkey)
+    n, want = {}, {}
+    for part in sorted(candidates):
+        want[part] = unit = min(candidates[part], key=lambda u: (n.get(u, 0), u))
+        n[unit] = n.get(unit, 0) + 1
+    got = [(r.input, r.unit) for r in QUERIES["claim_assignment"](spark, tables).collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
 def test_patterns(graph):
     solve = lambda p, **k: {tuple(r) for r in patterns.solve(graph, p, **k).collect()}
     n = "graph://c#n1"
