@@ -3,7 +3,10 @@
 Words lose their case and the signs around them; numbers, names (capitalised words within a sentence) and units become
 typed placeholders. Windows of WINDOW template words of a document are looked up among those of the benchmark by hash.
 Hits on one diagonal (document place less item place) make a passage; it counts if it is long enough and if what stands
-in its placeholders on both sides maps one to one. A passage whose slots hold the same values is an exact leak, one with
+in its placeholders on both sides maps one to one. Where it doesn't, the passage is cut, from its first word on, at each
+slot that contradicts the part before, and the parts that are long enough count. If none is, every other stretch that
+agrees is tried, so a part is found wherever there is one; a part may be shorter than the longest stretch that agrees.
+A passage whose slots hold the same values, or with PASSAGE words in a row that are the same, is an exact leak, one with
 other values a re-parameterised question.
 
 The benchmark's windows are broadcast, in blocks of at most BLOCK_WORDS words, so their size is bounded however large the
@@ -125,40 +128,74 @@ class Index:
         return at[found]
 
 
-def _slots_agree(doc: list[bytes], item: list[bytes], slot: np.ndarray) -> tuple[bool, bool]:
-    """Whether the slots map one to one both ways, and whether they are equal."""
-    there, back, same = {}, {}, True
-    for x, y, s in zip(doc, item, slot, strict=True):
-        if s:
-            x, y = _strip(x).lower(), _strip(y).lower()
-            same &= x == y
-            if there.setdefault(y, x) != x or back.setdefault(x, y) != y:
-                return False, False
-    return True, same
+def _bare(words: list[bytes]) -> list[bytes]:
+    return [_strip(w).lower() for w in words]
+
+
+def _agreeing(doc: list[bytes], item: list[bytes], slot: np.ndarray, disjoint: bool) -> list[tuple[int, int]]:
+    """Stretches [start, end) whose slots map one to one both ways. disjoint: cut at each slot that contradicts the
+    stretch before; else all stretches that can't be made longer."""
+    out, start, there, back = [], 0, {}, {}
+    for k in np.flatnonzero(slot).tolist():
+        x, y = doc[k], item[k]
+        # The last place in the stretch where either side stands with something else.
+        clash = max((p for v, p in there.get(y, {}).items() if v != x), default=-1)
+        clash = max(clash, max((p for v, p in back.get(x, {}).items() if v != y), default=-1))
+        if clash >= start:
+            out.append((start, k))
+            start = k if disjoint else clash + 1
+        there.setdefault(y, {})[x] = k
+        back.setdefault(x, {})[y] = k
+    return [*out, (start, len(doc))]
+
+
+def _verbatim(doc: list[bytes], item: list[bytes], least: int) -> list[tuple[int, int]]:
+    """Stretches [start, end) of equal words, of that length at least."""
+    edges = np.flatnonzero(np.diff(np.r_[0, [x == y for x, y in zip(doc, item, strict=True)], 0]))
+    return [(s, e) for s, e in edges.reshape(-1, 2).tolist() if e - s >= least]
+
+
+def _parts(doc: list[bytes], item: list[bytes], slot: np.ndarray, hits: np.ndarray, width: int) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, exact) of the passages in a run of hits, whose windows start at hits."""
+    doc, item = _bare(doc), _bare(item)
+
+    def windowed(s: int, e: int) -> tuple[int, int]:
+        """A stretch from the first to the last of its windows."""
+        inside = hits[(hits >= s) & (hits + width <= e)]
+        return (int(inside[0]), int(inside[-1]) + width) if len(inside) else (s, s)
+
+    least = min(PASSAGE, len(doc))
+    same = _verbatim(doc, item, least)
+    parts = _agreeing(doc, item, slot, True)
+    if len(parts) > 1:
+        for disjoint in (True, False):
+            kept = [(s, e) for s, e in (windowed(*x) for x in _agreeing(doc, item, slot, disjoint)) if e - s >= least]
+            kept += [x for x in same if np.ptp(windowed(*x))]
+            if kept:
+                break
+        parts = kept
+    for s, e in parts:
+        equal = all(x == y for x, y, k in zip(doc[s:e], item[s:e], slot[s:e], strict=True) if k)
+        yield s, e, equal or any(min(e, y) - max(s, x) >= least for x, y in same)
 
 
 def passages(words: list[bytes], t: np.ndarray, found: dict[int, np.ndarray], index: Index) -> Iterator[tuple]:
     """(item_id, first word, words, coverage of the item, exact) of a document: for each item its longest passage."""
     diagonals = defaultdict(set)
-    for width, (h, at) in found.items():
+    for h, at in found.values():
         for p in at.tolist():
             for key, q in index.places[int(h[p])]:
-                diagonals[key, p - q].update((q, q + width - 1))
+                diagonals[key, p - q].add(q)
     spans = defaultdict(list)
     for (key, shift), marks in diagonals.items():
         item_id, item, slot = index.items[key]
         width = min(WINDOW, len(item))
-        marks = sorted(marks)
-        start = prev = marks[0]
-        for q in [*marks[1:], None]:
-            if q is None or q > prev + width:
-                n = prev - start + 1
-                if n >= min(PASSAGE, len(item)):
-                    ok, same = _slots_agree(words[start + shift : prev + shift + 1], item[start : prev + 1], slot[start : prev + 1])
-                    if ok:
-                        spans[item_id].append((n, same, -(start + shift), round(n / len(item), 6)))
-                start = q
-            prev = q
+        marks = np.array(sorted(marks))
+        for hits in np.split(marks, np.flatnonzero(np.diff(marks) >= 2 * width) + 1):
+            start, end = int(hits[0]), int(hits[-1]) + width
+            if end - start >= min(PASSAGE, len(item)):
+                for s, e, exact in _parts(words[start + shift : end + shift], item[start:end], slot[start:end], hits - start, width):
+                    spans[item_id].append((e - s, exact, -(start + s + shift), round((e - s) / len(item), 6)))
     for item_id, found_spans in spans.items():
         n, same, start, coverage = max(found_spans)
         yield item_id, -start, n, coverage, same

@@ -54,6 +54,37 @@ def test_other_numbers_and_names_are_caught(spark):
     assert not any(r.n_words > 20 for r in contaminated(docs(spark, texts[2:3]), items(spark, [(9, QUESTION)])).collect())
 
 
+def test_passages_with_contradicting_slots_keep_their_parts(spark):
+    words = sentence(200)
+    words[40], words[150] = "Tom", "Tom"
+    item = " ".join(words)
+    altered = " ".join([*words[:150], "Tim", *words[151:]])
+    first = " ".join([*words[:40], "Tim", *words[41:]])
+    got = {r.doc_id: r for r in contaminated(docs(spark, [(1, altered), (2, first)]), items(spark, [(9, item)])).collect()}
+    assert {d: (r.first_word, r.n_words, r.exact) for d, r in got.items()} == {1: (0, 150, True), 2: (41, 159, True)}
+    # Different values of the item become one, in the second half of a long passage.
+    words = sentence(60)
+    words[5], words[45] = "3", "5"
+    merged = [*words[:5], "4", *words[6:45], "4", *words[46:]]
+    words[20] = words[30] = "Amara"
+    merged[20] = merged[30] = "Bo"
+    got = contaminated(docs(spark, [(1, " ".join(merged))]), items(spark, [(9, " ".join(words))])).collect()
+    assert [(r.first_word, r.n_words, r.exact) for r in got] == [(0, 45, True)]
+    # Cut at the contradiction alone, no part would be long enough; the stretch after the first slot is.
+    words = sentence(24)
+    words[2], words[12] = "Tom", "Tom"
+    other = [*words[:2], "Tim", *words[3:12], "Max", *words[13:]]
+    got = contaminated(docs(spark, [(1, " ".join(other))]), items(spark, [(9, " ".join(words))])).collect()
+    assert [(r.first_word, r.n_words, r.exact) for r in got] == [(3, 21, False)]
+
+
+def test_contradicting_slots_of_short_passages_stay_out(spark):
+    words = sentence(20)
+    words[7], words[12] = "Tom", "Tom"
+    other = [*words[:7], "Bo", *words[8:12], "Cy", *words[13:]]
+    assert found(spark, [(1, " ".join(other))], [(9, " ".join(words))]) == set()
+
+
 def test_odd_rows(spark):
     assert found(spark, ODD, [(1, None), (2, ""), (None, "a b c d e f"), (3, "tail")]) == {(None, None, True), (6, None, True), (8, 3, True)}
     assert found(spark, [], [(1, "x y")]) == set() and found(spark, ODD, []) == set()
