@@ -13,12 +13,14 @@ of two sketches is at most the size of the symmetric difference of the sets. Jac
   the speed only.
 * A set that has no more than D non-empty blocks, and all sets in small bands, sign with single shingles.
 
-Signatures travel in packed blobs of 6 bytes each, dealt by ranges of the key space. In a range, small groups give all
-their pairs and large groups give a star around their smallest member. A range of too many signatures is cut by bits of
-its keys in temporary files, so the whole group of a key is always seen at once. Pairs pass the bound on sketches of full
-length, then the exact comparison of whole texts. Where its star doesn't connect a large group, the sketches of its
-members are compared with each other in blocks; pairs of different components that the bound allows are compared
-exactly, the nearest first, until none is left. So no link between components is lost.
+Signatures travel in packed blobs of 6 bytes each, dealt by ranges of the key space; the number of ranges follows the bytes of
+all texts, so a range has a bounded number of signatures but for a key that many documents share (12 bytes for each). In a
+range, small groups give all their pairs and large groups a star around their smallest member. Pairs pass the bound on
+sketches of full length, then the exact comparison of whole texts; a hub's sketch and text are copied once for HUB_MEMBERS
+members, not once for each pair. Where the stars leave a large group in several components, its strays (members outside the
+largest one) are compared by sketches with all its members, in cells of bounded size; a cell gives no more than a few pairs for
+each stray a turn, the nearest first, and pairs that links have joined meanwhile are left out, until none is left. So no
+link between components is lost.
 
 Null or empty texts and texts without words have the empty set and no links. Rows with a null doc_id are returned
 with a null component. Where rows repeat a doc_id with other texts, each row gets the component of its own text, and
@@ -28,8 +30,8 @@ sets whose smallest doc_id is the same count as linked. Sets are told apart by 1
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
-from tempfile import TemporaryFile
 
 import numpy as np
 import pyarrow as pa
@@ -48,14 +50,14 @@ RAW_BELOW = 128
 BLOCKS = 0.6
 #: Groups up to this size give all their pairs at once.
 SMALL_GROUP = 8
-#: Members of a large group that are compared as one block, and pairs that a member gives to each other component in the first turn.
-BLOCK_MEMBERS, TURN_PAIRS = 2_048, 32
+#: Members of a large group in a cell (their sketches take CELL_BYTES at most, but for a longer one alone), and members that a stray is paired with in the first turn.
+CELL_MEMBERS, CELL_BYTES, TURN_PAIRS = 2_048, 8 << 20, 2
+#: Members that meet one copy of their hub.
+HUB_MEMBERS = 512
 #: Documents of a task whose signatures are packed together (their places take 16 bits).
 PACK_DOCS = 4_096
-#: Documents to a range of the key space.
-RANGE_DOCS = 8_192
-#: Signatures of a range that are in memory at once; where one key has more, all of that key.
-RANGE_SIGNATURES = 2_500_000
+#: Bytes of text to a range of the key space. A shingle takes two bytes at least, mostly six, and gives less than one signature.
+RANGE_BYTES = 24 << 20
 #: Documents that are looked at for frequent shingles; they only set the order of blocks.
 ORDER_SAMPLE = 20_480
 #: Frequent shingles that are kept for the order (8 bytes each, broadcast).
@@ -196,52 +198,15 @@ def _sign(ranges: int, frequent, percent: int):
     return run
 
 
-_PAIRED = "l long, r long, gid long, members array<long>"
-_PAIRED_ARROW = pa.schema([("l", pa.int64()), ("r", pa.int64()), ("gid", pa.int64()), ("members", pa.list_(pa.int64()))])
-
-
-class _Parts:
-    """The signatures of a range in temporary files without names, dealt by three bits of the key."""
-
-    RECORD = np.dtype([("key", "<u4"), ("node", "<i8")])
-
-    def __init__(self, shift: int):
-        self.shift, self.files, self.sizes = shift, [TemporaryFile() for _ in range(8)], [0] * 8
-
-    def add(self, keys: np.ndarray, nodes: np.ndarray) -> None:
-        part = (keys >> np.uint32(self.shift)) & np.uint32(7)
-        for p in range(8):
-            some = np.flatnonzero(part == p)
-            if len(some):
-                records = np.empty(len(some), self.RECORD)
-                records["key"], records["node"] = keys[some], nodes[some]
-                self.files[p].write(records.tobytes())
-                self.sizes[p] += len(some)
-
-    def _read(self, file, n: int) -> tuple[np.ndarray, np.ndarray]:
-        records = np.frombuffer(file.read(n * self.RECORD.itemsize), self.RECORD)
-        return records["key"], records["node"]
-
-    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Keys and nodes of RANGE_SIGNATURES at most, each with all nodes of its keys; more only where the bits of the key are used up."""
-        for p, (file, size) in enumerate(zip(self.files, self.sizes, strict=True)):
-            with file:
-                file.seek(0)
-                if size > RANGE_SIGNATURES and self.shift:
-                    finer = _Parts(max(self.shift - 3, 0))
-                    for x in range(0, size, RANGE_SIGNATURES):
-                        finer.add(*self._read(file, min(RANGE_SIGNATURES, size - x)))
-                    file.truncate(0)
-                    yield from finer
-                elif size:
-                    yield self._read(file, size)
+_PAIRED = "l long, r long, gid long, size long, members array<long>"
+_PAIRED_ARROW = pa.schema([("l", pa.int64()), ("r", pa.int64()), ("gid", pa.int64()), ("size", pa.int64()), ("members", pa.list_(pa.int64()))])
 
 
 def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blobs, sorted by range -> pairs of nodes that share a key, and the members of large groups."""
+    """Blobs, sorted by range -> pairs of nodes that share a key; large groups as parts of their members under the hub l."""
 
     def grouped(keys: np.ndarray, nodes: np.ndarray):
-        """Pairs and large groups of keys with all their nodes, a part of the keys at a time."""
+        """Pairs and large groups of a range, a part of the keys at a time."""
         left, right, told = [], [], set()
         part = (keys >> np.uint32(29)).astype(np.uint8)
         for p in range(8):
@@ -251,30 +216,26 @@ def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k, v = keys[some], nodes[some]
             order = np.lexsort((v, k))
             k, v = k[order], v[order]
-            new = np.r_[True, k[1:] != k[:-1]]
-            starts = np.flatnonzero(new)
+            starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
             sizes = np.diff(np.r_[starts, len(k)])
             # Keys of one node alone, most of them, are left out from here on.
-            shared = np.repeat(sizes > 1, sizes)
-            k, v, new = k[shared], v[shared], new[shared]
+            v = v[np.repeat(sizes > 1, sizes)]
             sizes = sizes[sizes > 1]
             starts = np.cumsum(sizes) - sizes
             size, first = np.repeat(sizes, sizes), np.repeat(starts, sizes)
             for d in range(1, SMALL_GROUP):
-                i = np.flatnonzero((size[d:] <= SMALL_GROUP) & (first[d:] == first[:-d])) if len(k) > d else []
+                i = np.flatnonzero((size[d:] <= SMALL_GROUP) & (first[d:] == first[:-d])) if len(v) > d else []
                 if len(i):
                     left.append(v[i])
                     right.append(v[i + d])
-            i = np.flatnonzero((size > SMALL_GROUP) & ~new)
-            left.append(v[first[i]])
-            right.append(v[i])
             for g in np.flatnonzero(sizes > SMALL_GROUP):
                 s, e = starts[g], starts[g] + sizes[g]
                 gid = xxhash.xxh64_intdigest(v[s:e].tobytes())
                 if gid not in told:
                     told.add(gid)
                     parts = [v[x : min(x + 8192, e)] for x in range(s, e, 8192)]
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array(np.full(len(parts), gid, U64).view(np.int64)), pa.array(parts, pa.list_(pa.int64()))], schema=_PAIRED_ARROW)
+                    n = len(parts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v[s])), pa.nulls(n, pa.int64()), pa.array(np.full(n, gid, U64).view(np.int64)), pa.array(np.full(n, e - s)), pa.array(parts, pa.list_(pa.int64()))], schema=_PAIRED_ARROW)
         l, r = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         if len(l):
             names, at = np.unique(np.r_[l, r], return_inverse=True)
@@ -284,103 +245,114 @@ def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             l, r = l[ok], r[ok]
             for x in range(0, len(l), 65_536):
                 n = len(l[x : x + 65_536])
-                yield pa.RecordBatch.from_arrays([pa.array(l[x : x + n]), pa.array(r[x : x + n]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], schema=_PAIRED_ARROW)
-
-    def finished():
-        """The range that ends."""
-        if parts is not None:
-            parts.add(np.concatenate(keys), np.concatenate(nodes))
-            for some in parts:
-                yield from grouped(*some)
-        elif held:
-            yield from grouped(np.concatenate(keys), np.concatenate(nodes))
-
-    at, keys, nodes, held, parts = None, [], [], 0, None
+                yield pa.RecordBatch.from_arrays([pa.array(l[x : x + n]), pa.array(r[x : x + n]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], schema=_PAIRED_ARROW)
+
+    at, keys, nodes = None, [], []
     for b in slices(batches, 8):
         for rng, node0, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             if rng != at:
-                yield from finished()
-                at, keys, nodes, held, parts = rng, [], [], 0, None
-            elif held > RANGE_SIGNATURES:
-                parts = parts or _Parts(29)
-                parts.add(np.concatenate(keys), np.concatenate(nodes))
-                keys, nodes, held = [], [], 0
+                if keys:
+                    yield from grouped(np.concatenate(keys), np.concatenate(nodes))
+                at, keys, nodes = rng, [], []
             n = len(blob) // 6
             keys.append(np.frombuffer(blob, "<u4", n))
             nodes.append(np.frombuffer(blob, "<u2", n, 4 * n).astype(np.int64) + node0)
-            held += n
-    yield from finished()
+    if keys:
+        yield from grouped(np.concatenate(keys), np.concatenate(nodes))
+
+
+def _by_hub(batches: Iterator[pa.RecordBatch], read, keep) -> Iterator[pa.RecordBatch]:
+    """Rows (c, salt, m, n, value), sorted so that hubs (m null) come before their members -> the (c, salt, m) that keep(hub, member)
+    accepts for a hub of the same c and salt. read makes the values of a slice comparable; one hub is held at a time."""
+    at, hubs = None, []
+    for b in slices(batches, 256):
+        c, salt, m, n = (b.column(i).to_pylist() for i in range(4))
+        found = []
+        for i, value in enumerate(read(b.column(4))):
+            if (c[i], salt[i]) != at:
+                at, hubs = (c[i], salt[i]), []
+            if m[i] is None:
+                hubs.append((n[i], value))
+            else:
+                found.append(any(keep(*hub, n[i], value) for hub in hubs))
+        yield b.select([0, 1, 2]).filter(b.column(2).is_valid()).filter(pa.array(found, pa.bool_()))
 
 
 def _near(percent: int):
     """Keeps pairs whose sizes and sketches allow the similarity."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            na, nb, sa, sb = (b.column(i).to_pylist() for i in (2, 3, 4, 5))
-            keep = [100 * min(x, y) >= percent * max(x, y) and hamming(p, q) <= differences(x, y, percent) for x, y, p, q in zip(na, nb, sa, sb, strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def keep(x: int, p: bytes, y: int, q: bytes) -> bool:
+        return 100 * min(x, y) >= percent * max(x, y) and hamming(p, q) <= differences(x, y, percent)
 
-    return run
+    return lambda batches: _by_hub(batches, lambda column: column.to_pylist(), keep)
 
 
-def _within(percent: int, turn: int):
-    """The pairs within a block of a group (or between two) whose sketches allow the similarity and whose components
-    differ: for each member and other component the nearest first, four times as many each turn. A pair (-1, -1) tells
-    that there are more."""
-    low, high = TURN_PAIRS * 4 ** (turn - 1) if turn else 0, TURN_PAIRS * 4**turn
+def _linked(percent: int):
+    """The exact comparison of two whole texts."""
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("n", "ascending"), ("id", "ascending")])
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        own, ids, comp, n = (t.column(c).to_numpy() for c in ("own", "id", "component", "n"))
-        raw = t.column("sketch").to_pylist()
-        at, out, more = 0, [], False
-        for stop in sorted({int(np.searchsorted(n, 2 * x)) for x in 1 << np.arange(int(n[-1]).bit_length())} | {len(n)}):
-            # Rows [at, stop) begin in one power of two; their partners reach as far as sizes allow.
-            if stop <= at:
-                continue
-            end = int(np.searchsorted(n, n[stop - 1] * 100 // percent, "right"))
-            width = len(raw[at])
-            bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), axis=0) for x in raw[at:end]])
-            bits = bits.view(np.uint64) if width % 8 == 0 else bits
-            for x in range(at, stop):
-                last = int(np.searchsorted(n, n[x] * 100 // percent, "right"))
-                y = np.arange(x + 1, last)
-                y = y[(comp[y] != comp[x]) & ((i == j) | (own[y] != own[x]))]
-                if len(y):
-                    apart = np.bitwise_count(bits[y - at] ^ bits[x - at]).sum(1, dtype=np.int64)
-                    ok = apart <= (n[x].astype(np.int64) + n[y]) * (100 - percent) // (100 + percent)
-                    y, apart = y[ok], apart[ok]
-                    if len(y):
-                        order = np.lexsort((ids[y], apart, comp[y]))
-                        y = y[order]
-                        first = np.flatnonzero(np.r_[True, comp[y][1:] != comp[y][:-1]])
-                        rank = np.arange(len(y)) - np.repeat(first, np.diff(np.r_[first, len(y)]))
-                        more |= bool((rank >= high).any())
-                        y = y[(rank >= low) & (rank < high)]
-                        out.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])))
-            at = stop
-        if more:
-            out.append((np.array([-1]), np.array([-1])))
-        a, b = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.table({"a": a, "b": b})
+    def keep(_, x: np.ndarray, __, y: np.ndarray) -> bool:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = word_hashes()
+        yield from _by_hub(batches, lambda column: shingle_sets(utf8(column), memo), keep)
 
     return run
 
 
-def _linked(percent: int):
-    """The exact comparison of two whole texts."""
+def _folded(raw: list[bytes], width: int) -> np.ndarray:
+    bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), axis=0) for x in raw])
+    return bits.view(U64) if width % 8 == 0 else bits
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_hashes()
-        for b in slices(batches, 256):
-            sets = shingle_sets(utf8(b.column(2)) + utf8(b.column(3)), memo)
-            keep = []
-            for x, y in zip(sets[: b.num_rows], sets[b.num_rows :], strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
+
+def _within(percent: int, turn: int):
+    """A cell holds some of a group's strays (members outside its largest component) and some of all its members. For each
+    stray the members whose sketches allow the similarity and whose component differs, the nearest first: in turn 0 the
+    first TURN_PAIRS, then eight times as many each turn. Ranks go by the components before turn 0; pairs that links have
+    joined since are left out. A pair (-1, -1) tells that there are more."""
+    low, high = TURN_PAIRS * 8 ** (turn - 1) if turn else 0, TURN_PAIRS * 8**turn
+
+    def run(t: pa.Table) -> pa.Table:
+        stray, ids, comp, now, n = (t.column(c).to_numpy() for c in ("stray", "id", "component", "now", "n"))
+        own = t.column("own").to_numpy(zero_copy_only=False)
+        raw = np.array(t.column("sketch").to_pylist(), object)
+        width = np.array([len(x) for x in raw])
+        xs, ys, far = [], [], []
+        for w in np.unique(width[own]):
+            rows = np.flatnonzero(own & (width == w))
+            for v in np.unique(width[~own]):
+                if not w <= 2 * v <= 4 * w:  # sizes of one width lie within a power of two
+                    continue
+                others = np.flatnonzero(~own & (width == v))
+                others = others[np.argsort(n[others], kind="stable")]
+                mine, theirs, sizes = _folded(raw[rows], min(v, w)), _folded(raw[others], min(v, w)), n[others].astype(np.int64)
+                for x, bits in zip(rows, mine, strict=True):
+                    a = int(n[x])
+                    at = np.arange(np.searchsorted(sizes, -(-a * percent // 100)), np.searchsorted(sizes, a * 100 // percent, "right"))
+                    y = others[at]
+                    # Two strays meet twice; the one with the smaller id counts.
+                    ok = (comp[y] != comp[x]) & ((stray[y] == 0) | (ids[x] < ids[y]))
+                    at, y = at[ok], y[ok]
+                    if len(y):
+                        apart = np.bitwise_count(theirs[at] ^ bits).sum(1, dtype=np.int64)
+                        ok = apart <= (a + sizes[at]) * (100 - percent) // (100 + percent)
+                        y, apart = y[ok], apart[ok]
+                        if len(y) > high + 1:
+                            some = np.lexsort((ids[y], apart))[: high + 1]
+                            y, apart = y[some], apart[some]
+                        xs.append(np.full(len(y), x))
+                        ys.append(y)
+                        far.append(apart)
+        x, y, apart = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (xs, ys, far))
+        order = np.lexsort((ids[y], apart, x))
+        x, y = x[order], y[order]
+        first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+        rank = np.arange(len(x)) - np.repeat(first, np.diff(np.r_[first, len(x)]))
+        apart = now[x] != now[y]
+        chosen = apart & (rank >= low) & (rank < high)
+        more = [-1] if (apart & (rank >= high)).any() else []
+        return pa.table({"c": np.r_[ids[x[chosen]], more].astype(np.int64), "m": np.r_[ids[y[chosen]], more].astype(np.int64)})
 
     return run
 
@@ -409,59 +381,82 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    n_docs = docs.count()
-    ranges = max(16, n_docs // RANGE_DOCS)
-    frequent = spark.sparkContext.broadcast(_frequent(docs, n_docs))
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    ranges = max(16, (size.bytes or 0) // RANGE_BYTES)
+    frequent = spark.sparkContext.broadcast(_frequent(docs, size.n))
     signed = stored(docs.mapInArrow(_sign(ranges, frequent, percent), _SIGNED).withColumn("kind", F.when(F.col("rng").isNull(), "set").otherwise("blob")), "signed", "kind")
-    blobs = signed.where("kind = 'blob'").select("rng", "node0", "blob").repartition(ranges, "rng").sortWithinPartitions("rng", "node0")
+    blobs = signed.where("kind = 'blob'").select("rng", "node0", "blob").repartitionById(ranges, "rng").sortWithinPartitions("rng", "node0")
     paired = stored(blobs.mapInArrow(_pair, _PAIRED), "paired")
     dropped(signed, "kind=blob")
     signed = signed.where("kind = 'set'")
 
     sets = signed.select("doc_id", "node", "n", "fp1", "fp2")
-    reps = sets.where("n > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.min("node").alias("node"), F.min("n").alias("n"))
-    member = stored(sets.where("n > 0 and doc_id is not null").join(reps.select("fp1", "fp2", "rep"), ["fp1", "fp2"]).select("node", "rep"), "members")
-    sketches = signed.select("node", "sketch").join(reps.select("node", "rep", "n"), "node").select("rep", "n", "sketch")
-
-    def of(pairs: DataFrame) -> DataFrame:
-        """Pairs of nodes -> distinct pairs of different sets, by their representatives."""
-        p = pairs.distinct().join(member.toDF("l", "x"), "l").join(member.toDF("r", "y"), "r").where("x <> y")
-        return p.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        """(a, b) -> (a, b, linked) after bound and exact comparison; pairs beyond the bound are left out."""
-        wide = pairs.join(sketches.toDF("a", "na", "sa"), "a").join(sketches.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
-        near = stored(wide.mapInArrow(_near(percent), "a long, b long"), "near")
-        ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
+    reps = sets.where("n > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.min("node").alias("node"))
+    member = stored(sets.where("n > 0 and doc_id is not null").join(reps.select("fp1", "fp2", "rep"), ["fp1", "fp2"]).select("node", "rep", "n"), "members")
+    sketches = signed.select("node", "n", "sketch").join(reps.select("node", "rep"), "node").select("rep", "n", "sketch")
+    named = member.select("node", "rep")
+
+    def by_hub(pairs: DataFrame, rows: DataFrame, keep) -> DataFrame:
+        """pairs(c, salt, m), rows(rep, n, value) -> the pairs that keep lets through. A hub's value is copied once for each of its salts."""
+        hubs = pairs.select("c", "salt").distinct().join(rows.withColumnRenamed("rep", "c"), "c").select("c", "salt", F.lit(None).cast("long").alias("m"), "n", "value")
+        members = pairs.join(rows.withColumnRenamed("rep", "m"), "m").select("c", "salt", "m", "n", "value")
+        return hubs.union(members).repartition("c", "salt").sortWithinPartitions("c", "salt", F.asc_nulls_first("m")).mapInArrow(keep, "c long, salt int, m long")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """pairs(c, salt, m) -> links(a, b), by exact comparison of whole texts."""
+        ids = pairs.select(F.col("c").alias("doc_id")).union(pairs.select("m")).distinct()
         texts = stored(small_semi_join(docs, ids, "doc_id", ids.limit(BROADCAST_IDS + 1).count()).dropDuplicates(["doc_id", "text"]), "texts")
-        both = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-        found = stored(both.mapInArrow(_linked(percent), "a long, b long, linked boolean"), "compared")
+        rows = texts.select(F.col("doc_id").alias("rep"), F.lit(None).cast("int").alias("n"), F.col("text").alias("value"))
+        found = stored(by_hub(pairs, rows, _linked(percent)).select(F.col("c").alias("a"), F.col("m").alias("b")).distinct(), "links")
         dropped(texts)
-        dropped(near)
         return found
 
-    star = stored(of(paired.where("l is not null").select("l", "r")), "star")
-    links = compared(star).where("linked").select("a", "b")
+    # Hubs are named before their members are spread out, so no key of the joins on nodes is hot.
+    parts = paired.where("gid is not null").dropDuplicates(["gid", "members"]).join(named.toDF("l", "hub"), "l")
+    groups = stored(parts.select("gid", "hub", "size", F.explode("members").alias("node")).join(member, "node").select("gid", "hub", "size", F.col("rep").alias("id"), "n").distinct(), "groups")
+    pairs = paired.where("gid is null").select("l", "r").distinct().join(named.toDF("l", "x"), "l").join(named.toDF("r", "y"), "r").where("x <> y")
+    salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / HUB_MEMBERS)).cast("int")
+    spokes = groups.where("id <> hub").select(F.col("hub").alias("c"), salt.alias("salt"), F.col("id").alias("m"))
+    star = pairs.select(F.least("x", "y").alias("c"), F.lit(0).alias("salt"), F.greatest("x", "y").alias("m")).union(spokes).groupBy("c", "m").agg(F.max("salt").alias("salt"))
+    near = stored(by_hub(star.select("c", "salt", "m"), sketches.withColumnRenamed("sketch", "value"), _near(percent)), "near")
+    dropped(paired)
+    links = linked(near)
+    dropped(near)
     found = components(links)
-    groups = stored(paired.where("gid is not null").select("gid", F.explode("members").alias("node")).join(member, "node").select("gid", F.col("rep").alias("id")).distinct(), "groups")
-    # The groups that the stars leave in more than one component; their sketches are compared in blocks.
-    labelled = groups.join(found, "id", "left").select("gid", "id", F.coalesce("component", "id").alias("component"))
-    split = labelled.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
-    blocks = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(F.col("own"), k).alias("i"), F.greatest(F.col("own"), k).alias("j")))
-    members = labelled.join(split.select("gid", blocks.alias("blocks")), "gid").withColumn("own", own)
-    members = members.select("gid", "id", "component", "own", F.explode(cells).alias("cell")).select("gid", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "own", "id", "component")
-    members = members.join(sketches.toDF("id", "n", "sketch"), "id").select("gid", "i", "j", "own", "id", "component", "n", "sketch")
-    turn = 0
-    while True:  # a second turn only where a member has more than TURN_PAIRS such pairs with one other component
-        pairs = stored(members.groupBy("gid", "i", "j").applyInArrow(_within(percent, turn), "a long, b long").distinct(), "cross")
-        more = stored(compared(pairs.where("a <> b").join(star, ["a", "b"], "left_anti")).where("linked").select("a", "b"), "more")
-        links = links.union(more)
-        if pairs.where("a = b").isEmpty():
+    dropped(links)
+
+    # The groups that the stars leave in more than one component: their strays are compared with all members, in cells.
+    labelled = groups.join(found, "id", "left").select("gid", "id", "n", F.coalesce("component", "id").alias("component"))
+    of = labelled.groupBy("gid", "component").agg(F.count("*").alias("size"), F.sum(2 * F.col("n")).alias("bytes"))
+    of = of.groupBy("gid").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("size"), F.sum("bytes").alias("bytes"), F.count("*").alias("parts"))
+    heavy = F.greatest(F.lit(CELL_MEMBERS / CELL_BYTES) * F.col("bytes") / F.col("size"), F.lit(1.0))  # by bytes where sets are large
+    cells = lambda n: F.greatest(F.ceil(n * heavy / CELL_MEMBERS), F.lit(1)).cast("int")
+    split = stored(of.where("parts > 1").select("gid", "main", cells(F.col("size")).alias("columns"), cells(F.col("size") - F.col("most")).alias("rows")), "split")
+    held = labelled.join(F.broadcast(split) if split.count() <= BROADCAST_IDS else split, "gid").withColumn("stray", (F.col("component") != F.col("main")).cast("int"))
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    kept = ["gid", "id", "component", "stray"]
+    spread = held.where("stray = 1").select(*kept, F.lit(True).alias("own"), own("rows").alias("i"), F.explode(to("columns")).alias("j"))
+    spread = spread.union(held.select(*kept, F.lit(False).alias("own"), F.explode(to("rows")).alias("i"), own("columns").alias("j")))
+    spread = stored(spread.join(sketches.withColumnRenamed("rep", "id"), "id"), "spread")
+    dropped(groups)
+    turn, more, merged = 0, [], spark.createDataFrame([], "id long, component long")
+    while True:  # a further turn only where a stray has more such members in a cell
+        now = spread.join(merged.toDF("component", "now"), "component", "left").withColumn("now", F.coalesce("now", "component")) if turn else spread.withColumn("now", F.col("component"))
+        pairs = stored(now.groupBy("gid", "i", "j").applyInArrow(_within(percent, turn), "c long, m long").distinct(), "cross")
+        more.append(linked(pairs.where("c <> m").select("c", F.lit(0).alias("salt"), "m")))
+        last = pairs.where("c = m").isEmpty()
+        dropped(pairs)
+        # Links between components; few against the links of the stars.
+        between = reduce(DataFrame.union, more)
+        for end in ("a", "b"):
+            between = between.join(found.select(F.col("id").alias(end), F.col("component").alias("of")), end, "left").withColumn(end, F.coalesce("of", end)).drop("of")
+        merged = components(between)
+        if last:
             break
         turn += 1
-    found = components(links)
-    named = member.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component_id"))
-    rows = sets.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles")).join(named, "node", "left")
+    dropped(spread)
+    label = member.select("node", "rep").join(found.toDF("rep", "component"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
+    label = label.join(merged.toDF("component", "merged"), "component", "left").select("node", F.coalesce("merged", "component").alias("component_id"))
+    rows = sets.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles")).join(label, "node", "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -50,9 +50,10 @@ def edited(rng, words, rate):
 def test_components_match_brute_force(spark, seed, percent, monkeypatch):
     """Families of near copies of all sizes, a passage in many texts, and large groups (so that stars and blocks are used)."""
     monkeypatch.setattr(j, "SMALL_GROUP", 3)
-    monkeypatch.setattr(j, "BLOCK_MEMBERS", 8)
+    monkeypatch.setattr(j, "CELL_MEMBERS", 8)
     monkeypatch.setattr(j, "TURN_PAIRS", 1)
-    monkeypatch.setattr(j, "RANGE_SIGNATURES", 2_000)
+    monkeypatch.setattr(j, "HUB_MEMBERS", 4)
+    monkeypatch.setattr(j, "RANGE_BYTES", 4_000)
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(400)]
     passage = [rng.choice(vocabulary) for _ in range(60)]
@@ -71,30 +72,44 @@ def test_components_match_brute_force(spark, seed, percent, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute(rows, percent)
 
 
-def test_over_full_ranges_keep_whole_groups(monkeypatch):
-    """However few signatures are held at once, pairs and groups are those of the whole range; no pair of later blobs is lost."""
+def test_ranges_keep_whole_groups():
+    """Every pair of nodes with a common key comes out, as a pair or through a group, with its key's whole group."""
     rng = np.random.default_rng(5)
-    blobs = []
+    blobs, at = [], defaultdict(set)
     for r in range(2):
         for doc in range(60):  # keys of 2 to 8 nodes, of many nodes, and of one node
             keys = np.unique(np.r_[rng.choice(40, 3) * 90_000_001, [7, 8][doc % 2], 2**32 - 1 if doc % 3 else 5, rng.integers(0, 2**32, 20)].astype(np.uint32))
             blobs.append((r, doc * 100, keys.tobytes() + np.zeros(len(keys), np.uint16).tobytes()))
-    blobs.append((2, 0, np.array([3, 3, 4], np.uint32).tobytes() + np.array([0, 1, 0], np.uint16).tobytes()))  # A and B
-    blobs += [(2, 100 * i, np.array([x, 9], np.uint32).tobytes() + bytes(4)) for i, x in ((1, 4), (2, 3))]  # C has the key of A and B
+            for k in keys:
+                at[r, int(k)].add(doc * 100)
     batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*blobs, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["rng", "node0", "blob"])
-
-    def paired():
-        rows = [x for b in j._pair(iter([batch])) for x in b.to_pylist()]
-        groups = defaultdict(set)
-        for x in rows:
-            groups[x["gid"]].update(x["members"] or ())
-        return {(x["l"], x["r"]) for x in rows if x["gid"] is None}, {frozenset(g) for g in groups.values()}
-
-    whole = paired()
-    assert {(0, 1), (0, 200), (1, 200)} <= whole[0] and len(whole[1]) > 4
-    for few in (2, 30, 400):
-        monkeypatch.setattr(j, "RANGE_SIGNATURES", few)
-        assert paired() == whole
+    rows = [x for b in j._pair(iter([batch])) for x in b.to_pylist()]
+    groups, hubs = defaultdict(set), {}
+    for x in rows:
+        if x["gid"] is not None:
+            groups[x["gid"]].update(x["members"])
+            hubs[x["gid"]] = (x["l"], x["size"])
+    assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in at.values() if len(g) > j.SMALL_GROUP}
+    assert all(hubs[g] == (min(m), len(m)) for g, m in groups.items())
+    assert {(x["l"], x["r"]) for x in rows if x["gid"] is None} == {(a, b) for g in at.values() if len(g) <= j.SMALL_GROUP for a in g for b in g if a < b}
+
+
+def test_a_star_that_holds_nothing_together(spark, monkeypatch):
+    """A hub that is like no member, members in chains: only the cells find the links, over several turns and cells."""
+    monkeypatch.setattr(j, "SMALL_GROUP", 2)
+    monkeypatch.setattr(j, "CELL_MEMBERS", 16)
+    monkeypatch.setattr(j, "TURN_PAIRS", 1)
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(0, " ".join(base[:60] + [f"h{i}" for i in range(60)]))]
+    for chain in range(6):
+        w = base[:]
+        for step in range(25):
+            x = rng.randrange(60, 115)
+            w = w[:x] + [f"c{chain}s{step}"] + w[x + 1 :]
+            rows.append((len(rows), " ".join(w)))
+    rng.shuffle(rows)
+    assert sorted(map(tuple, j.jaccard_components(docs(spark, rows)).collect())) == brute(rows)
 
 
 def test_odd_rows(spark):
