@@ -1,13 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two character models, of toxic and of ordinary texts, score each word (an expression with its ends marked). The highest
-order discounts the counts of its class; below it, continuation counts, shared by both classes, smooth what is rare, so
-an expression that neither class knows well gets nearly the same likelihood from both. A text's evidence is its
-log-likelihood ratio divided by its length, and the ratios, divided by their lengths, of its most toxic expressions. A
+order is a word's whole beginning, so a long expression is known as such; it discounts the counts of its class. All lower
+orders use continuation counts (how many different grams of the next order end in a gram), of both classes together up to
+SHARED characters. So what is rare is smoothed through counts that both share, and an
+expression that neither class knows well gets nearly the same likelihood from both. The discount of each order and class is
+estimated from its grams seen once and twice. A text's evidence is its log-likelihood ratio divided by its length, the
+ratios, divided by their lengths, of its most toxic expressions, and what expressions of large ratio make up of its words. A
 logistic curve, fitted on labelled texts that the models haven't seen, turns the evidence into a score from 0 to 1.
 
-Training takes a bounded sample of labelled rows (TRAIN_DOCS of each class); scoring is one pass over whole texts, whose
-memory is bounded by the models and a memo of words.
+Training takes a bounded sample of labelled rows (TRAIN_DOCS of each class), read once and kept in the shared folder while
+the models are made; scoring is one pass over whole texts, whose memory is bounded by the models and a memo of words.
 """
 
 from __future__ import annotations
@@ -22,18 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import U64, mix, slices, utf8, with_column
+from .common import U64, dropped, mix, slices, stored, utf8, with_column
 
 #: Documented bound: labelled texts of each class that are learned from, and how many of five go to the models (the rest fit the curve).
 TRAIN_DOCS, MODEL_SHARE = 2_000, 3
-#: Characters of a gram, and those of the lower orders, which both classes share.
-ORDER, SHARED = 6, 3
-#: Kneser-Ney discount.
-DISCOUNT = 1.0
-#: Words scored together, and remembered by a process.
-MEMO = 250_000
+#: Orders in characters, lowest first; the last is a word's whole beginning. Those up to SHARED are shared by the classes.
+LEVELS, SHARED = (1, 2, 3, 0), 3
+#: Ratio of an expression's likelihoods, as a logarithm, from which it counts as one of large ratio.
+LARGE = 2.0
+#: Characters that are scored at once, those that a process remembers scores of, and the longest word that is remembered.
+CHUNK, MEMO_CHARS, MEMO_WORD = 250_000, 2_500_000, 64
 _WORD = re.compile(r"[^\W\d_]+")
-_LONGEST = 40
+_BASE = U64(0x9E3779B97F4A7C15)
 
 
 def words(text: str) -> list[str]:
@@ -49,19 +52,26 @@ def _flat(ws: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _grams(codes: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
-    """At each place the hash of the last k characters up to it; 0 where the word has fewer. k = 0: 1 everywhere."""
-    h = np.full(len(codes), U64(1)) if not k else np.zeros(len(codes), U64)
-    for back in range(k):
-        part = np.zeros(len(codes), U64)
-        part[back:] = codes[: len(codes) - back]
-        h = mix(h ^ part, 7)
-    h[place < k - 1] = 0
-    return h
-
-
-def _context(codes: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
-    """At each place the hash of the k - 1 characters before it."""
-    return np.r_[U64(0), _grams(codes, place, k - 1)[:-1]] if k > 1 else _grams(codes, place, 0)
+    """At each place the hash of the last k characters up to it, 0 where the word has fewer; k = 0: of the word's whole beginning."""
+    with np.errstate(over="ignore"):
+        if k:
+            h = np.zeros(len(codes), U64)
+            for back in range(k):
+                h[back:] += codes[: len(codes) - back] * pow(int(_BASE), back + 1, 2**64)
+            h = mix(h, k)
+            h[place < k - 1] = 0
+            return h
+        powers = np.cumprod(np.full(int(place.max(initial=0)) + 1, _BASE))[place]
+        sums = np.cumsum(codes * powers)
+        before = np.r_[U64(0), sums][np.arange(len(codes)) - place]
+        return mix(sums - before ^ place.astype(U64) << U64(48), 64)
+
+
+def _contexts(codes: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """At each place the hash of what an order knows before it: k - 1 characters, or the word's beginning; 1 for the lowest order."""
+    if k == 1:
+        return np.full(len(codes), U64(1))
+    return np.where(place > 0, np.r_[U64(0), _grams(codes, place, k - 1 if k else 0)[:-1]], U64(0))
 
 
 class Table:
@@ -86,6 +96,16 @@ def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return names, np.bincount(at, weights, len(names))
 
 
+def _of(names: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return values[np.searchsorted(names, keys)]
+
+
+def discount(n: np.ndarray) -> float:
+    """The Kneser-Ney discount from how many grams were seen once and twice; a half where none was seen once."""
+    once, twice = np.count_nonzero(n == 1), np.count_nonzero(n == 2)
+    return once / (once + 2 * twice) if once else 0.5
+
+
 class Models:
     """The two class models over shared lower orders."""
 
@@ -94,78 +114,81 @@ class Models:
         codes, place, starts = _flat(ws)
         number = np.repeat(number.astype(np.float32), np.diff(np.r_[starts, len(codes)]), axis=0)
         self.floor = 1.0 / max(len(np.unique(codes)), 1)
-        self.levels = {}
-        below = _grams(codes, place, 1)
-        for k in range(1, ORDER + 1):
-            g, below = below, _grams(codes, place, k + 1)
+        self.levels = []
+        below = _grams(codes, place, LEVELS[0])
+        for i, k in enumerate(LEVELS):
+            g, below = below, _grams(codes, place, LEVELS[i + 1]) if i + 1 < len(LEVELS) else None
             names, first = np.unique(g, return_index=True)
-            context = _context(codes, place, k)[first]
-            if k <= SHARED:
-                # Continuation counts: how many different characters stand before a gram, over both classes.
-                ok = below > 0
-                _, once = np.unique(below[ok], return_index=True)
-                counts_of = [_summed(g[ok][once], np.ones(len(once)))]
-            else:
-                counts_of = [_summed(g[g > 0], number[g > 0, c]) for c in (0, 1)]
+            context = _contexts(codes, place, k)[first]
             grams, contexts = [], []
-            for keys, n in counts_of:
-                of = dict_of(names, context, keys)
-                known = n > 0
-                keys, n, of = keys[known], n[known], of[known]
-                grams.append((keys, np.maximum(n - DISCOUNT, 0)))
-                contexts += [_summed(of, n), _summed(of, np.ones(len(n)))]
-            # Discounted counts of grams; of contexts the totals and numbers of grams; a column, or two, for each class.
-            self.levels[k] = Table(*grams), Table(*contexts)
-
-    def log_ratio(self, ws: list[str]) -> np.ndarray:
-        """For each word the toxic less the ordinary log-likelihood."""
+            for seen in [number.sum(1)] if 0 < k <= SHARED else number.T:
+                has = (g > 0) & (seen > 0)
+                if below is None:
+                    keys, n = _summed(g[has], seen[has])
+                else:  # a word's beginning that is shorter than the next order ends in nothing longer, and counts once
+                    _, once = np.unique(np.where(below[has] > 0, below[has], mix(g[has], 99)), return_index=True)
+                    keys, n = _summed(g[has][once], np.ones(len(once)))
+                d = discount(n)
+                of = _of(names, context, keys)
+                grams.append((keys, np.maximum(n - d, 0)))
+                contexts += [_summed(of, n), _summed(of, np.minimum(n, d))]
+            # Discounted counts of grams; of contexts the totals and what was discounted; a column, or two, for each class.
+            self.levels.append((Table(*grams), Table(*contexts)))
+
+    def log_likelihoods(self, ws: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every character of the words, their end marks included, the logarithms of its likelihood, a row for each class; places; starts."""
         codes, place, starts = _flat(ws)
         p = [np.full(len(codes), self.floor)]
-        g = _grams(codes, place, 0)
-        for k in range(1, ORDER + 1):
-            h = np.r_[U64(0), g[:-1]] if k > 1 else g
+        for k, (grams, contexts) in zip(LEVELS, self.levels, strict=True):
             g = _grams(codes, place, k)
-            if k == SHARED + 1:
-                p = [p[0], p[0]]
-            counts, rest = self.levels[k][0](g), self.levels[k][1](h)
+            counts, rest = grams(g), contexts(_contexts(codes, place, k))
+            p = [p[0], p[0]] if len(counts) > len(p) else p
             for c in range(len(p)):
-                total, types = rest[2 * c], rest[2 * c + 1]
+                total, left = rest[2 * c], rest[2 * c + 1]
                 known = (g > 0) & (total > 0)
-                p[c] = np.where(known, (counts[c] + DISCOUNT * types * p[c]) / np.where(known, total, 1), p[c])
-        ratio = np.log(p[1]) - np.log(p[0])
-        ratio[place == 0] = 0
-        return np.add.reduceat(ratio, starts)
-
+                p[c] = np.where(known, (counts[c] + left * p[c]) / np.where(known, total, 1), p[c])
+        return np.log(np.stack([p[0], p[-1]])), place, starts
 
-def dict_of(names: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return values[np.searchsorted(names, keys)]
+    def log_ratio(self, ws: list[str]) -> np.ndarray:
+        """For each word the toxic less the ordinary log-likelihood."""
+        logs, place, starts = self.log_likelihoods(ws)
+        return np.add.reduceat(np.where(place > 0, logs[1] - logs[0], 0.0), starts)
 
 
 class Scorer:
     """Words -> ratios by a memo; texts -> evidence."""
 
     def __init__(self, models: Models):
-        self.models, self.memo = models, {}
+        self.models, self.memo, self.held = models, {}, 0
+
+    def ratios(self, ws: list[str]) -> Iterator[tuple[str, float]]:
+        """Words in chunks of bounded length; a word alone may be longer."""
+        ends = np.cumsum([len(w) + 2 for w in ws])
+        chunk = (ends - 1) // CHUNK
+        cuts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(ws) else []
+        for s, e in zip(cuts, [*cuts[1:], len(ws)], strict=True):
+            yield from zip(ws[s:e], self.models.log_ratio(ws[s:e]).tolist(), strict=True)
 
     def evidence(self, texts: list[str]) -> np.ndarray:
-        """Rows of: ratio by character, and the best expression's ratio and the third best's, by their length's root."""
+        """Rows of: ratio by character; the best expression's ratio and the third best's, by their lengths' roots; root of the share of
+        expressions of large ratio; mean of the best fiftieth."""
         cuts = [words(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        missing = sorted(set(chain.from_iterable(cuts)).difference(self.memo))
-        for i in range(0, len(missing), 10_000):
-            ws = missing[i : i + 10_000]
-            parts = [[w[j : j + _LONGEST] for j in range(0, len(w), _LONGEST)] for w in ws]
-            flat = self.models.log_ratio(list(chain.from_iterable(parts)))
-            ends = np.cumsum([len(p) for p in parts])
-            self.memo.update(zip(ws, np.add.reduceat(flat, np.r_[0, ends[:-1]]).tolist(), strict=True))
-        out = np.zeros((len(texts), 3))
+        if self.held > MEMO_CHARS:
+            self.memo, self.held = {}, 0
+        long = {}
+        for w, r in self.ratios(sorted(set(chain.from_iterable(cuts)).difference(self.memo))):
+            if len(w) > MEMO_WORD:
+                long[w] = r
+            else:
+                self.memo[w] = r
+                self.held += len(w)
+        out = np.zeros((len(texts), 5))
         for i, c in enumerate(cuts):
             if c:
-                r = np.fromiter(map(self.memo.__getitem__, c), float, len(c))
                 n = np.fromiter(map(len, c), float, len(c))
-                best = np.sort(r / np.sqrt(n + 2))[::-1][:3]
-                out[i] = r.sum() / (n.sum() + 2 * len(n)), best[0], best[min(2, len(best) - 1)]
+                r = np.fromiter((self.memo[w] if len(w) <= MEMO_WORD else long[w] for w in c) if n.max() > MEMO_WORD else map(self.memo.__getitem__, c), float, len(c))
+                best = np.sort(r / np.sqrt(n + 2))[::-1]
+                out[i] = r.sum() / (n.sum() + 2 * len(n)), best[0], best[min(2, len(best) - 1)], np.sqrt((r > LARGE).mean()), best[: -(-len(best) // 50)].mean()
         return out
 
 
@@ -187,18 +210,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarra
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
     """(text, label, part): labelled rows outside the held-out fifth, `bound` of each class at most, taken by a hash of their id.
 
-    Contradicting or repeated labels of one doc_id count once, as the larger. The rows are chosen from the narrow labels before a text is read.
+    Contradicting or repeated labels of one doc_id count once, as the larger; of several texts of one doc_id the smallest is
+    taken. The rows are chosen from the narrow labels before a text is read.
     """
     train = labels.where(f"doc_id is not null and {label} is not null and pmod(crc32(cast(doc_id as string)), 5) <> 0").groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     # The id's hash decides; the two heaps hold `bound` rows each.
     chosen = [train.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound) for c in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1])
-    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").dropDuplicates(["doc_id"])
+    return docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Scorer, np.ndarray] | None:
     """The models and the curve; None where a class has no labelled text."""
-    rows = training_rows(docs, labels, "toxic", TRAIN_DOCS)
+    rows = stored(training_rows(docs, labels, "toxic", TRAIN_DOCS), "sample")
     part = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,24 +230,23 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Scorer, np.ndarray] | Non
         for b in slices(batches):
             for text, label in zip(utf8(b.column(0)), b.column(1).to_pylist(), strict=True):
                 for w in set(words(text.decode())):  # a word counts once for a text: copies within a text say nothing new
-                    for j in range(0, len(w), _LONGEST):
-                        n = counts.setdefault(w[j : j + _LONGEST], [0, 0])
-                        n[label] += 1
+                    counts.setdefault(w, [0, 0])[label] += 1
         if counts:
             ws = list(counts)
             yield pa.RecordBatch.from_arrays([pa.array(ws), pa.array([counts[w][0] for w in ws], pa.int64()), pa.array([counts[w][1] for w in ws], pa.int64())], ["w", "n0", "n1"])
 
     # Bounded by the sample: 2 * TRAIN_DOCS texts.
     got = rows.where(part < MODEL_SHARE).select("text", "label").mapInArrow(counted, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0"), F.sum("n1")).toArrow()
+    rest = rows.where(part >= MODEL_SHARE).select("text", "label").toArrow()
+    dropped(rows)
     number = np.stack([got.column(c).to_numpy() for c in (1, 2)], axis=1) if got.num_rows else np.zeros((0, 2))
     if not number.sum(0).all():
         return None
     scorer = Scorer(Models(got.column(0).to_pylist(), number))
     del got, number
-    rest = rows.where(part >= MODEL_SHARE).select("text", "label").toArrow()
     y = np.array(rest.column(1).to_pylist(), float)
     if not 0 < y.sum() < len(y):
-        return scorer, np.array([10.0, 1.0, 1.0, -5.0])
+        return scorer, np.array([10.0, 1.0, 1.0, 0.0, 0.0, -5.0])
     return scorer, fit_logistic(scorer.evidence([t or "" for t in rest.column(0).to_pylist()]), y)
 
 
@@ -231,7 +254,7 @@ def scoring(docs: DataFrame, labels: DataFrame):
     """A function: texts -> scores, as learned from docs and their labels; 0 where there is nothing to learn from."""
     learned = train(docs, labels)
     if learned is not None:
-        learned[0].memo = {}
+        learned[0].memo, learned[0].held = {}, 0
     model = docs.sparkSession.sparkContext.broadcast(learned)
 
     def score(texts: list[bytes]) -> np.ndarray:

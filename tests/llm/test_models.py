@@ -34,14 +34,96 @@ def test_toxic_texts_are_found_on_held_out_rows(spark):
     assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in held]) > 0.97
 
 
+def brute_kneser_ney(counts, word):
+    """Log-likelihoods of a word in both classes, by dictionaries of strings and the formula alone."""
+    marked = {w: f"\x02{w}\x03" for w in counts}
+    letters = {x for m in marked.values() for x in m}
+
+    def ends(k):  # (place, gram, gram of the next order or of one of its own where it is too short) of all words
+        for w, m in marked.items():
+            for i in range(len(m)):
+                gram = m[: i + 1] if k == 0 else m[i - k + 1 : i + 1] if i >= k - 1 else None
+                above = kneser_ney.LEVELS[kneser_ney.LEVELS.index(k) + 1] if k else None
+                longer = None if above is None else m[: i + 1] if above == 0 else m[i - above + 1 : i + 1] if i >= above - 1 else ("short", gram)
+                if gram is not None:
+                    yield w, gram, longer
+
+    def table(k, seen):
+        n = {}
+        for w, gram, longer in ends(k):
+            if seen(w):
+                n.setdefault(gram, {} if k else 0)
+                if k:
+                    n[gram][longer] = 1
+                else:
+                    n[gram] += seen(w)
+        return {g: len(x) if k else x for g, x in n.items()}
+
+    out = []
+    for c in (0, 1):
+        m = f"\x02{word}\x03"
+        p = [1 / len(letters)] * len(m)
+        for k in kneser_ney.LEVELS:
+            n = table(k, (lambda w: counts[w][c]) if k == 0 else sum_of(counts))
+            d = kneser_ney.discount(np.array(list(n.values())))
+            for i in range(len(m)):
+                if k > 1 and i < k - 1:
+                    continue
+                gram = m[: i + 1] if k == 0 else m[i - k + 1 : i + 1]
+                if k != 1 and i == 0:
+                    same = {g: x for g, x in n.items() if len(g) == 1}
+                else:
+                    same = {g: x for g, x in n.items() if g[:-1] == gram[:-1] and len(g) == len(gram)}
+                if same:
+                    p[i] = (max(n.get(gram, 0) - d, 0) + sum(min(x, d) for x in same.values()) * p[i]) / sum(same.values())
+        out.append(np.log(p[1:]).sum())
+    return out
+
+
+def sum_of(counts):
+    return lambda w: sum(counts[w])
+
+
+def test_likelihoods_match_the_formula():
+    counts = {w: (RNG.randrange(0, 5) + 1, RNG.randrange(0, 3)) for w in PLAIN[:60] + BAD}
+    m = kneser_ney.Models(list(counts), np.array(list(counts.values())))
+    for w in [*BAD, *PLAIN[:8], "zorkba", "unseen", "q", "bakelomitubakelomitu" * 3]:
+        logs, place, _ = m.log_likelihoods([w])
+        assert np.allclose(logs[:, place > 0].sum(1), brute_kneser_ney(counts, w))
+
+
 def test_model_is_a_distribution():
+    """After a beginning the likelihoods of all characters add up to one, in both classes."""
     counts = {w: (RNG.randrange(0, 5) + 1, RNG.randrange(0, 3)) for w in PLAIN + BAD}
     m = kneser_ney.Models(list(counts), np.array(list(counts.values())))
+    letters = sorted({x for w in counts for x in w})
+    for start in ["", "b", "ba", "zork", "zorkisht", "kelo"]:
+        logs, place, _ = m.log_likelihoods([start + x for x in letters] + [start])
+        at = [np.flatnonzero(place == 0)[i] + len(start) + 1 for i in range(len(letters) + 1)]
+        # The begin mark alone is missing: it has a share of the lowest order.
+        assert np.all(np.exp(logs[:, at]).sum(1) <= 1 + 1e-9) and np.all(np.exp(logs[:, at]).sum(1) > 0.9)
     assert np.isfinite(m.log_ratio([*BAD, "unseen", "q", "é"])).all()
     same = kneser_ney.Models(sorted(set(PLAIN)), np.full((len(set(PLAIN)), 2), 3))
     assert np.abs(same.log_ratio(PLAIN[:50] + ["unseen"])).max() < 1e-9
 
 
+def test_long_words_are_whole():
+    """Words longer than what is scored or remembered at once are neither cut nor lost."""
+    m = kneser_ney.Models(["aab", "b" * 70], np.array([[1, 2], [3, 1]]))
+    s = kneser_ney.Scorer(m)
+    texts = ["aab " + "b" * 70, "漢" * 600_000, "b" * 70]
+    got = s.evidence(texts)
+    assert np.isfinite(got).all() and set(s.memo) == {"aab"}
+    assert got[2, 0] == pytest.approx(m.log_ratio(["b" * 70])[0] / 72)
+
+
+def test_repeated_ids_learn_from_one_text(spark):
+    rows = [(i // 2, text(i % 3 == 0)) for i in range(80)]
+    label = labels(spark, [(i, 1, i % 2) for i in range(40)])
+    first, second = (sorted(kneser_ney.training_rows(docs(spark, r), label, "toxic", 100).collect()) for r in (rows, rows[::-1]))
+    assert first == second and len({r.doc_id for r in first}) == len(first)
+
+
 def page(good):
     lines = []
     for _ in range(RNG.choice([3, 10, 25])):
