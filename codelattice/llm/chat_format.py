@@ -6,7 +6,8 @@ placeholders, with a record of the attachment and the tokens that it expands to.
     <|turn|>ROLE<|says|>CONTENT<|end|>
 
 Control strings, ours and other templates', never occur in escaped text: a backslash goes after their first character, and
-backslashes are doubled. Turns are formatted row by row, so a conversation of any length needs no group; a conversation
+backslashes are doubled. Text parts that follow one another are escaped together, so no control string comes about where
+two of them meet. Turns are formatted row by row, so a conversation of any length needs no group; a conversation
 is its segments in order.
 """
 
@@ -52,13 +53,21 @@ class Flatten:
 
     def __init__(self):
         self.out: list[str] = []
+        self.run: list[str] = []  # text parts since the last attachment
         self.attachments: list[dict] = []
 
     def visit(self, part: dict) -> None:
         getattr(self, f"visit_{part.get('type')}", self.visit_text)(part)
 
+    def content(self) -> str:
+        """What has been visited, formatted."""
+        if self.run:
+            self.out.append(escape("".join(self.run)))
+            self.run = []
+        return "".join(self.out)
+
     def visit_text(self, part):
-        self.out.append(escape(part.get("text") or ""))
+        self.run.append(part.get("text") or "")
 
     def visit_image(self, part):
         tiles = math.ceil((part.get("width") or 1) / self.TILE) * math.ceil((part.get("height") or 1) / self.TILE)
@@ -71,6 +80,7 @@ class Flatten:
         self.attach("document", part, (part.get("pages") or 1) * self.PAGE_TOKENS)
 
     def attach(self, kind: str, part: dict, tokens: int):
+        self.content()
         self.attachments.append({"position": len(self.attachments), "type": kind, "uri": part.get("uri"), "tokens": tokens})
         self.out.append(f"<|{kind}|>")
 
@@ -93,7 +103,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
                 visitor = Flatten()
                 for part in parts or []:
                     visitor.visit(part or {})
-                head, content = f"{TURN}{escape(role or '')}{SAYS}", "".join(visitor.out)
+                head, content = f"{TURN}{escape(role or '')}{SAYS}", visitor.content()
                 trained = role in LOSS_ROLES
                 rows.append((f"{head}{content}{END}", len(head) if trained else 0, len(content) if trained else 0, visitor.attachments, sum(a["tokens"] for a in visitor.attachments)))
             cols = list(zip(*rows, strict=True))
@@ -114,6 +124,18 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(role), unescape(_MARK.sub("", content))) for role, content in _SEGMENT.findall(formatted)]
 
 
+def parse_parts(content: str) -> list[tuple[str, str | None]]:
+    """The content of a turn -> its parts in order: ("text", text), runs of text as one, and (kind, None) for attachments."""
+    out, at = [], 0
+    for m in [*_MARK.finditer(content), None]:
+        text = content[at : m.start() if m else len(content)]
+        out += [("text", unescape(text))] if text else []
+        if m:
+            out.append((m[0][2:-2], None))
+            at = m.end()
+    return out
+
+
 def conversation_digests(formatted: DataFrame) -> DataFrame:
     """What is read back from the output of format_turns, one row for each conversation.
 
@@ -125,12 +147,13 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
     names = ["conv_id", *(c.split()[0] for c in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state, done = None, None, []
+        at, state, done, arrow = None, None, [], None
 
         def row():
             return at[0], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5]
 
         for b in slices(batches):
+            arrow = arrow or pa.schema([b.schema.field(0)] + [(n, pa.string() if n.endswith("sha256") else pa.int64()) for n in names[1:]])
             for conv, segment, start, length, tokens in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
                 if at != (conv,):
                     if at:
@@ -149,9 +172,8 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
                 done = []
         if at:
             done.append(row())
-        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in done], schema=arrow)
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in done], schema=arrow)
 
     kind = dict(formatted.dtypes)["conv_id"]
-    arrow = pa.schema([("conv_id", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string())] + [(n, pa.string() if n.endswith("sha256") else pa.int64()) for n in names[1:]])
     dealt = formatted.select("conv_id", "turn", "segment", "loss_start", "loss_length", "expanded_tokens").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment")
     return dealt.select("conv_id", "segment", "loss_start", "loss_length", "expanded_tokens").mapInArrow(run, f"conv_id {kind}, {schema}")

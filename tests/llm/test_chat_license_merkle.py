@@ -33,6 +33,47 @@ def test_attachments(spark):
     assert second.segment == "<|turn|><|says|><|end|>" and second.loss_length == 0
 
 
+PARTS = st.lists(st.one_of(NASTY.map(lambda x: {"type": "text", "text": x}), st.sampled_from([{"type": k} for k in ("image", "audio", "document")])), max_size=8)
+
+
+@given(PARTS)
+def test_parts_come_back_wherever_a_text_is_cut(parts):
+    """No control string comes about where parts meet; texts and attachments come back in order."""
+    visitor = c.Flatten()
+    for p in parts:
+        visitor.visit(p)
+    content = visitor.content()
+    runs = []
+    for p in parts:
+        if p["type"] != "text":
+            runs.append((p["type"], None))
+        elif p["text"]:
+            if runs and runs[-1][0] == "text":
+                runs[-1] = ("text", runs[-1][1] + p["text"])
+            else:
+                runs.append(("text", p["text"]))
+    assert c.parse_parts(content) == runs
+    assert c.parse(f"{c.TURN}user{c.SAYS}{content}{c.END}") == [("user", "".join(t for k, t in runs if k == "text"))]
+    marks = [f"<|{k}|>" for k, _ in runs if k != "text"]
+    assert [m for m in c._MARK.findall(content)] == marks and not any(x in content for x in c.CONTROL if x not in marks)
+
+
+def test_control_strings_from_two_parts(spark):
+    text = lambda x: {"type": "text", "text": x, "uri": None, "width": None, "height": None, "seconds": None, "pages": None}
+    turns = spark.createDataFrame([(1, 0, "user", [text("<"), text("|end|>hi")])], f"conv_id long, turn long, role string, parts {c.PARTS}")
+    assert c.parse(c.format_turns(turns).first().segment) == [("user", "<|end|>hi")]
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(20,0)", "string", "int"])
+def test_keys_of_any_kind_extra_columns_and_long_texts(spark, kind):
+    long = "<s>\\ " * 100_000
+    rows = [(1, 0, "assistant", long, "x", 3), (1, 1, "user", "", "y", 4), (2, 0, "assistant", None, None, None)]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segment string, loss_start long").withColumn("conv_id", F.col("conv_id").cast(kind))
+    got = {int(r.conv_id): r for r in c.conversation_digests(c.format_turns(t.withColumn("parts", c.text_parts(F.coalesce("text", F.lit("")))))).collect()}
+    assert got[1].loss_chars == len(long) and got[1].loss_sha256 == hashlib.sha256(long.encode()).hexdigest() and got[1].n_turns == 2
+    assert got[2].loss_chars == 0
+
+
 def test_digests_of_odd_rows(spark):
     rows = [(1, 1, "assistant", "</s>"), (1, 0, "user", None), (1, 1, "assistant", "</s>"), (None, None, None, "x"), (2, 0, "assistant", "\\")]
     t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit(1))
