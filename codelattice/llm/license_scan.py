@@ -1,9 +1,13 @@
 """Licence scan, in DataFrame functions only.
 
-Every line of a text, and the text as a whole, is normalised (lower case, runs of other characters than letters and
-digits become one space) and compared with licence templates by the Dice coefficient of their sets of word bigrams.
-2 * common >= t * (a + b) needs sizes within a factor of (2 - t) / t, so a unit meets only the templates in that range and
-most units none. One pass; the only shuffle is of the matches.
+A text is normalised (lower case, runs of other characters than letters and digits become one space), so neither line ends nor
+comment signs matter. The places of word bigrams that occur in any licence template are looked up in a hash set; they make
+runs, whose gaps are small. A run reaches from its first such bigram to its last and is compared with templates by the
+Dice coefficient of their sets of word bigrams. 2 * common >= t * (a + b) needs sizes within a factor of (2 - t) / t and two
+thirds of the template (at t = 0.8) in the run, so a run meets only the templates in that range and most runs none.
+
+Short templates (below LONG bigrams) are compared with tight runs, in which single words differ; long ones with loose runs,
+in which some words in a row do, such as the name of a holder. One pass; the only shuffle is of the matches.
 """
 
 from __future__ import annotations
@@ -13,25 +17,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Licence notices as they stand in texts, by licence.
-TEMPLATES = [
-    ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("ISC", "Released under the ISC License."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-]
+from .license_texts import TEMPLATES
+
 DICE = 0.8
+#: Bigrams from which a template is long; steps between neighbouring places within a run, for short and long templates.
+LONG, STEPS = 30, (3, 8)
 
 
 def bigrams(text: str) -> list[str]:
@@ -40,49 +30,70 @@ def bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
 
 
+def known(templates: list[tuple[str, str]] | None) -> list[tuple[str, list[str]]]:
+    found = sorted((name, bigrams(text)) for name, text in (TEMPLATES if templates is None else templates))
+    return [(name, grams) for name, grams in found if grams]
+
+
 def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def bigrams_of(words: Column) -> Column:
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
-    return F.array_distinct(pairs)
+def _bigram(words: Column, i: Column) -> Column:
+    """The i-th bigram of an array of words, from 1."""
+    return F.concat_ws(" ", F.get(words, i - 1), F.get(words, i))
+
+
+def _runs(at: Column, step: int, long: bool, least: int) -> Column:
+    """Places in order -> (long, first, last) of the runs that hold `least` of them."""
+    places = F.size(at)
+    firsts = F.filter(F.sequence(F.lit(0), places - 1), lambda i: (i == 0) | (F.get(at, i) - F.get(at, i - 1) > step))
+    ends = lambda k: F.coalesce(F.get(firsts, k + 1), places) - 1
+    runs = F.transform(firsts, lambda i, k: F.struct(i.alias("i"), ends(k).alias("j")))
+    kept = F.filter(runs, lambda r: r["j"] - r["i"] + 1 >= least)
+    return F.transform(kept, lambda r: F.struct(F.lit(long).alias("long"), F.get(at, r["i"]).alias("first"), F.get(at, r["j"]).alias("last")))
 
 
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, dice: float = DICE) -> DataFrame:
-    """docs(doc_id, text, ...) -> (doc_id, license, n_matches, dice): for each document the licences whose template a line, or the whole text, matches.
+    """docs(doc_id, text, ...) -> (doc_id, license, n_matches, dice): for each document the licences that its runs match.
 
-    A unit counts for its best template (the first by name where several tie). Null and empty texts match nothing;
-    rows with the same doc_id (null too) are counted together.
+    A run counts for its best template (the first by name where several tie). Null and empty texts match nothing; rows
+    with the same doc_id (null too) are counted together.
     """
-    known = sorted((name, bigrams(text)) for name, text in templates or TEMPLATES)
-    known = [(name, grams) for name, grams in known if grams]
-    least = min(len(g) for _, g in known) * dice / (2 - dice)
-    most = max(len(g) for _, g in known) * (2 - dice) / dice
-    literal = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, g)).alias("grams"), F.lit(len(g)).alias("n")) for name, g in known))
-    # Each step is one generator over what the step before made, so Catalyst evaluates a unit's words, bigrams and matches once.
-    lines = F.split("text", "\n", -1)
-    units = F.when(F.size(lines) > 1, F.concat(lines, F.array("text"))).when(F.col("text").isNotNull(), F.array("text"))
-    words = docs.select("doc_id", F.explode(F.transform(units, lambda u: F.split(normalised(u), " "))).alias("words")).where(F.size("words") - 1 >= F.lit(least))
-    grams = words.select("doc_id", F.explode(F.filter(F.array(bigrams_of(F.col("words"))), lambda g: F.size(g).between(F.lit(least), F.lit(most)))).alias("grams"))
-    near = F.filter(literal, lambda t: (t["n"] * dice <= F.size("grams") * (2 - dice)) & (F.size("grams") * dice <= t["n"] * (2 - dice)))
+    found = known(templates)
+    every = ", ".join(sorted({f"'{g}'" for _, grams in found for g in grams}))
+    # A match needs dice * (n + m) / 2 common bigrams of a run's m >= n * dice / (2 - dice).
+    least = [min((int(-(-len(g) * dice / (2 - dice) // 1)) for _, g in found if (len(g) >= LONG) == long), default=0) for long in (False, True)]
+    literal = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, g)).alias("grams"), F.lit(len(g)).alias("n")) for name, g in found))
+    # Each step is one generator over what the step before made, so Catalyst evaluates words, places, bigrams and matches once.
+    words = docs.select("doc_id", F.explode(F.array(F.split(normalised(F.col("text")), " "))).alias("words")).where("size(words) > 1")
+    places = words.select("doc_id", "words", F.explode(F.array(F.expr(f"filter(sequence(1, size(words) - 1), i -> concat_ws(' ', words[i - 1], words[i]) in ({every}))"))).alias("at"))
+    places = places.where(F.size("at") >= min(x for x in least if x))
+    runs = F.concat(*(_runs(F.col("at"), step, long, n) for step, long, n in zip(STEPS, (False, True), least, strict=True) if n))
+    runs = places.select("doc_id", "words", F.explode(runs).alias("run"))
+    distinct = F.array_distinct(F.transform(F.sequence("run.first", "run.last"), lambda i: _bigram(F.col("words"), i)))
+    grams = runs.select("doc_id", "run.long", F.explode(F.array(distinct)).alias("grams"))
+    near = F.filter(literal, lambda t: ((t["n"] >= LONG) == F.col("long")) & (t["n"] * dice <= F.size("grams") * (2 - dice)) & (F.size("grams") * dice <= t["n"] * (2 - dice)))
     scored = F.transform(near, lambda t: F.struct((-2.0 * F.size(F.array_intersect("grams", t["grams"])) / (F.size("grams") + t["n"])).alias("less"), t["name"].alias("license")))
-    found = grams.select("doc_id", F.explode(F.filter(F.array(F.array_min(scored)), lambda s: s["less"] <= F.lit(-dice))).alias("best"))
-    return found.groupBy("doc_id", F.col("best.license").alias("license")).agg(F.count("*").alias("n_matches"), F.round(F.max(-F.col("best.less")), 6).alias("dice"))
+    best = grams.select("doc_id", F.explode(F.filter(F.array(F.array_min(scored)), lambda s: s["less"] <= F.lit(-dice))).alias("best"))
+    return best.groupBy("doc_id", F.col("best.license").alias("license")).agg(F.count("*").alias("n_matches"), F.round(F.max(-F.col("best.less")), 6).alias("dice"))
 
 
 def sql(templates: list[tuple[str, str]] | None = None, dice: float = DICE) -> str:
-    """The same for DuckDB, without the size bounds."""
-    known = [(name, bigrams(text)) for name, text in templates or TEMPLATES]
-    rows = ", ".join(f"('{name}', [{', '.join(repr(g) for g in grams)}])" for name, grams in known)
+    """The same for DuckDB, without the bounds."""
+    rows = ", ".join(f"('{name}', [{', '.join(repr(g) for g in grams)}])" for name, grams in known(templates))
     return f"""
 WITH t(license, grams) AS (VALUES {rows}),
-lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
-units AS (SELECT doc_id, unnest(CASE WHEN len(parts) > 1 THEN list_append(parts, text) ELSE [text] END) AS unit FROM lines),
-words AS (SELECT doc_id, string_split(trim(regexp_replace(lower(unit), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM units),
-numbered AS (SELECT row_number() OVER () AS unit_id, doc_id, w FROM words WHERE len(w) >= 2),
-grams AS (SELECT unit_id, doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM numbered),
-scored AS (SELECT unit_id, doc_id, license, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM grams, t),
-best AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY dice DESC, license) AS k FROM scored WHERE dice >= {dice})
+every AS (SELECT DISTINCT unnest(grams) AS gram FROM t),
+texts AS (SELECT row_number() OVER () AS row_id, doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
+pairs AS (SELECT row_id, unnest(range(1, len(w))) AS i, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM texts),
+hits AS (SELECT row_id, i, step FROM pairs SEMI JOIN every USING (gram), (VALUES {", ".join(f"({s})" for s in STEPS)}) s(step)),
+cut AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY row_id, step ORDER BY i) <= step THEN 0 ELSE 1 END AS new FROM hits),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY row_id, step ORDER BY i) AS run FROM cut),
+runs AS (SELECT row_id, step, run, min(i) AS a, max(i) AS b FROM numbered GROUP BY row_id, step, run),
+grams AS (SELECT r.row_id, step, run, doc_id, list_distinct(list_transform(range(a, b + 1), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM runs r JOIN texts USING (row_id)),
+scored AS (SELECT row_id, step, run, doc_id, license, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM grams, t
+    WHERE (step = {STEPS[1]}) = (len(grams) >= {LONG})),
+best AS (SELECT *, row_number() OVER (PARTITION BY row_id, step, run ORDER BY dice DESC, license) AS k FROM scored WHERE dice >= {dice})
 SELECT doc_id, license, count(*) AS n_matches, round(max(dice), 6) AS dice FROM best WHERE k = 1 GROUP BY doc_id, license
 """

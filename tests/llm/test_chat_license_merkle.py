@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codelattice.llm import chat_format as c
 from codelattice.llm import merkle
 from codelattice.llm.license_scan import bigrams, license_scan
+from codelattice.llm.license_texts import TEXTS
 
 from .helpers import ODD, docs
 
@@ -89,16 +90,36 @@ def dice(a, b):
     return 2 * len(a & b) / max(len(a) + len(b), 1)
 
 
-def test_licences(spark):
+def scanned(spark, texts, **k):
+    return {(r.doc_id, r.license): (r.n_matches, r.dice) for r in license_scan(docs(spark, texts), **k).collect()}
+
+
+def test_notices(spark):
     notice = "This work is licensed under the GNU General Public License, version 3."
-    texts = [(1, f"x\n{notice.upper()}\nReleased under the MIT License."), (2, notice.replace("work", "file")), (3, "Released under"), (4, " ".join(f"l{i}" for i in range(3000)) + notice), (5, notice + "\n" + notice), *[(None, t) for _, t in ODD]]
-    got = {(r.doc_id, r.license): (r.n_matches, r.dice) for r in license_scan(docs(spark, texts)).collect()}
-    assert set(got) == {(1, "GPL-3.0"), (1, "MIT"), (2, "GPL-3.0"), (5, "GPL-3.0")}
-    assert got[1, "MIT"] == (1, 1.0) and got[5, "GPL-3.0"][0] == 3  # two lines and the whole text
-    assert got[2, "GPL-3.0"][1] == pytest.approx(dice(notice, notice.replace("work", "file")), abs=1e-6)
+    texts = [(1, f"x\n{notice.upper()}\n{'y ' * 9}\nReleased under the MIT License."), (2, notice.replace("work", "file")), (3, "Released under"), (4, " ".join(f"l{i}" for i in range(3000)) + " " + notice), (5, notice + " x y z u v\n" + notice), (6, "// SPDX-License-Identifier: MIT"), *[(None, t) for _, t in ODD]]
+    got = scanned(spark, texts)
+    assert set(got) == {(1, "GPL-3.0"), (1, "MIT"), (2, "GPL-3.0"), (4, "GPL-3.0"), (5, "GPL-3.0"), (6, "MIT")}
+    assert got[1, "MIT"] == (1, 1.0) and got[5, "GPL-3.0"] == (2, 1.0)
+    assert got[2, "GPL-3.0"][1] == pytest.approx(dice(notice, notice.replace("work", "file")[5:]), abs=0.1)
     assert license_scan(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted({n for n, _ in TEXTS}))
+def test_whole_texts_inside_other_texts(spark, name):
+    """Commented, wrapped over lines and amid other words, with a holder's name in the way; alone and after another licence."""
+    text = next(t for n, t in TEXTS if n == name)
+    words = text.replace("the copyright holder nor", "Amber Trading Company Ltd nor").split()
+    lines = ["# " + " ".join(words[i : i + 9]) for i in range(0, len(words), 9)]
+    plain = " ".join(f"w{i}" for i in range(40))
+    got = scanned(spark, [(1, plain + "\n" + "\n".join(lines) + "\n" + plain), (2, "\n".join([*lines, "Copyright (c) 2024 Amber Trading Company Ltd and others, all of them", *lines]))])
+    assert name in {n for d, n in got if d == 1} and got[2, name][0] == 2
+    assert {n for d, n in got if d == 1} <= {name, "Apache-2.0", "MPL-2.0", "Unlicense"}
+
+
+def test_own_templates(spark):
+    assert scanned(spark, [(1, "one two three four"), (2, "one two"), (3, "two three four five six seven eight")], templates=[("own", "one two three four"), ("empty", "word")]) == {(1, "own"): (1, 1.0)}
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
