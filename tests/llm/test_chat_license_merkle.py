@@ -127,6 +127,8 @@ def pages(spark, rows):
 @pytest.mark.parametrize("n", [0, 1, 5, 200])
 def test_audit_finds_all_damage(spark, n, monkeypatch):
     monkeypatch.setattr(merkle, "PART_KEYS", 50)
+    monkeypatch.setattr(merkle, "RANGE_KEYS", 4)
+    monkeypatch.setattr(merkle, "FANOUT", 3)
     rows = [(i, f"u{i}", "h" * (i % 7)) for i in range(n)]
     bad = [(i, u, h + "!" if i % 31 == 3 else h) for i, u, h in rows if i % 97 != 5] + ([(10_000, "new", "x")] if n else [])
     record = merkle.warc_record(F.col("url"), F.col("html"))
@@ -143,3 +145,26 @@ def test_audit_of_odd_rows(spark):
     record = merkle.warc_record(F.col("url"), F.col("html"))
     audit = lambda other: {r.key for r in merkle.audit(pages(spark, rows), pages(spark, other), "page_id", record).collect()}
     assert audit(rows[::-1]) == set() and audit(rows[1:]) == {None} and audit([*rows[:3], *rows[4:]]) == {1} and audit(rows[:4]) == {2}
+
+
+def test_trees_are_built_alone_and_only_differing_branches_are_read(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "RANGE_KEYS", 4)
+    monkeypatch.setattr(merkle, "PART_KEYS", 30)
+    rows = [(i, f"u{i}", "x") for i in range(200)]
+    record = merkle.warc_record(F.col("url"), F.col("html"))
+    first = merkle.replica(pages(spark, rows), "page_id", record)
+    lost = merkle.replica(pages(spark, [r for r in rows if r[0] != 41]), "page_id", record, first)
+    same = merkle.replica(pages(spark, rows[::-1]), "page_id", record, first)
+    assert first.ranges == 50 and [x.count() for x in first.levels] == [50, 1]
+    assert merkle.differing(first.levels, same.levels).count() == 0
+    assert [r.node for r in merkle.differing(first.levels, lost.levels).collect()] == [10]  # a lost record shifts no range after it
+    # Leaves of branches whose parents agree aren't looked at, even if they were to differ.
+    none = first.levels[0].limit(0)
+    assert merkle.differing([none, first.levels[1]], [first.levels[0], first.levels[1]]).count() == 0
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rows = [(1, "u", "x", 5, "d", 9), (2, "v", "y", 6, "e", 8)]
+    t = spark.createDataFrame(rows, "page_id long, url string, html string, key long, digest string, n_bytes long")
+    got = merkle.audit(t, t.where("page_id = 1"), "page_id", merkle.warc_record(F.col("url"), F.col("html"))).collect()
+    assert [(r.key, r.other_digest) for r in got] == [(2, None)]
