@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words lose their case and the signs around them; numbers, names (capitalised words within a sentence) and units become
-typed placeholders. Windows of WINDOW template words of a document are looked up among those of the benchmark by hash.
+Words lose their case and the signs around them; numbers (spelled ones too), names and units become typed placeholders. A name
+is a capitalised word, wherever it stands, that the benchmark never has in lower case and that is no common opener of
+sentences; so a name that opens a question is one, and "The" or a text in capitals is not. Windows of WINDOW template words of a document are looked up among those of the benchmark by hash.
 Hits on one diagonal (document place less item place) make a passage; it counts if it is long enough and if what stands
 in its placeholders on both sides maps one to one. Where it doesn't, the passage is cut, from its first word on, at each
 slot that contradicts the part before, and the parts that are long enough count. If none is, every other stretch that
@@ -35,49 +36,62 @@ LEAST_PLAIN = 4
 BLOCK_WORDS = 400_000
 #: Units of measure.
 UNITS = ["mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "oz", "lb", "lbs", "ml", "l", "s", "sec", "min", "h", "hr", "hrs", "hours", "hour", "minutes", "minute", "seconds", "second", "days", "day", "weeks", "week", "months", "month", "years", "year", "meters", "metres", "kilometers", "miles", "feet", "inches", "kilograms", "grams", "pounds", "liters", "litres", "percent", "%", "$", "€", "£", "usd", "eur", "dollars", "euros", "cents", "mph", "kmh", "km/h", "°c", "°f", "degrees", "volts", "watts", "kw", "hz"]
+#: Numbers as words. Those for one are articles too and stay words.
+NUMBERS = {
+    "en": ["zero", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million"],
+    "de": ["null", "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun", "zehn", "elf", "zwölf", "dreizehn", "vierzehn", "fünfzehn", "sechzehn", "siebzehn", "achtzehn", "neunzehn", "zwanzig", "dreißig", "vierzig", "fünfzig", "sechzig", "siebzig", "achtzig", "neunzig", "hundert", "tausend"],
+    "es": ["cero", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve", "diez", "once", "doce", "trece", "catorce", "quince", "veinte", "treinta", "cuarenta", "cincuenta", "sesenta", "setenta", "ochenta", "noventa", "cien", "mil"],
+    "fr": ["zéro", "deux", "trois", "quatre", "cinq", "six", "sept", "huit", "neuf", "dix", "onze", "douze", "treize", "quatorze", "quinze", "seize", "vingt", "trente", "quarante", "cinquante", "soixante", "cent", "mille"],
+}
+#: Words that open sentences and questions and are no names.
+OPENERS = {
+    "en": ["a", "all", "an", "and", "are", "as", "at", "but", "by", "can", "do", "does", "each", "every", "find", "for", "from", "given", "has", "have", "he", "her", "his", "how", "i", "if", "in", "is", "it", "let", "of", "on", "one", "or", "she", "so", "some", "that", "the", "their", "then", "there", "they", "this", "to", "we", "what", "when", "where", "which", "who", "why", "will", "with", "you"],
+    "de": ["am", "an", "auf", "aus", "bei", "das", "der", "die", "ein", "eine", "er", "es", "für", "ich", "im", "in", "ist", "mit", "sie", "und", "von", "wann", "warum", "was", "wenn", "wer", "wie", "wir", "wo", "zu"],
+    "es": ["al", "como", "con", "cuando", "de", "del", "dónde", "el", "ella", "en", "es", "ese", "esta", "la", "las", "los", "para", "pero", "por", "qué", "quién", "se", "si", "su", "un", "una", "y"],
+    "fr": ["au", "aux", "avec", "ce", "cette", "dans", "de", "des", "du", "elle", "en", "est", "et", "il", "je", "la", "le", "les", "nous", "on", "ou", "où", "par", "pour", "quand", "que", "qui", "si", "sur", "un", "une", "à"],
+}
 _UNITS = {u.encode() for u in UNITS} - {b"in", b"m", b"t", b"l", b"s", b"g", b"h", b"min", b"second", b"day"}
 _AFTER_NUMBER = {u.encode() for u in UNITS}
-_SIGNS = "\"'`.,;:!?()[]{}<>*_~|«»„“”‘’…—–-".encode()
-_NUM, _NAME, _UNIT = (U64(xxhash.xxh64_intdigest(x) & ~7) for x in (b"<num>", b"<name>", b"<unit>"))
-_CAPITAL, _STOP, _NUMBER = 1, 2, 4
+_NUMBERS, _OPENERS = ({w.encode() for ws in x.values() for w in ws} for x in (NUMBERS, OPENERS))
+_SIGNS = "\"'`.,;:!?()[]{}<>*_~|«»„“”‘’…—–-"
+_NUM, _NAME, _UNIT = (U64(xxhash.xxh64_intdigest(x) & ~3) for x in (b"<num>", b"<name>", b"<unit>"))
+_NUMBER = 1
 
 
-def _strip(word: bytes) -> bytes:
-    # Bytes of multi-byte signs are stripped as characters, not as bytes.
-    return word.decode(errors="replace").strip(_SIGNS.decode()).encode()
+def _strip(word: bytes) -> str:
+    return word.decode(errors="replace").strip(_SIGNS)
 
 
-def _canonical(word: bytes) -> int:
-    """Hash of the bare lower-case word, its low bits: capitalised, ends a sentence, number. Two words count as one: 5km is a number."""
-    bare = _strip(word)
-    lower = bare.decode(errors="replace").lower().encode()
-    flags = _STOP if word.rstrip(b"\"')]\xc2\xbb")[-1:] in (b".", b"!", b"?", b":") else 0
-    digits = sum(48 <= c < 58 for c in bare)
-    if bare.lstrip(b"+-$")[:1].isdigit() and 2 * digits >= len(bare):
-        flags |= _NUMBER
-    elif bare[:1].isupper() or bare and bare.decode(errors="replace")[0].isupper():
-        flags |= _CAPITAL
-    if lower in _UNITS:
-        return int(_UNIT) | flags
-    return xxhash.xxh64_intdigest(lower) & ~7 | flags
+def _canonical(lower_case: frozenset):
+    """A function: word -> hash of its template word, its low bit: number. Two words count as one: 5km is a number."""
+
+    def canonical(word: bytes) -> int:
+        bare = _strip(word)
+        low = bare.lower().encode()
+        digits = sum(c in "0123456789" for c in bare)
+        if low in _NUMBERS or bare.lstrip("+-$€£")[:1].isdigit() and 2 * digits >= len(bare.encode()):
+            return int(_NUM) | _NUMBER
+        if low in _UNITS:
+            return int(_UNIT)
+        if bare[:1].isupper() and low not in _OPENERS and low not in lower_case:
+            return int(_NAME)
+        return xxhash.xxh64_intdigest(low) & ~3
+
+    return canonical
 
 
 class Canonical:
-    """Template words and slots of texts. Memory: two memos of words."""
+    """Template words and slots of texts. lower_case: the words that the benchmark has in lower case. Memory: two memos of words."""
 
-    def __init__(self):
-        self.memo = Memo(_canonical)
-        self.units = Memo(lambda w: int(_strip(w).lower() in _AFTER_NUMBER))
+    def __init__(self, lower_case: frozenset):
+        self.memo = Memo(_canonical(lower_case))
+        self.units = Memo(lambda w: _strip(w).lower().encode() in _AFTER_NUMBER)
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """For each word of a text: the hash of its template word, and whether it is a slot."""
         h = hashed(words, self.memo)
-        flags, h = h & U64(7), h & ~U64(7)
-        number = (flags & U64(_NUMBER)) > 0
-        first = np.r_[True, (flags[:-1] & U64(_STOP)) > 0] if len(h) else np.zeros(0, bool)
-        name = ((flags & U64(_CAPITAL)) > 0) & ~first
-        t = np.where(number, _NUM, np.where(name, _NAME, h))
-        for i in np.flatnonzero(number[:-1]) if len(h) else ():
+        t = h & ~U64(3)
+        for i in np.flatnonzero(h[:-1] & U64(_NUMBER)):
             if self.units[words[i + 1]]:
                 t[i + 1] = _UNIT
         return t, (t == _NUM) | (t == _NAME) | (t == _UNIT)
@@ -97,8 +111,9 @@ def windows(t: np.ndarray, width: int) -> np.ndarray:
 class Index:
     """The windows of a block of items."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
-        canonical = Canonical()
+    def __init__(self, items: list[tuple]):
+        self.lower_case = frozenset(b.encode() for b in {_strip(w) for _, text in items for w in set(text.split())} if b[:1].islower() and b == b.lower())
+        canonical = Canonical(self.lower_case)
         self.items, places = {}, defaultdict(list)
         self.widths = set()
         for key, (item_id, text) in enumerate(items):
@@ -128,11 +143,11 @@ class Index:
         return at[found]
 
 
-def _bare(words: list[bytes]) -> list[bytes]:
+def _bare(words: list[bytes]) -> list[str]:
     return [_strip(w).lower() for w in words]
 
 
-def _agreeing(doc: list[bytes], item: list[bytes], slot: np.ndarray, disjoint: bool) -> list[tuple[int, int]]:
+def _agreeing(doc: list[str], item: list[str], slot: np.ndarray, disjoint: bool) -> list[tuple[int, int]]:
     """Stretches [start, end) whose slots map one to one both ways. disjoint: cut at each slot that contradicts the
     stretch before; else all stretches that can't be made longer."""
     out, start, there, back = [], 0, {}, {}
@@ -149,7 +164,7 @@ def _agreeing(doc: list[bytes], item: list[bytes], slot: np.ndarray, disjoint: b
     return [*out, (start, len(doc))]
 
 
-def _verbatim(doc: list[bytes], item: list[bytes], least: int) -> list[tuple[int, int]]:
+def _verbatim(doc: list[str], item: list[str], least: int) -> list[tuple[int, int]]:
     """Stretches [start, end) of equal words, of that length at least."""
     edges = np.flatnonzero(np.diff(np.r_[0, [x == y for x, y in zip(doc, item, strict=True)], 0]))
     return [(s, e) for s, e in edges.reshape(-1, 2).tolist() if e - s >= least]
@@ -205,7 +220,7 @@ class Matcher:
     """Finds the passages of a block of items in whole texts."""
 
     def __init__(self, index: Index):
-        self.index, self.canonical = index, Canonical()
+        self.index, self.canonical = index, Canonical(index.lower_case)
 
     def __call__(self, text: bytes) -> list[tuple]:
         words = text.split()
@@ -239,18 +254,20 @@ def leak_tests(spark, benchmark: DataFrame) -> Iterator:
         yield leaks
 
 
-_FOUND = "doc_id long, item_id long, first_word long, n_words long, coverage double, exact boolean"
-_KINDS = pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()
+_FOUND = "first_word long, n_words long, coverage double, exact boolean"
+_KINDS = pa.int64(), pa.int64(), pa.float64(), pa.bool_()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...), benchmark(item_id, text, ...) -> (doc_id, item_id, first_word, n_words, coverage, exact).
 
     One row for each document row and item that shares a passage: the longest, counted in words of the document's
-    whole text. Null and empty texts match nothing; items of the same text each give a row; a null item_id is an item, a
+    whole text; of passages of one length an exact one, then the first. Null and empty texts match nothing; items of the same text each give a row; a null item_id is an item, a
     null doc_id stays null.
     """
-    names, out = [c.split()[0] for c in _FOUND.split(", ")], None
+    names, out = ["doc_id", "item_id", *(c.split()[0] for c in _FOUND.split(", "))], None
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, {_FOUND}"
+    item_kind = pa.schema(benchmark.select("item_id").limit(0).toArrow().schema).field(0).type
     for matcher in matchers(docs.sparkSession, benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
@@ -258,8 +275,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for b in slices(batches):
                 rows = [(doc_id, *x) for doc_id, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True) for x in match(text)]
                 columns = zip(*rows, strict=True) if rows else [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (b.schema.field(0).type, item_kind, *_KINDS), strict=True)], names)
 
-        found = docs.select("doc_id", "text").mapInArrow(run, _FOUND)
+        found = docs.select("doc_id", "text").mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out

@@ -85,6 +85,69 @@ def test_contradicting_slots_of_short_passages_stay_out(spark):
     assert found(spark, [(1, " ".join(other))], [(9, " ".join(words))]) == set()
 
 
+def test_names_that_open_questions_and_spelled_numbers(spark):
+    benchmark = [(1, "Alice buys 3 apples for 2 dollars today"), (2, "What is the capital city of that old country?")]
+    texts = [(1, "Bob buys 5 apples for 4 dollars today"), (2, "bob said: Carol buys five apples for ten euros today."), (3, "Bob buys 5 pears for 4 dollars today"), (4, "Where is the capital city of that old country?"), (5, "WHAT IS THE CAPITAL CITY OF THAT OLD COUNTRY?"), (6, "Alice buys 3 apples for 2 dollars today")]
+    assert found(spark, texts, benchmark) == {(1, 1, False), (2, 1, False), (5, 2, True), (6, 1, True)}
+
+
+PLACES = {"<name>": ["Amara", "Bo", "Cyra", "Dov"], "<num>": ["3", "17", "two", "2.5", "ninety"], "<unit>": ["miles", "grams", "km/h"]}
+
+
+def template(w):
+    """The rule again, word by word, for words of these tests alone."""
+    bare = w.strip(".,?")
+    return next((k for k, v in PLACES.items() if bare in v), bare)
+
+
+def brute(doc, item):
+    """Is there a stretch of PASSAGE words, or of a whole shorter item, alike in template words, whose slots map one to one? And one of equal words?"""
+    d, b = doc.split(), item.split()
+    n, any_, same = min(13, len(b)), False, False
+    for s in range(len(b) - n + 1):
+        for p in range(len(d) - n + 1):
+            x, y = [w.strip(".,?") for w in d[p : p + n]], [w.strip(".,?") for w in b[s : s + n]]
+            if list(map(template, x)) == list(map(template, y)):
+                pairs = {(v, w) for v, w in zip(x, y, strict=True) if template(v).startswith("<")}
+                if len(pairs) == len({v for v, _ in pairs}) == len({w for _, w in pairs}):
+                    any_, same = True, same or x == y
+    return any_, same
+
+
+def test_slots_match_brute_force(spark):
+    rng = random.Random(11)
+
+    def question(n):
+        w = [rng.choice(WORDS) for _ in range(n)]
+        for i in range(rng.randrange(4), n - 1, 5):
+            kind = rng.choice(["<name>", "<num>", "unit"])
+            w[i] = rng.choice(PLACES["<num>" if kind == "unit" else kind])
+            if kind == "unit":
+                w[i + 1] = rng.choice(PLACES["<unit>"])
+        return w
+
+    benchmark = [(i, question(n)) for i, n in enumerate([9, 12, 13, 16, 20, 30, 45] * 3)]
+    texts = []
+    for i in range(240):
+        _, w = rng.choice(benchmark)
+        values = {v: rng.choice(PLACES[template(v)]) for v in w if template(v).startswith("<")}
+        w = [values.get(v, v) if rng.random() < 0.97 else rng.choice(PLACES[template(v)]) if v in values else v for v in w]
+        texts.append((i, " ".join([*sentence(6), *(w[: rng.choice([7, 12, 14, len(w)])] if i % 3 else w), *sentence(6)])))
+    benchmark = [(i, " ".join(w)) for i, w in benchmark]
+    want = {(d, i) for d, t in texts for i, b in benchmark if brute(t, b)[0]}
+    verbatim = {(d, i) for d, t in texts for i, b in benchmark if brute(t, b)[1]}
+    got = {(r.doc_id, r.item_id): r for r in contaminated(docs(spark, texts), items(spark, benchmark)).collect()}
+    assert set(got) == want and 60 < len(want) < 240 and len(verbatim) < len(want)
+    # The longest passage is told; it may be another than that with the verbatim words.
+    assert all(got[x].exact or got[x].n_words > 13 for x in verbatim)
+
+
+def test_keys_of_other_kinds_and_clashing_columns(spark):
+    d = spark.createDataFrame([("a", "x y z", 1, True)], "doc_id string, text string, item_id int, exact boolean")
+    b = spark.createDataFrame([("i", "x y z", 2.0)], "item_id string, text string, coverage double")
+    assert [tuple(r) for r in contaminated(d, b).collect()] == [("a", "i", 0, 3, 1.0, True)]
+
+
 def test_odd_rows(spark):
     assert found(spark, ODD, [(1, None), (2, ""), (None, "a b c d e f"), (3, "tail")]) == {(None, None, True), (6, None, True), (8, 3, True)}
     assert found(spark, [], [(1, "x y")]) == set() and found(spark, ODD, []) == set()
