@@ -1,13 +1,15 @@
-"""Exact top-k search by BM25 over an inverted index, shard by shard, with block-max pruning.
-
-Documents are dealt into shards of bounded size, and each shard's inverted index is written once to the shared folder: terms,
-their documents, frequencies. Queries go out in blocks of bounded size; a task holds one shard's index and answers a whole
-block. Scores use the document frequencies, number and mean length of all documents, so the shards' top k merge into
-the exact top k.
-
-For a query, terms are split as in WAND. The rare ones are read in full. The common ones, whose impacts are small, are only
-bounded at first, by their maxima in each block of documents: a document whose score on the rare terms plus its block's
-bound stays below the k-th best score so far is out. What the bound leaves is scored on the common terms too. Dropping
+"""Exact top-k search by BM25 over an inverted index, shard by shard, with block-max WAND pruning.
+
+Documents are cut into shards of bounded size where they are read, without a shuffle, and each shard's inverted index is written
+once to the shared folder: terms, their documents, frequencies. The document frequencies, number and mean length of all
+documents are added up from the shards, so their top k merge into the exact top k. Queries go out in blocks of bounded
+size; a task holds one shard's index and answers a whole block; a block's answers are written before the next goes out.
+
+A posting list is cut into blocks by ranges of BLOCK documents, each with the largest impact in it. As in block-max WAND, the
+sum of a query's block maxima bounds the score of every document in a range (the few common terms, whose blocks are dense, add
+what they give exactly, by one product of matrices for BATCH queries), and only ranges whose bound reaches the k-th
+best score so far are opened; the postings of all others are skipped. Ranges are opened by falling bounds, a few, then more at a
+time (instead of moving cursors a document at a time), so the threshold is high before most are looked at. Dropping
 nothing that could tie, the result is exact; equal scores rank by doc_id.
 """
 
@@ -22,13 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Memo, hashed, slices, small_batches, stored, utf8, word_hashes
+from .common import U64, Memo, dropped, hashed, slices, small_batches, stored, utf8, word_hashes
 
 K1, B = 1.2, 0.75
-#: Documents to a shard, documents to a block of them, queries that go out together (about 5 KB each).
-SHARD_DOCS, BLOCK, QUERY_BLOCK = 10_000, 16, 3_000
-#: Share of a shard's documents from which a term counts as common.
-COMMON = 0.1
+#: Documents to a shard (their places take 16 bits), to a block, queries that go out together (about 5 KB each).
+SHARD_DOCS, BLOCK, QUERY_BLOCK = 10_000, 64, 3_000
+#: Share of a shard's documents from which a term is common.
+COMMON = 0.04
+#: Queries that are taken together.
+BATCH = 64
+#: Ranges that are opened first; each step opens OPEN_MORE times as many.
+OPEN_FIRST, OPEN_MORE = 8, 8
 #: Scores are rounded to so many digits, in which ties are seen.
 DIGITS = 6
 #: Bytes of words (A-Z lowered, all beyond ASCII kept); others part them.
@@ -68,70 +74,100 @@ def packed_index(ids: np.ndarray, of: np.ndarray, h: np.ndarray, tf: np.ndarray,
 
 
 class Shard:
-    """The inverted index of some documents. Terms that many of them hold also have a dense row, and block maxima."""
+    """The inverted index of some documents, with block maxima of all terms. The posting blocks of common terms are dense, those of rare terms sparse."""
 
     def __init__(self, row: dict, mean: float):
         self.ids, lengths, self.names = (np.frombuffer(row[c], t) for c, t in (("ids", "<i8"), ("lengths", "<u4"), ("names", "<u8")))
-        self.doc = np.frombuffer(row["docs"], "<u2").astype(np.int32)
-        n = len(self.doc)
+        doc = np.frombuffer(row["docs"], "<u2").astype(np.int32)
+        n = len(doc)
         tf = np.frombuffer(row["tf"], "<u2" if len(row["tf"]) == 2 * n else "<u4").astype(float)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / max(mean, 1e-9)))
-        self.starts = np.frombuffer(row["starts"], "<u4").astype(np.int64)
-        self.ends = np.r_[self.starts[1:], n]
-        common = np.flatnonzero(self.ends - self.starts > max(64, COMMON * len(self.ids)))
+        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / max(mean, 1e-9)))
+        starts = np.frombuffer(row["starts"], "<u4").astype(np.int64)
+        size = np.diff(np.r_[starts, n])
+        self.ranges = -(-len(self.ids) // BLOCK)
+        common = np.flatnonzero(size > max(64, COMMON * len(self.ids)))
         self.row_of = np.full(len(self.names), -1, np.int32)
         self.row_of[common] = np.arange(len(common))
-        self.blocks = -(-len(self.ids) // BLOCK)
-        self.dense = np.zeros((len(common), self.blocks * BLOCK))
-        for k, t in enumerate(common):
-            self.dense[k, self.doc[self.starts[t] : self.ends[t]]] = self.impact[self.starts[t] : self.ends[t]]
-        self.rough = self.dense.astype(np.float32)  # for bounds
-        self.block_most = self.dense.reshape(len(common), self.blocks, BLOCK).max(2) if len(common) else np.zeros((0, self.blocks))
-
-    def top(self, h: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (doc_id, score) of this shard for a query of terms with weights; only scores above 0."""
-        at = np.searchsorted(self.names, h)
-        ok = at < len(self.names)
-        ok[ok] = self.names[at[ok]] == h[ok]
-        at, weight = at[ok], weight[ok]
-        if not len(at):
-            return self.ids[:0], np.zeros(0)
-        row = self.row_of[at]
-        rare, weak, w = row < 0, row[row >= 0], weight[row >= 0]
-        # The rare terms are read in full: they make the candidates.
-        score = self.sums(at[rare], weight[rare])
-        full = lambda docs: score[docs] + w @ self.dense[np.ix_(weak, docs)]
-        # What the common terms can add at most to the documents of a block; documents without a rare term included.
-        more = w @ self.block_most[weak]
-        upper = score + np.repeat(more, BLOCK)[: len(score)]
-        threshold = 0.0
-        for guess in (score, upper):  # the k-th best of a few promising documents bounds the k-th best of all from below
-            first = full(np.argpartition(-guess, min(3 * k, len(score) - 1))[: 3 * k])
-            threshold = max(threshold, float(np.partition(first, -k)[-k])) if len(first) >= k else 0.0
-        slack = 1e-9 * (score.max() + (more.max() if len(more) else 0)) + 10.0**-DIGITS
-        found = np.flatnonzero(upper >= threshold - slack)
-        if len(found) > 64 * k:
-            # Blocks alone don't tell these apart; their common terms are added up in single precision.
-            low, high = found[0], found[-1] + 1
-            near = score[low:high] + w.astype(np.float32) @ self.rough[weak, low:high]
-            first = full(low + np.argpartition(-near, 3 * k)[: 3 * k])
-            threshold = max(threshold, float(np.partition(first, -k)[-k]))
-            found = low + np.flatnonzero(near >= threshold * (1 - 1e-4) - slack)
-        exact = full(found)
-        exact = np.round(exact, DIGITS)
-        found, exact = found[exact > 0], exact[exact > 0]
-        best = np.lexsort((self.ids[found], -exact))[:k]
-        return self.ids[found[best]], exact[best]
-
-    def sums(self, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Weighted impacts of some terms, by document."""
-        s, size = self.starts[at], self.ends[at] - self.starts[at]
-        rows = np.arange(size.sum()) + np.repeat(s - np.cumsum(size) + size, size)
-        return np.bincount(self.doc[rows], self.impact[rows] * np.repeat(weight, size), len(self.ids))
-
-
-_INDEX = "shard int, ids binary, lengths binary, names binary, starts binary, docs binary, tf binary"
-_INDEX_ARROW = pa.schema([("shard", pa.int32())] + [(c, pa.binary()) for c in ("ids", "lengths", "names", "starts", "docs", "tf")])
+        # Dense blocks: a row of impacts for each document; in single precision for bounds.
+        column = np.repeat(self.row_of, size)
+        self.dense = np.zeros((self.ranges * BLOCK, len(common)))
+        self.dense[doc[column >= 0], column[column >= 0]] = impact[column >= 0]
+        self.rough = self.dense.astype(np.float32)
+        # Sparse blocks of the rare terms, one after another: their range of documents, first and last posting, and largest impact.
+        self.doc, self.impact = doc[column < 0], impact[column < 0]
+        starts = np.cumsum(np.where(self.row_of < 0, size, 0))
+        starts -= np.where(self.row_of < 0, size, 0)
+        new = np.zeros(len(self.doc) + 1, bool)
+        new[1:-1] = self.doc[1:] // BLOCK != self.doc[:-1] // BLOCK
+        new[starts] = True
+        self.first = np.flatnonzero(new[:-1])
+        self.last = np.r_[self.first[1:], len(self.doc)]
+        self.range = self.doc[self.first] // BLOCK
+        self.most = np.maximum.reduceat(self.impact, self.first) if len(self.doc) else self.impact
+        self.blocks = np.searchsorted(self.first, np.r_[starts, len(self.doc)])
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, weights) the k best (doc_id, score) of this shard; only scores above 0. Dense blocks are read for a batch of queries at once."""
+        for i in range(0, len(queries), BATCH):
+            batch, often = [], np.zeros((min(BATCH, len(queries) - i), self.dense.shape[1]))
+            for q, (h, weight) in enumerate(queries[i : i + BATCH]):
+                at = np.searchsorted(self.names, h)
+                ok = at < len(self.names)
+                ok[ok] = self.names[at[ok]] == h[ok]
+                at, weight = at[ok], weight[ok]
+                common = self.row_of[at]
+                often[q, common[common >= 0]] = weight[common >= 0]
+                batch.append((at[common < 0], weight[common < 0]))
+            rough = often.astype(np.float32) @ self.rough.T
+            for q, rare in enumerate(batch):
+                yield self.top(*rare, often[q], rough[q], k)
+
+    def top(self, at: np.ndarray, weight: np.ndarray, often: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """at, weight: the rare terms; often: weights of all common terms; rough: what these give to each document, in single precision."""
+        blocks, w = _spread(self.blocks[at], self.blocks[at + 1], weight)
+        of = self.range[blocks]
+        upper = np.bincount(of, self.most[blocks] * w, self.ranges) + rough.reshape(self.ranges, BLOCK).max(1)
+        slack = 1e-5 * upper.max(initial=0) + 10.0**-DIGITS  # for single precision, and for ties in the last digit
+        order = np.argsort(-upper, kind="stable")
+        falling = -upper[order]
+        threshold, done, step, held, scores = 0.0, 0, OPEN_FIRST, [], []
+        while done < len(order):
+            # The pivot: from here on no range can reach the threshold.
+            pivot = int(np.searchsorted(falling, -(threshold - slack), "right"))
+            if pivot <= done or falling[done] >= 0:
+                break
+            some = order[done : min(done + step, pivot)]
+            place = np.full(self.ranges, -1, np.int32)
+            place[some] = np.arange(len(some))
+            mine = np.flatnonzero(place[of] >= 0)
+            postings, v = _spread(self.first[blocks[mine]], self.last[blocks[mine]], w[mine])
+            doc = self.doc[postings]
+            score = np.bincount(place[doc // BLOCK] * BLOCK + doc % BLOCK, self.impact[postings] * v, len(some) * BLOCK)
+            docs = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            near = score + rough[docs]
+            ok = near >= threshold - slack
+            held.append(docs[ok])
+            scores.append(score[ok])
+            if len(near) > k:
+                threshold = max(threshold, float(np.partition(near, -k)[-k]))
+            done, step = done + step, step * OPEN_MORE
+        docs, score = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((held, np.int64), (scores, float)))
+        ok = (score + rough[docs] >= threshold - slack) & (docs < len(self.ids))
+        docs = docs[ok]
+        exact = np.round(score[ok] + self.dense[docs] @ often, DIGITS)
+        docs, exact = docs[exact > 0], exact[exact > 0]
+        best = np.lexsort((self.ids[docs], -exact))[:k]
+        return self.ids[docs[best]], exact[best]
+
+
+def _spread(start: np.ndarray, end: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of [start, end) one after another, with the value of their range."""
+    size = end - start
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size), np.repeat(value, size)
+
+
+_INDEX = "ids binary, lengths binary, names binary, starts binary, docs binary, tf binary"
+_INDEX_ARROW = pa.schema([(c, pa.binary()) for c in ("ids", "lengths", "names", "starts", "docs", "tf")])
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -146,32 +182,40 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     queries = queries.select("query_id", "text").where("query_id is not null")
 
-    def counted(batches):
-        memo = word_hashes()
-        names, number, docs_, words = [], [], 0, 0
-        for b in slices(batches, 2048):
-            _, h, _, n = terms(utf8(b.column(0)), memo)
-            docs_, words = docs_ + len(n), words + int(n.sum())
-            u, c = np.unique(h, return_counts=True)
-            names.append(u)
-            number.append(c)
-            if sum(map(len, names)) > 4_000_000:
-                yield from sums(names, number)
-                names, number = [], []
-        yield from sums(names, number)
-        # Documents and words are told under a name of their own: a null.
-        yield pa.RecordBatch.from_arrays([pa.nulls(2, pa.int64()), pa.array([docs_, words]), pa.array([0, 1], pa.int32())], ["h", "n", "kind"])
-
-    def sums(names, number):
-        if names:
-            u, at = np.unique(np.concatenate(names), return_inverse=True)
-            c = np.bincount(at, np.concatenate(number), len(u)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c), pa.array(np.full(len(u), 2, np.int32))], ["h", "n", "kind"])
-
-    stats = stored(docs.select("text").mapInArrow(counted, "h long, n long, kind int").groupBy("h", "kind").agg(F.sum("n").alias("n")), "terms")
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, held, base = word_hashes(), [], 0
+
+        def row():
+            parts = [np.concatenate([x[i] for x in held]) for i in range(5)]
+            return pa.RecordBatch.from_pylist([packed_index(*parts)], schema=_INDEX_ARROW)
+
+        for b in slices(batches, 1024):
+            for s in (0, SHARD_DOCS - base) if base + b.num_rows > SHARD_DOCS else (0,):
+                some = b.slice(s, SHARD_DOCS - base) if b.num_rows - s > SHARD_DOCS - base else b.slice(s)
+                of, h, tf, n = terms(utf8(some.column(1)), memo)
+                held.append((some.column(0).to_numpy(), (of + base).astype(np.uint16), h, tf.astype(np.uint32), n.astype(np.uint32)))
+                base += some.num_rows
+                if base == SHARD_DOCS:
+                    yield row()
+                    held, base = [], 0
+        if base:
+            yield row()
+
+    # Without a shuffle: partitions are joined into as many tasks as there are shards, or stay as they are.
+    index = stored(docs.coalesce(max(1, -(-docs.count() // SHARD_DOCS))).mapInArrow(build, _INDEX), "index")
+
+    def frequencies(batches):
+        """Of each shard the number of documents of each term; documents and words under a name of their own, a null."""
+        for b in batches:
+            for row in b.to_pylist():
+                names, starts = np.frombuffer(row["names"], "<i8"), np.frombuffer(row["starts"], "<u4").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.diff(np.r_[starts, len(row["docs"]) // 2])), pa.array(np.full(len(names), 2, np.int32))], ["h", "n", "kind"])
+                told = [len(row["ids"]) // 8, int(np.frombuffer(row["lengths"], "<u4").sum())]
+                yield pa.RecordBatch.from_arrays([pa.nulls(2, pa.int64()), pa.array(told), pa.array([0, 1], pa.int32())], ["h", "n", "kind"])
+
+    stats = stored(index.select("ids", "lengths", "names", "starts", "docs").mapInArrow(frequencies, "h long, n long, kind int").groupBy("h", "kind").agg(F.sum("n").alias("n")), "terms")
     told = {r.kind: r.n for r in stats.where("h is null").collect()}
     n_docs, mean = told.get(0) or 0, (told.get(1) or 0) / max(told.get(0) or 0, 1)
-    shards = max(1, -(-n_docs // SHARD_DOCS))
 
     def query_terms(batches):
         memo = word_hashes()
@@ -182,38 +226,11 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     asked = queries.mapInArrow(query_terms, "id long, h long").distinct().join(stats.where("kind = 2").select("h", "n"), "h")
     asked = asked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("h", "n"))).alias("q"))  # bounded by a query's text
-    n_queries = asked.count() if shards else 0
-    rounds = max(1, -(-n_queries // QUERY_BLOCK))
-    asked = stored(asked.select(F.pmod(F.xxhash64("id"), F.lit(rounds)).cast("int").alias("round"), "id", F.col("q.h").alias("h"), F.col("q.n").alias("n")), "queries")
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, at, held, base = word_hashes(), None, [], 0
-
-        def row():
-            parts = [np.concatenate([x[i] for x in held]) for i in range(5)]
-            fields = {"shard": at} | packed_index(*parts)
-            return pa.RecordBatch.from_pylist([fields], schema=_INDEX_ARROW)
-
-        for b in slices(batches, 1024):
-            shard = b.column(0).to_numpy()
-            cuts = np.r_[0, np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(shard)]
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if e == s:
-                    continue
-                if shard[s] != at:
-                    if held:
-                        yield row()
-                    at, held, base = int(shard[s]), [], 0
-                of, h, tf, n = terms(utf8(b.column(2).slice(s, e - s)), memo)
-                held.append((b.column(1).slice(s, e - s).to_numpy(), (of + base).astype(np.uint16), h, tf.astype(np.uint32), n.astype(np.uint32)))
-                base += e - s
-        if held:
-            yield row()
+    asked = stored(asked, "asked")
+    rounds = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked = asked.select(F.pmod(F.xxhash64("id"), F.lit(rounds)).cast("int").alias("round"), "id", F.col("q.h").alias("h"), F.col("q.n").alias("n"))
 
-    # The running number of a row deals documents evenly, however often a doc_id repeats.
-    dealt = docs.select(F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"), "doc_id", "text").repartitionByRange(shards, "shard").sortWithinPartitions("shard")
-    index = stored(dealt.mapInArrow(build, _INDEX), "index")
-    best = None
+    paths = []
     for r in range(rounds):
         block = asked.where(F.col("round") == r).select("id", "h", "n").toArrow().combine_chunks()  # QUERY_BLOCK queries, more or less
         ids, h, n = (block.column(c).combine_chunks() for c in range(3)) if block.num_rows else (pa.array([], pa.int64()),) * 3
@@ -224,10 +241,14 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 for row in b.to_pylist() if packed.value else ():
                     shard, (ids, ends, h, n) = Shard(row, mean), packed.value
                     weight = np.log(1 + (n_docs - n + 0.5) / (n + 0.5))
-                    out = [(q, *shard.top(h[s:e], weight[s:e], k)) for q, s, e in zip(ids, ends[:-1], ends[1:], strict=True)]
+                    asked = [(h[s:e], weight[s:e]) for s, e in zip(ends[:-1], ends[1:], strict=True)]
+                    out = [(q, *x) for q, x in zip(ids, shard.search(asked, k), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x[1]) for x in out])), pa.array(np.concatenate([x[1] for x in out])), pa.array(np.concatenate([x[2] for x in out]))], ["query_id", "doc_id", "score"])
 
-        found = index.mapInArrow(search, "query_id long, doc_id long, score double")
-        best = found if best is None else best.unionByName(found)
+        # A round's answers are written, so neither the plan nor what the driver holds grows with the number of queries.
+        paths += stored(index.mapInArrow(search, "query_id long, doc_id long, score double"), "found").inputFiles()
+        packed.unpersist(True)
+    best = spark.read.schema("query_id long, doc_id long, score double").parquet(*paths) if paths else spark.createDataFrame([], "query_id long, doc_id long, score double")
+    dropped(index)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")

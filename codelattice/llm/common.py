@@ -31,10 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set (local tests)."""
+    """The folder that driver and executors share. Where none is set: a folder of our own on a single machine (tests), an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codelattice-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="codelattice-"))
     return sc.getCheckpointDir()
 
 
@@ -108,6 +111,14 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """The name, or where docs has such a column already, one like it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_column(docs: DataFrame, name: str, kind: DataType, f) -> DataFrame:
     """docs with one more column, computed from whole texts by f(list of UTF-8 texts) -> values; one pass, no shuffle."""
     small_batches(docs.sparkSession)
