@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -163,10 +163,9 @@ class Scorer:
 
     def ratios(self, ws: list[str]) -> Iterator[tuple[str, float]]:
         """Words in chunks of bounded length; a word alone may be longer."""
-        ends = np.cumsum([len(w) + 2 for w in ws])
-        chunk = (ends - 1) // CHUNK
-        cuts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(ws) else []
-        for s, e in zip(cuts, [*cuts[1:], len(ws)], strict=True):
+        chunk = np.cumsum([len(w) + 2 for w in ws]) // CHUNK
+        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(ws)] if ws else [0]
+        for s, e in pairwise(cuts):
             yield from zip(ws[s:e], self.models.log_ratio(ws[s:e]).tolist(), strict=True)
 
     def evidence(self, texts: list[str]) -> np.ndarray:
@@ -217,7 +216,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int) ->
     # The id's hash decides; the two heaps hold `bound` rows each.
     chosen = [train.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound) for c in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1])
-    return docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Scorer, np.ndarray] | None:

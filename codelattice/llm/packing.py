@@ -23,11 +23,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import byte_bpe
-from .common import BROADCAST_IDS, slices, stored, utf8
+from .common import slices, stored, utf8
 
 #: Rounds of the local search, and fullest partners that an underfull class is tried against; they bound its time, not its input.
 ROUNDS, PARTNERS = 400, 48
 
+#: Counts by task and length that may be broadcast (64 bytes each, 16 MB in all); more are joined by a shuffle of the narrow pieces.
+BROADCAST_COUNTS = 250_000
+
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 
 
@@ -175,5 +178,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2)
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence[at] + k // run[at]), pa.array(offset[at] + k % run[at] * x)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     before = counts.select("task", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
-    ranked = cut.join(F.broadcast(before) if counts.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else before, ["task", "length"])
+    ranked = cut.join(F.broadcast(before) if counts.limit(BROADCAST_COUNTS + 1).count() <= BROADCAST_COUNTS else before, ["task", "length"])
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).alias("rank")).mapInArrow(placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

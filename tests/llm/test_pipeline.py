@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from codelattice.llm.common import table
@@ -56,3 +57,17 @@ def test_repeated_and_unnamed_rows(spark, folder):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted((r.doc_id or 0) for r in corpus_pipeline.deduplicate(spark, docs, base).collect()) == [0, 1, 3]
     assert corpus_pipeline.decontaminated(spark, docs, base).count() == 6
+
+
+def test_columns_with_names_that_stages_use(spark, folder):
+    """Extra columns, whatever their names, come through every stage but the last."""
+    base, _ = folder
+    extra = ["_score", "_leak", "score", "component_id", "n", "row", "count", "label", "h"]
+    docs = table(spark, base, "documents").limit(40)
+    for k, c in enumerate(extra):
+        docs = docs.withColumn(c, F.lit(k))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, base)
+        assert docs.columns[-len(extra) :] == extra
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, base).count() > 0
+    assert [docs.first()[c] for c in extra] == list(range(len(extra)))
