@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
 from codelattice.llm import decontaminate, kneser_ney, line_crf
-from codelattice.llm.common import BROADCAST_IDS, stored, table, with_column
+from codelattice.llm.common import BROADCAST_IDS, dropped, fresh, stored, table, with_column
 from codelattice.llm.jaccard_join import jaccard_components
 from codelattice.llm.packing import pack
 
@@ -20,13 +20,15 @@ TOXIC = 0.5
 def toxicity(spark, docs, sf_dir):
     """Drops documents whose toxicity score is 0.5 or more."""
     score = kneser_ney.scoring(docs, table(spark, sf_dir, "labels"))
-    return with_column(docs, "_score", DoubleType(), score).where(F.col("_score") < TOXIC).select(*docs.columns)
+    name = fresh(docs, "_score")
+    return with_column(docs, name, DoubleType(), score).where(F.col(name) < TOXIC).select(*docs.columns)
 
 
 def quality(spark, docs, sf_dir):
     """Drops documents whose quality score is below 0.3."""
     score = line_crf.scoring(docs, table(spark, sf_dir, "labels"))
-    return with_column(docs, "_score", DoubleType(), score).where(F.col("_score") >= line_crf.KEEP).select(*docs.columns)
+    name = fresh(docs, "_score")
+    return with_column(docs, name, DoubleType(), score).where(F.col(name) >= line_crf.KEEP).select(*docs.columns)
 
 
 def deduplicate(spark, docs, sf_dir):
@@ -47,7 +49,8 @@ def deduplicate(spark, docs, sf_dir):
 def decontaminated(spark, docs, sf_dir):
     """Drops documents that hold a passage of the benchmark."""
     for leaks in decontaminate.leak_tests(spark, table(spark, sf_dir, "benchmark")):
-        docs = with_column(docs, "_leak", BooleanType(), leaks).where(~F.col("_leak")).drop("_leak")
+        name = fresh(docs, "_leak")
+        docs = with_column(docs, name, BooleanType(), leaks).where(~F.col(name)).drop(name)
     return docs
 
 
@@ -65,5 +68,7 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        if name != STAGES[0][0]:
+            dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
