@@ -310,7 +310,7 @@ def _within(percent: int, turn: int):
     """A cell holds some of a group's strays (members outside its largest component) and some of all its members. For each
     stray the members whose sketches allow the similarity and whose component differs, the nearest first: in turn 0 the
     first TURN_PAIRS, then eight times as many each turn. Ranks go by the components before turn 0; pairs that links have
-    joined since are left out. A pair (-1, -1) tells that there are more."""
+    joined since are left out. A row (gid, null) tells that there are more."""
     low, high = TURN_PAIRS * 8 ** (turn - 1) if turn else 0, TURN_PAIRS * 8**turn
 
     def run(t: pa.Table) -> pa.Table:
@@ -351,8 +351,8 @@ def _within(percent: int, turn: int):
         rank = np.arange(len(x)) - np.repeat(first, np.diff(np.r_[first, len(x)]))
         apart = now[x] != now[y]
         chosen = apart & (rank >= low) & (rank < high)
-        more = [-1] if (apart & (rank >= high)).any() else []
-        return pa.table({"c": np.r_[ids[x[chosen]], more].astype(np.int64), "m": np.r_[ids[y[chosen]], more].astype(np.int64)})
+        more = [t.column("gid")[0].as_py()] if (apart & (rank >= high)).any() else []
+        return pa.table({"c": np.r_[ids[x[chosen]], more].astype(np.int64), "m": pa.array([*ids[y[chosen]].tolist(), *(None for _ in more)], pa.int64())})
 
     return run
 
@@ -439,22 +439,27 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     spread = held.where("stray = 1").select(*kept, F.lit(True).alias("own"), own("rows").alias("i"), F.explode(to("columns")).alias("j"))
     spread = spread.union(held.select(*kept, F.lit(False).alias("own"), F.explode(to("rows")).alias("i"), own("columns").alias("j")))
     spread = stored(spread.join(sketches.withColumnRenamed("rep", "id"), "id"), "spread")
+    parts = stored(held.select("gid", "component").distinct(), "parts")
     dropped(groups)
-    turn, more, merged = 0, [], spark.createDataFrame([], "id long, component long")
-    while True:  # a further turn only where a stray has more such members in a cell
-        now = spread.join(merged.toDF("component", "now"), "component", "left").withColumn("now", F.coalesce("now", "component")) if turn else spread.withColumn("now", F.col("component"))
-        pairs = stored(now.groupBy("gid", "i", "j").applyInArrow(_within(percent, turn), "c long, m long").distinct(), "cross")
-        more.append(linked(pairs.where("c <> m").select("c", F.lit(0).alias("salt"), "m")))
-        last = pairs.where("c = m").isEmpty()
-        dropped(pairs)
+    turn, more, merged, cells = 0, [], None, spread.withColumn("now", F.col("component"))
+    while True:
+        pairs = stored(cells.groupBy("gid", "i", "j").applyInArrow(_within(percent, turn), "c long, m long").distinct(), "cross")
+        more.append(linked(pairs.where("m is not null").select("c", F.lit(0).alias("salt"), "m")))
         # Links between components; few against the links of the stars.
         between = reduce(DataFrame.union, more)
         for end in ("a", "b"):
             between = between.join(found.select(F.col("id").alias(end), F.col("component").alias("of")), end, "left").withColumn(end, F.coalesce("of", end)).drop("of")
         merged = components(between)
-        if last:
+        # A further turn only for groups in which a stray has more such members, and that still are in several components.
+        current = lambda rows: rows.join(merged.toDF("component", "now"), "component", "left").withColumn("now", F.coalesce("now", "component"))  # noqa: B023, E731
+        left = stored(current(parts.join(pairs.where("m is null").select(F.col("c").alias("gid")).distinct(), "gid")).groupBy("gid").agg(F.min("now").alias("x"), F.max("now").alias("y")).where("x <> y").select("gid"), "left")
+        n_left = left.limit(BROADCAST_IDS + 1).count()
+        dropped(pairs)
+        if not n_left:
             break
         turn += 1
+        cells = current(small_semi_join(spread, left, "gid", n_left))
+    dropped(parts)
     dropped(spread)
     label = member.select("node", "rep").join(found.toDF("rep", "component"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
     label = label.join(merged.toDF("component", "merged"), "component", "left").select("node", F.coalesce("merged", "component").alias("component_id"))
