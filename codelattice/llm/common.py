@@ -16,12 +16,12 @@ from pyspark.sql.types import DataType, StructField, StructType
 #: Rows that Python code takes from an Arrow batch at once.
 SLICE_ROWS = 512
 #: Entries of a memo of words; a memo only holds pure functions of its keys and is emptied beyond that.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 80_000
 #: Ids that may be broadcast (16 MB of longs in a hash relation); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 #: Bytes that go to Python in one Arrow batch. Whole texts and packed blobs make rows large, so the session's bound is lowered.
-BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 
 U64 = np.uint64
 
@@ -70,9 +70,11 @@ def small_semi_join(df: DataFrame, ids: DataFrame, key: str, n_ids: int) -> Data
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most that many rows; at the end the worker, which later tasks use too, gives unused Arrow memory back."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def utf8(column: pa.Array) -> list[bytes]:

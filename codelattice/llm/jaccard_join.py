@@ -55,7 +55,7 @@ CELL_MEMBERS, CELL_BYTES, TURN_PAIRS = 2_048, 8 << 20, 2
 #: Members that meet one copy of their hub.
 HUB_MEMBERS = 512
 #: Documents of a task whose signatures are packed together (their places take 16 bits).
-PACK_DOCS = 4_096
+PACK_DOCS = 2_048
 #: Bytes of text to a range of the key space. A shingle takes two bytes at least, mostly six, and gives less than one signature.
 RANGE_BYTES = 24 << 20
 #: Documents that are looked at for frequent shingles; they only set the order of blocks.

@@ -34,7 +34,7 @@ LEVELS, SHARED = (1, 2, 3, 0), 3
 #: Ratio of an expression's likelihoods, as a logarithm, from which it counts as one of large ratio.
 LARGE = 2.0
 #: Characters that are scored at once, those that a process remembers scores of, and the longest word that is remembered.
-CHUNK, MEMO_CHARS, MEMO_WORD = 250_000, 2_500_000, 64
+CHUNK, MEMO_CHARS, MEMO_WORD = 60_000, 1_600_000, 64
 _WORD = re.compile(r"[^\W\d_]+")
 _BASE = U64(0x9E3779B97F4A7C15)
 
