@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -69,12 +71,21 @@ def small_semi_join(df: DataFrame, ids: DataFrame, key: str, n_ids: int) -> Data
     return df.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, key, "left_semi")
 
 
+def give_back() -> None:
+    """Returns unused memory of this process to the system; Python workers live on between tasks, and so does the driver."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of at most that many rows; at the end the worker, which later tasks use too, gives unused Arrow memory back."""
+    """The batches in parts of at most that many rows; at the end the worker gives unused memory back."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import U64, dropped, mix, slices, stored, utf8, with_column
+from .common import U64, dropped, give_back, mix, slices, stored, utf8, with_column
 
 #: Documented bound: labelled texts of each class that are learned from, and how many of five go to the models (the rest fit the curve).
 TRAIN_DOCS, MODEL_SHARE = 2_000, 3
@@ -79,7 +79,7 @@ class Table:
 
     def __init__(self, *columns: tuple[np.ndarray, np.ndarray]):
         self.keys = np.unique(np.concatenate([k for k, _ in columns]))
-        self.values = np.zeros((len(self.keys) + 1, len(columns)))
+        self.values = np.zeros((len(self.keys) + 1, len(columns)), np.float32)
         for i, (k, v) in enumerate(columns):
             self.values[np.searchsorted(self.keys, k), i] = v
 
@@ -88,7 +88,7 @@ class Table:
         missing = at == len(self.keys)
         missing[~missing] = self.keys[at[~missing]] != keys[~missing]
         at[missing] = len(self.keys)
-        return self.values[at].T
+        return self.values[at].T.astype(float)
 
 
 def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,6 +243,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Scorer, np.ndarray] | Non
         return None
     scorer = Scorer(Models(got.column(0).to_pylist(), number))
     del got, number
+    give_back()
     y = np.array(rest.column(1).to_pylist(), float)
     if not 0 < y.sum() < len(y):
         return scorer, np.array([10.0, 1.0, 1.0, 0.0, 0.0, -5.0])
@@ -256,6 +257,9 @@ def scoring(docs: DataFrame, labels: DataFrame):
         learned[0].memo, learned[0].held = {}, 0
     model = docs.sparkSession.sparkContext.broadcast(learned)
 
+    del learned
+    give_back()
+
     def score(texts: list[bytes]) -> np.ndarray:
         if model.value is None:
             return np.zeros(len(texts))
