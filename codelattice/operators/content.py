@@ -9,6 +9,7 @@ from ..functions import edgekinds
 from ..functions.uri import basename, dirname
 from .graph import Graph, neighbours
 from .refs import anchors, definitions, narrow_references
+from .requests import kind_matches, located
 
 
 def documents(graph: Graph) -> DataFrame:
@@ -43,6 +44,16 @@ def directories(graph: Graph) -> DataFrame:
     return levels.select("corpus", "root", dirname(F.col("x.path")).alias("directory"), basename(F.col("x.path")).alias("name"), F.col("x.kind").alias("kind")).distinct()
 
 
+def directory_entries(graph: Graph) -> DataFrame:
+    """directories with generated (a file under a root) and build_configs: those of the anchors of a file, or of all files below a directory."""
+    f = file_names(graph).join(build_configs(graph), "file", "left").select("corpus", "root", "path", "build_config")
+    parts = F.split("path", "/")
+    levels = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("path"), F.when(i == F.size(parts), "FILE").otherwise("DIRECTORY").alias("kind")))
+    rows = f.select("corpus", "root", "build_config", F.explode(levels).alias("x"))
+    rows = rows.groupBy("corpus", "root", "x").agg(F.array_join(F.sort_array(F.collect_set(F.when(F.col("build_config") != "", F.col("build_config")))), ",").alias("build_configs"))
+    return rows.select("corpus", "root", dirname(F.col("x.path")).alias("directory"), basename(F.col("x.path")).alias("name"), F.col("x.kind").alias("kind"), ((F.col("root") != "") & (F.col("x.kind") == "FILE")).alias("generated"), "build_configs")
+
+
 def directory(graph: Graph, corpus: str, root: str = "", path: str = "") -> DataFrame:
     """One directory; an unknown one is empty."""
     return directories(graph).where((F.col("corpus") == corpus) & (F.col("root") == root) & (F.col("directory") == path)).select("name", "kind")
@@ -80,8 +91,13 @@ def arity(graph: Graph) -> DataFrame:
     return graph.edges.where(edgekinds.is_variant("kind", graph.v.edge("param"))).groupBy(F.col("src").alias("node")).agg((F.max("ordinal") + 1).alias("arity"))
 
 
-def resolve(graph: Graph, nodes: DataFrame, params: int | None = None, most: int = 1000) -> DataFrame:
-    """Links of nodes(node): where they are defined, complete definitions before others: (file, line_start, nodes), grouped by place, capped at `most` as the request does."""
+def resolve(graph: Graph, nodes: DataFrame, params: int | None = None, most: int = 1000, kinds: list[str] | None = None, include: list[dict] | None = None, exclude: list[dict] | None = None) -> DataFrame:
+    """Links of nodes(node): where they are defined, complete definitions before others: (file, start, nodes), grouped by place, capped at `most` as the request does.
+
+    kinds: kinds or kind/subkind of nodes (none: all but lookup nodes); include, exclude: places of definitions.
+    """
+    named = graph.wide(graph.v.fact("subkind")).select(F.col("ticket").alias("node"), "kind", F.col("subkind").cast("string").alias("subkind"))
+    nodes = nodes.select("node").join(named, "node", "left").where(kind_matches(F.col("kind"), F.col("subkind"), kinds)).select("node")
     complete = graph.wide(graph.v.fact("complete")).select(F.col("ticket").alias("node"), (F.col("complete").cast("string") == "definition").alias("full"))
     d = nodes.join(definitions(graph), "node").join(complete, "node", "left")
     if params is not None:
@@ -89,6 +105,7 @@ def resolve(graph: Graph, nodes: DataFrame, params: int | None = None, most: int
     best = d.agg(F.max(F.coalesce("full", F.lit(False))).alias("any_full"))
     d = d.crossJoin(F.broadcast(best)).where(F.coalesce("full", F.lit(False)) | ~F.col("any_full"))  # one row
     places = d.join(anchors(graph).select(F.col("anchor").alias("definition"), "file", "start"), "definition")
+    places = places.where(located("file", include, True, graph.v) & ~located("file", exclude, False, graph.v))
     return places.groupBy("file", "start").agg(F.sort_array(F.collect_set("node")).alias("nodes")).orderBy("file", "start").limit(most)
 
 

@@ -19,8 +19,8 @@ class Graph:
     split from their ordinals. Both come from partial aggregates by key.
     """
 
-    def __init__(self, entries: DataFrame, vocabulary: Vocabulary = VOCABULARY):
-        self.entries, self.v = entries, vocabulary
+    def __init__(self, entries: DataFrame, vocabulary: Vocabulary = VOCABULARY, folder: str | None = None):
+        self.entries, self.v, self.folder = entries, vocabulary, folder
 
     @property
     def raw_facts(self) -> DataFrame:
@@ -110,8 +110,9 @@ def edge_page(graph: Graph, src: str, page_size: int, page_token: int = 0, kinds
     e = graph.edges_all().where(F.col("src") == src)
     if kinds:
         e = e.where(F.col("kind").isin(kinds))
-    position = F.row_number().over(Window.partitionBy("src").orderBy(edgekinds.display_rank("kind", graph.v), "kind", "ordinal", "dst")) - 1
-    return e.withColumn("position", position).where(F.col("position").between(page_token, page_token + page_size - 1)).select("position", "kind", "ordinal", "dst")
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(edgekinds.display_rank("kind", graph.v), "kind", "ordinal", "dst"))
+    upto = e.withColumn("position", rank).where(F.col("position") <= page_token + page_size)
+    return upto.select((F.col("position") - 1).alias("position"), "kind", "ordinal", "dst").where(F.col("position") >= page_token)
 
 
 def edge_targets(graph: Graph) -> DataFrame:

@@ -105,3 +105,74 @@ def numbered(entries: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Adjacent-duplicate removal in store order, as a window: rows that repeat the key before them go."""
     w = Window.partitionBy(*(key or KEY)).orderBy("fact_value")
     return entries.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+#: What entry keys begin with, and what parts their fields and the fields of a VName.
+KEY_PREFIX, KEY_SEPARATOR, NAME_SEPARATOR = "entry:", "\n", "\x00"
+_NAME = ("signature", "corpus", "root", "path", "language")
+
+
+def _name_text(v: Column) -> Column:
+    return F.when(v.isNull(), "").otherwise(F.concat_ws(NAME_SEPARATOR, *(v[f] for f in _NAME)))
+
+
+def entry_key(source: str = "source", edge_kind: str = "edge_kind", fact_name: str = "fact_name", target: str = "target") -> Column:
+    """The key of an entry as text; null where a field holds the separator, or one of edge kind and target is missing."""
+    fields = [_name_text(F.col(source)), F.col(edge_kind), F.col(fact_name), _name_text(F.col(target))]
+    clean = F.lit(True)
+    for f in fields:
+        clean = clean & ~F.contains(f, F.lit(KEY_SEPARATOR))
+    whole = F.col(source).isNotNull() & ((F.col(edge_kind) == "") == F.col(target).isNull())
+    return F.when(clean & whole, F.concat(F.lit(KEY_PREFIX), F.concat_ws(KEY_SEPARATOR, *fields)))
+
+
+def key_prefix(source: Column, edge_kind: str = "*") -> Column:
+    """What the keys of a source begin with, those of one edge kind or ("*") all."""
+    start = F.concat(F.lit(KEY_PREFIX), _name_text(source), F.lit(KEY_SEPARATOR))
+    return start if edge_kind == "*" else F.concat(start, F.lit(edge_kind + KEY_SEPARATOR))
+
+
+def parsed_key(key: Column) -> Column:
+    """A key as struct(source, edge_kind, fact_name, target); null where it is none."""
+    parts = F.split(F.substring(key, F.lit(len(KEY_PREFIX) + 1), F.length(key)), KEY_SEPARATOR, -1)
+
+    def name(text: Column) -> Column:
+        fields = F.split(text, NAME_SEPARATOR, -1)
+        return F.when(text != "", F.struct(*(F.get(fields, F.lit(i)).alias(f) for i, f in enumerate(_NAME))))
+
+    found = F.struct(name(F.get(parts, F.lit(0))).alias("source"), F.get(parts, F.lit(1)).alias("edge_kind"), F.get(parts, F.lit(2)).alias("fact_name"), name(F.get(parts, F.lit(3))).alias("target"))
+    return F.when(F.startswith(key, F.lit(KEY_PREFIX)) & (F.size(parts) == 4), found)
+
+
+def keyed_range(keyed: DataFrame, low: Column | str | None = None, high: Column | str | None = None, prefix: Column | str | None = None) -> DataFrame:
+    """Rows of keyed(key, ...) in [low, high) or under a prefix: comparisons of the stored key, which reach the scan."""
+    out = keyed
+    for bound, test in ((low, lambda k, b: k >= b), (high, lambda k, b: k < b), (prefix, F.startswith)):
+        if bound is not None:
+            out = out.where(test(F.col("key"), bound if isinstance(bound, Column) else F.lit(bound)))
+    return out
+
+
+def ordered_key(*columns: Column, kinds: list[str]) -> Column:
+    """Columns as one hexadecimal text that sorts as they do, one after another. kinds: string or long, for each column; no nulls."""
+    out = []
+    for c, kind in zip(columns, kinds, strict=True):
+        if kind == "string":  # a zero byte is escaped, and what ends a string sorts before it
+            pairs = F.regexp_replace(F.hex(c.cast("binary")), "(..)", "$1,")
+            out.append(F.concat(F.replace(F.replace(pairs, F.lit("00,"), F.lit("00FF")), F.lit(",")), F.lit("0001")))
+        else:  # two's complement with the sign turned round
+            out.append(F.lpad(F.hex(F.bitwise_not(c.cast("long").bitwiseXOR(F.lit(2**63 - 1)))), 16, "0"))
+    return F.concat(*out)
+
+
+def batches(entries: DataFrame, most: int) -> DataFrame:
+    """entries with batch: entries of one source in batches of at most `most`, numbered from 0 within the source."""
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("edge_kind", "fact_name", "target", "fact_value")) - 1
+    return entries.withColumn("batch", F.floor(rank / most))
+
+
+def corpora(entries: DataFrame, allowed: list[str] | None = None) -> DataFrame:
+    """(corpus, n_sources, ok) over the sources of entries, those in language usr left out; not ok: no corpus, or one that isn't allowed."""
+    sources = entries.where(F.col("source.language") != "usr").select("source").distinct()
+    ok = (F.col("corpus") != "") & (F.col("corpus").isin(allowed) if allowed else F.lit(True))
+    return sources.groupBy(F.col("source.corpus").alias("corpus")).agg(F.count("*").alias("n_sources")).withColumn("ok", ok)

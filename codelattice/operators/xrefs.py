@@ -10,39 +10,54 @@ from ..functions.uri import parse_ticket
 from ..model import VOCABULARY, Vocabulary
 from .graph import Graph
 from .refs import narrow_references
+from .requests import position
 
 
 def is_declaration(kind: Column, complete: Column | None = None, v: Vocabulary = VOCABULARY) -> Column:
     """A declaring reference, or a definition of a node that is incomplete."""
     incomplete = F.coalesce(complete == "incomplete", F.lit(False)) if complete is not None else F.lit(False)
+    kind = canonical(kind)
     return (kind == "#internal/ref/declare") | (incomplete & edgekinds.is_variant(kind, v.edge("defines")))
 
 
 def is_definition(kind: Column, which: str = "ALL", complete: Column | None = None, v: Vocabulary = VOCABULARY) -> Column:
     """which: NONE, ALL, FULL (defines alone) or BINDING. What is a declaration is no definition."""
+    kind = canonical(kind)
     found = {"NONE": F.lit(False), "ALL": edgekinds.is_variant(kind, v.edge("defines")), "FULL": kind == v.edge("defines"), "BINDING": kind == v.edge("defines/binding")}[which]
     return found & ~is_declaration(kind, complete, v)
 
 
+def canonical(kind: Column) -> Column:
+    """The kind without the mark of a reverse edge."""
+    return F.regexp_replace(kind, "^%", "")
+
+
 def is_reference(kind: Column, which: str = "ALL", v: Vocabulary = VOCABULARY) -> Column:
-    """which: NONE, ALL, CALL or NON_CALL. NON_CALL takes references that aren't calls, and all that provides."""
+    """which: NONE, ALL (variants of ref), CALL or NON_CALL. NON_CALL takes references that aren't calls, and what provides."""
+    kind = canonical(kind)
     ref, call = edgekinds.is_variant(kind, v.edge("ref")), edgekinds.is_variant(kind, v.edge("ref/call"))
-    provides = edgekinds.is_variant(kind, v.edge("provides"))
-    return {"NONE": F.lit(False), "ALL": ref | provides, "CALL": call, "NON_CALL": (~call & ref) | provides}[which]
+    return {"NONE": F.lit(False), "ALL": ref, "CALL": call, "NON_CALL": (~call & ref) | (kind == v.edge("provides"))}[which]
+
 
+#: Kinds of groups that serving data has beside edge kinds.
+INTERNAL = "#internal/"
+DIRECT, OVERRIDE = f"{INTERNAL}ref/call/direct", f"{INTERNAL}ref/call/override"
 
-def is_caller(kind: Column, which: str = "DIRECT", v: Vocabulary = VOCABULARY) -> Column:
-    direct = kind == v.edge("ref/call")
-    return {"NONE": F.lit(False), "DIRECT": direct, "OVERRIDE": direct | (kind == v.edge("ref/call/override"))}[which]
 
+def is_caller(kind: Column, which: str = "DIRECT") -> Column:
+    """which: NONE, DIRECT or OVERRIDE, which includes direct callers. Callers stand in groups of internal kinds."""
+    kind = canonical(kind)
+    return {"NONE": F.lit(False), "DIRECT": kind == DIRECT, "OVERRIDE": kind.isin(DIRECT, OVERRIDE)}[which]
 
-def is_speculative(kind: Column, v: Vocabulary = VOCABULARY) -> Column:
-    return F.endswith(kind, F.lit("/thunk")) | (kind == v.edge("ref/call/override"))
 
+def is_speculative(kind: Column) -> Column:
+    return F.endswith(kind, F.lit("/thunk")) | (kind == OVERRIDE)
 
-def is_related(kind: Column, v: Vocabulary = VOCABULARY) -> Column:
-    """Edges between nodes, both ways, that aren't anchors' edges."""
-    return ~edgekinds.is_anchor_edge(kind, v)
+
+def is_related(kind: Column, requested: list[str] | None = None, v: Vocabulary = VOCABULARY) -> Column:
+    """Edges between nodes, both ways, that are no internal kinds and no anchors' edges, of the kinds asked for."""
+    out = ~F.startswith(kind, F.lit(INTERNAL)) & ~edgekinds.is_anchor_edge(kind, v)
+    return out & kind.isin(requested) if requested else out
 
 
 def category(kind: Column, complete: Column | None = None, v: Vocabulary = VOCABULARY) -> Column:
@@ -86,11 +101,15 @@ def filtered_totals(refs: DataFrame, filters: list[dict], v: Vocabulary = VOCABU
     return refs.groupBy("target", "category").agg(F.count_if(keep).alias("total"), F.count_if(~keep).alias("filtered"))
 
 
-def page(refs: DataFrame, page_size: int = 2048, page_token: int = 0) -> DataFrame:
-    """One page of each target's references in the order of category, kind, file, start, anchor. At most 10000 rows a page."""
-    size = min(page_size, 10_000)
+def page(refs: DataFrame, page_size: int = 2048, page_token: int | str = 0) -> DataFrame:
+    """One page of each target's references in the order of category, kind, file, start, anchor. At most 10000 rows a page.
+
+    The filter on the row number comes first, so that Spark keeps no more rows of a target than the page's end before it sorts.
+    """
+    size, start = min(page_size, 10_000), position(page_token)
     w = Window.partitionBy("target").orderBy("category", "kind", "file", "start", "anchor", "end")
-    return refs.withColumn("position", F.row_number().over(w) - 1).where(F.col("position").between(page_token, page_token + size - 1))
+    upto = refs.withColumn("position", F.row_number().over(w)).where(F.col("position") <= start + size)
+    return upto.withColumn("position", F.col("position") - 1).where(F.col("position") >= start)
 
 
 def merged(graph: Graph, kinds: list[str], most: int = 64) -> DataFrame:

@@ -38,7 +38,7 @@ def query(sql: str | None = None, parts: list[str] | None = None, lift: bool = T
 
     def add(f):
         name = f.__name__
-        QUERIES[name] = (lambda spark, d: f(Graph(Lift(spark, d).entries(*(parts or []))))) if lift else f
+        QUERIES[name] = (lambda spark, d: f(Graph(Lift(spark, d).entries(*(parts or [])), folder=d))) if lift else f
         if sql:
             ORACLES[name] = sql
         return f
@@ -124,7 +124,7 @@ def nodes_assembled(x):
     return x.nodes()
 
 
-@query(LIFT + "SELECT ticket, name, value FROM facts WHERE ticket IN (SELECT ticket FROM facts WHERE name = '/graph/node/kind' AND value = 'record') AND name IN ('/tpch/brand', '/graph/complete')", ["parts_", "suppliers", "places"])
+@query("SELECT 'graph://tpch?lang=tpch#part%2F' || p_partkey AS ticket, '/tpch/brand' AS name, p_brand AS value FROM part WHERE p_brand IS NOT NULL UNION ALL SELECT 'graph://tpch?lang=tpch#part%2F' || p_partkey, '/graph/complete', CASE WHEN p_size > 25 THEN 'definition' ELSE 'incomplete' END FROM part", ["parts_", "suppliers", "places"])
 def nodes_filter_kind_facts(x):
     return x.filtered(kinds=["record"], subkinds=["class"], include_facts=["/tpch/brand", V.fact("complete")]).select("ticket", "name", F.col("value").cast("string").alias("value"))
 
@@ -371,10 +371,10 @@ def link_resolve_arity(x):
     return content.arity(x)
 
 
-@query(LIFT + DEFINITIONS_SQL + """, d AS (SELECT d.node, definition, f.value = 'definition' AS full_ FROM definitions d JOIN facts f ON f.ticket = d.node AND f.name = '/graph/complete' WHERE d.node LIKE '%part%2F1%')
+@query(LIFT + DEFINITIONS_SQL + """, d AS (SELECT d.node, definition, f.value = 'definition' AS full_ FROM definitions d JOIN facts f ON f.ticket = d.node AND f.name = '/graph/complete')
     SELECT r.file, r."start" AS "start", string_agg(DISTINCT d.node, ',' ORDER BY d.node) AS nodes FROM d JOIN refs r ON r.anchor = d.definition AND r.target = d.node WHERE full_ GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 1000""", XREF)
 def link_resolve(x):
-    nodes = x.wide().where((F.col("kind") == "record") & F.startswith("ticket", F.lit("graph://tpch?lang=tpch#part%2F1"))).select(F.col("ticket").alias("node"))
+    nodes = x.wide().where("kind = 'record'").select(F.col("ticket").alias("node"))
     return content.resolve(x, nodes).withColumn("nodes", F.array_join("nodes", ","))
 
 
@@ -413,12 +413,12 @@ def pattern_ordinal(x):
 # --- streams, tools and renderings ---
 
 
-@query(LIFT + "SELECT '' AS edge_kind, count(*) AS n FROM facts WHERE ticket LIKE '%supplier%' GROUP BY 1 UNION ALL SELECT kind, count(*) FROM edges WHERE src LIKE '%supplier%' GROUP BY kind", ["suppliers"])
+@query(LIFT + "SELECT '' AS edge_kind, count(*) AS n FROM facts UNION ALL SELECT kind, count(*) FROM edges GROUP BY kind")
 def entries_wire_roundtrip(x):
     return store.counts_by_kind(entry_streams.decoded(entry_streams.encoded(x.entries)).distinct())
 
 
-@query(LIFT + "SELECT ticket AS source, '' AS edge_kind, '' AS target, count(*)::INT AS n_properties FROM facts WHERE ticket LIKE '%nation%' OR ticket LIKE '%region%' OR ticket LIKE '%customer%' GROUP BY ticket UNION ALL SELECT src, kind, dst, 1 FROM edges WHERE src LIKE '%nation%' OR src LIKE '%customer%'", ["places"])
+@query(LIFT + "SELECT ticket AS source, '' AS edge_kind, '' AS target, count(*)::INT AS n_properties FROM facts GROUP BY ticket UNION ALL SELECT src, kind, dst, 1 FROM edges")
 def entries_aggregated(x):
     return store.aggregated(x.entries).select("source", "edge_kind", F.coalesce("target", F.lit("")).alias("target"), F.size("properties").alias("n_properties"))
 

@@ -1,6 +1,6 @@
 import pytest
 
-from codelattice.queries import ORACLES, QUERIES
+from codelattice.queries_requests import ORACLES, QUERIES
 
 from .compare import duck, rows
 
