@@ -41,21 +41,19 @@ def references(graph: Graph) -> DataFrame:
     runs over several lines is joined with the text itself, so a text isn't copied to every anchor.
     """
     f = files(graph)
-    r = narrow_references(graph).join(f.select("file", F.octet_length("text").alias("_size")), "file").where(F.col("end") <= F.col("_size")).drop("_size")
-    starts = r.select("file", "anchor", "start", "end").distinct()
     lines = spans.line_index(f, "file", "text", with_text=True)
-    none = F.lit(None)
-    both = lines.select("file", F.col("line_start").alias("at"), F.lit(0).alias("own"), F.struct("line_number", "line_start", "line_bytes", "line").alias("found"), none.cast("string").alias("anchor"), none.cast("int").alias("end"))
-    both = both.unionByName(starts.select("file", F.col("start").cast("long").alias("at"), F.lit(1).alias("own"), none.cast(both.schema["found"].dataType).alias("found"), "anchor", "end"))
+    found = F.struct("line_number", "line_start", "line_bytes", "line", F.max(F.col("line_start") + F.col("line_bytes")).over(Window.partitionBy("file")).alias("size"))
+    lines = lines.select("file", F.col("line_start").alias("at"), F.lit(0).alias("own"), found.alias("found"))
+    rows = narrow_references(graph).withColumns({"at": F.col("start").cast("long"), "own": F.lit(1)})
     w = Window.partitionBy("file").orderBy("at", "own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = both.withColumn("found", F.last("found", True).over(w)).where("own = 1")
-    column = (F.col("at") - F.col("found.line_start")).cast("int")
-    inside = F.col("end") - F.col("found.line_start") <= F.col("found.line_bytes")
-    raw = F.col("found.line").cast("binary")
-    placed = placed.select("anchor", "file", "at", "end", F.when(inside, spans.slice_text(raw, column, (F.col("end") - F.col("found.line_start")).cast("int"))).alias("text"), F.col("found.line_number").cast("int").alias("line"), column.alias("column"), F.col("found.line").alias("snippet"))
-    long = placed.where("text is null").drop("text").join(f, "file").withColumn("text", spans.slice_text("text", "at", "end"))
-    texts = placed.where("text is not null").unionByName(long).select("anchor", "file", F.col("at").cast("int").alias("start"), "end", F.col("text").alias("anchor_text"), "line", "column", "snippet")
-    return r.join(texts, ["anchor", "file", "start", "end"]).select("target", "kind", "anchor", "file", "start", "end", "build_config", "scope", "anchor_text", "line", "column", "snippet")
+    placed = lines.unionByName(rows, allowMissingColumns=True).withColumn("found", F.last("found", True).over(w)).where("own = 1 and end <= found.size")
+    column = (F.col("start") - F.col("found.line_start")).cast("int")
+    to = (F.col("end") - F.col("found.line_start")).cast("int")
+    whole = to <= F.col("found.line_bytes")
+    kept = ["target", "kind", "anchor", "file", "start", "end", "build_config", "scope"]
+    placed = placed.select(*kept, F.when(whole, spans.slice_text(F.col("found.line").cast("binary"), column, to)).alias("anchor_text"), F.col("found.line_number").cast("int").alias("line"), column.alias("column"), F.col("found.line").alias("snippet"))
+    long = placed.where("anchor_text is null").drop("anchor_text").join(f, "file").withColumn("anchor_text", spans.slice_text("text", "start", "end"))
+    return placed.where("anchor_text is not null").unionByName(long.select(placed.columns))
 
 
 def decorations(graph: Graph, low: Column | int | None = None, high: Column | int | None = None, mode: str = "within", file: str | None = None, build_configs: list[str] | None = None) -> DataFrame:

@@ -67,3 +67,26 @@ def test_files_without_text(spark):
     n = spark.range(3)
     rows = facts(n, file(F.col("id").cast("string")), {"/graph/node/kind": F.lit("file"), "/graph/text": F.when(F.col("id") > 0, "x")})
     assert requests.present_files(Graph(rows)).count() == 2 and requests.present_files(Graph(rows), missing=True).count() == 3
+
+
+def test_references_over_lines_and_beyond_the_text(spark):
+    """An anchor over several lines, one at a line's end, one at the end of a text without a newline, an empty one, and one beyond the text."""
+    from codelattice.model import vname
+    from codelattice.operators import refs
+    from codelattice.operators.graph import Graph
+    from codelattice.sources.lift import edges, facts, file
+
+    text = "äb\ncd\nef"
+    spots = [(1, 1, 6), (2, 3, 3), (3, 7, 9), (4, 0, 2), (5, 8, 10)]
+    a = spark.createDataFrame(spots, "n int, s int, e int")
+    own = vname(F.col("n").cast("string"), "", "", "f", "x")
+    one = spark.range(1)
+    rows = facts(one, file("f"), {"/graph/node/kind": F.lit("file"), "/graph/text": F.lit(text)})
+    rows = rows.unionByName(facts(a, own, {"/graph/node/kind": F.lit("anchor"), "/graph/loc/start": F.col("s"), "/graph/loc/end": F.col("e")}))
+    rows = rows.unionByName(edges(a, own, "/graph/edge/ref", vname("t", "c")))
+    rows = rows.withColumn("source", F.col("source").withField("corpus", F.lit("tpch")))
+    got = {r.start: (r.anchor_text, r.line, r.column, r.snippet) for r in refs.references(Graph(rows)).collect()}
+    raw = text.encode()
+    want = {s: raw[s:e].decode("utf-8", "replace") for _, s, e in spots if e <= len(raw)}
+    assert {s: g[0] for s, g in got.items()} == want
+    assert got[0][1:] == (1, 0, "äb") and got[3][1:] == (1, 3, "äb") and got[7][1:] == (3, 0, "ef")
