@@ -47,7 +47,7 @@ def utf16_of_byte(text, offset) -> Column:
     """A byte offset of UTF-8 as an offset in UTF-16 units, clamped to the text."""
     raw = _col(text).cast("binary")
     at = F.greatest(F.lit(0), F.least(_col(offset).cast("int"), F.octet_length(raw)))
-    return utf16_units(F.decode(F.substring(raw, F.lit(1), at), "UTF-8"))
+    return utf16_units(F.make_valid_utf8(F.substring(raw, F.lit(1), at).cast("string")))
 
 
 def byte_of_utf16(text, offset) -> Column:

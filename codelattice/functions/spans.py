@@ -38,8 +38,9 @@ def offset_of(text, line, column) -> Column:
 
 
 def slice_text(text, start, end) -> Column:
+    """Bytes [start, end) as text; characters that the span cuts become replacement characters."""
     raw = _col(text).cast("binary")
-    return F.decode(F.substring(raw, _col(start).cast("int") + 1, (_col(end) - _col(start)).cast("int")), "UTF-8")
+    return F.make_valid_utf8(F.substring(raw, _col(start).cast("int") + 1, (_col(end) - _col(start)).cast("int")).cast("string"))
 
 
 def line_text(text, offset) -> Column:
@@ -47,7 +48,7 @@ def line_text(text, offset) -> Column:
     raw, offset = _col(text).cast("binary"), _col(offset).cast("int")
     before = F.substring_index(F.decode(F.substring(raw, F.lit(1), offset), "ISO-8859-1"), "\n", -1)
     after = F.substring_index(F.decode(F.substring(raw, offset + 1, F.octet_length(raw)), "ISO-8859-1"), "\n", 1)
-    return F.decode(F.encode(F.concat(before, after), "ISO-8859-1"), "UTF-8")
+    return F.make_valid_utf8(F.encode(F.concat(before, after), "ISO-8859-1").cast("string"))
 
 
 def within(start, end, low, high) -> Column:
