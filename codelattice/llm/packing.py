@@ -3,7 +3,7 @@
 Lengths are whole numbers up to the capacity, so the packing is planned on their histogram, whose size doesn't depend
 on the data: a class is a multiset of lengths and the number of sequences that are filled that way. Best fit by
 decreasing length makes the first plan. Then a local search works on the underfull sequences: it moves a document, or
-exchanges one for one, two for one or one for two, whenever the sum of squared fills grows, until sequences run empty.
+exchanges one for one, two for one or one for two, whenever the sum of squared fills grows, until no exchange helps.
 Documents take their places in the plan by their rank among the pieces of their length; ranks come from counts by task
 and length, so no length is gathered anywhere.
 """
@@ -14,6 +14,8 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import combinations
 
 import numpy as np
@@ -25,9 +27,6 @@ from pyspark.sql import functions as F
 from . import byte_bpe
 from .common import slices, stored, utf8
 
-#: Rounds of the local search, and fullest partners that an underfull class is tried against; they bound its time, not its input.
-ROUNDS, PARTNERS = 400, 48
-
 #: Counts by task and length that may be broadcast (64 bytes each, 16 MB in all); more are joined by a shuffle of the narrow pieces.
 BROADCAST_COUNTS = 250_000
 
@@ -102,39 +101,51 @@ class Plan:
                 self.classes[pattern] += number
 
     def improve(self) -> None:
-        """Local search: raises the sum of squared fills until the count of sequences can't fall, or no exchange helps."""
-        total = sum(self.fill(p) * n for p, n in self.classes.items())
-        for _ in range(ROUNDS):
-            if sum(self.classes.values()) * self.capacity < total + self.capacity:
-                return  # no fewer sequences can hold the tokens
-            under = sorted((p for p in self.classes if self.fill(p) < self.capacity), key=lambda p: (self.fill(p), p))
-            if not any(self.exchange(a, under) for a in under[:PARTNERS]):
-                return
-
-    def exchange(self, a, under) -> bool:
-        """The best exchange that takes tokens from a sequence of class a to a fuller one; whole classes take part."""
-        best, fill_a = (0,), self.fill(a)
-        out = [(x,) for x, _ in a] + [p for p in combinations([y for x, n in a for y in [x] * min(n, 2)], 2)]
-        for b in under[: -PARTNERS - 1 : -1]:
-            room, fill_b = self.capacity - self.fill(b), self.fill(b)
-            if a == b and self.classes[a] < 2 or fill_b < fill_a:
+        """Local search: raises the sum of squared fills until the count of sequences can't fall, or no exchange helps.
+
+        Two classes are compared when one of them is new or has become more, so pairs without a gain aren't tried again.
+        """
+        total, number = sum(self.fill(p) * n for p, n in self.classes.items()), sum(self.classes.values())
+        self.open = {p: f for p in self.classes if (f := self.fill(p)) < self.capacity}
+        queue = [(f, p) for p, f in self.open.items()]
+        heapify(queue)
+        while queue and number * self.capacity >= total + self.capacity:
+            _, a = heappop(queue)
+            if a in self.open and (best := self.best_exchange(a)):
+                number -= self.exchange(*best)
+                for p in {*best[:2], changed(best[0], best[3], best[2]), changed(best[1], best[2], best[3])} & self.open.keys():
+                    heappush(queue, (self.open[p], p))
+
+    def best_exchange(self, a):
+        """(p, q, give, take) of the largest gain, by which a sequence of class p, or q, being a, and one of the other change; or None."""
+        best, found = 0, None
+        for b in self.open:
+            if a == b and self.classes[a] < 2:
                 continue
-            back = [(), *((y,) for y, _ in b), *combinations([y for x, n in b for y in [x] * min(n, 2)], 2)]
-            for give in out:
-                for take in back:
-                    moved = sum(give) - sum(take)
-                    if 0 < moved <= room and not (len(give) == 2 and len(take) == 2) and (gain := 2 * moved * (fill_b - fill_a + moved)) > best[0]:
-                        best = gain, b, give, take
-        if not best[0]:
-            return False
-        _, b, give, take = best
-        number = self.classes[a] // 2 if a == b else min(self.classes[a], self.classes[b])
-        for p in (a, b):
-            self.classes[p] -= number
-        self.classes[changed(a, take, give)] += number
-        self.classes[changed(b, give, take)] += number
-        self.classes = Counter({p: n for p, n in self.classes.items() if n and p})
-        return True
+            for p, q in {(a, b), (b, a)}:
+                apart, room = self.open[q] - self.open[p], self.capacity - self.open[q]
+                most = min(room, self.open[p])
+                if 2 * most * (apart + most) <= best:
+                    continue
+                for count, (sums, takes) in ((1, sums_of(q, 2)), (2, sums_of(q, 1))):
+                    for give in gives(p, count):
+                        # The gain rises with what moves, so the smallest sum that may come back is the best.
+                        at = bisect_left(sums, sum(give) - room)
+                        if at < len(sums) and 2 * (moved := sum(give) - sums[at]) * (apart + moved) > best and moved > 0:
+                            best, found = 2 * moved * (apart + moved), (p, q, give, takes[at])
+        return found
+
+    def exchange(self, p, q, give, take) -> int:
+        """As many sequences as there are of both classes take part; the number of sequences that run empty."""
+        number = self.classes[p] // 2 if p == q else min(self.classes[p], self.classes[q])
+        for pattern, n in ((p, -number), (q, -number), (left := changed(p, take, give), number), (changed(q, give, take), number)):
+            self.classes[pattern] += n
+            if not self.classes[pattern] or not pattern:
+                del self.classes[pattern]
+                self.open.pop(pattern, None)
+            elif (f := self.fill(pattern)) < self.capacity:
+                self.open[pattern] = f
+        return 0 if left else number
 
     def places(self) -> list[tuple[int, int, int, int, int]]:
         """(length, first rank, run in a sequence, first sequence, offset): where the pieces of a length go, in order of their rank."""
@@ -149,6 +160,19 @@ class Plan:
         return sorted(rows)
 
 
+@lru_cache(4096)
+def gives(pattern, count: int) -> list[tuple[int, ...]]:
+    """The groups of `count` lengths of a pattern."""
+    return sorted(set(combinations([x for x, n in pattern for _ in range(min(n, count))], count)))
+
+
+@lru_cache(4096)
+def sums_of(pattern, most: int) -> tuple[list[int], list[tuple[int, ...]]]:
+    """The groups of up to `most` lengths, by their sums."""
+    found = sorted((sum(g), g) for count in range(most + 1) for g in gives(pattern, count))
+    return [s for s, _ in found], [g for _, g in found]
+
+
 def changed(pattern, more, less):
     items = Counter(dict(pattern))
     items.update(more)

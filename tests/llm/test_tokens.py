@@ -1,4 +1,5 @@
 import zlib
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -117,3 +118,22 @@ def test_plans_hold_every_piece():
             for x, k in p:
                 held[x] = held.get(x, 0) + k * n
         assert held == h and sum(plan.classes.values()) <= before
+
+
+def test_local_search_ends_where_no_exchange_helps():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        plan = packing.Plan(20)
+        plan.best_fit({int(x): int(rng.integers(1, 6)) for x in rng.choice(np.arange(1, 21), 8, replace=False)})
+        plan.improve()
+        held = [list(x for x, k in p for _ in range(k)) for p, n in plan.classes.items() for _ in range(n)]
+        if len(held) == -(-sum(map(sum, held)) // 20):
+            continue  # no fewer sequences can hold the tokens
+        for i, a in enumerate(held):
+            for j, b in enumerate(held):
+                for give in [g for k in (1, 2) for g in combinations(a, k)]:
+                    for take in [g for k in range(4 - len(give) if len(give) == 1 else 2) for g in combinations(b, k)]:
+                        if i == j or len(take) > 2:
+                            continue
+                        x, y = sum(a) - sum(give) + sum(take), sum(b) + sum(give) - sum(take)
+                        assert max(x, y) > 20 or x * x + y * y <= sum(a) ** 2 + sum(b) ** 2
