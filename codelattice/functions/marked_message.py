@@ -13,7 +13,7 @@ from ..sources.wire import delimited, fields, varint
 #: Field numbers, and the kinds by number.
 TEXTS = {2: "pre_text", 4: "post_child_text", 5: "post_text"}
 NUMBERS = {6: "lookup_index", 7: "default_children_count", 10: "add_final_list_token"}
-KIND, CHILD = 1, 3
+KIND, CHILD, EXCLUDED = 1, 3, 12
 KINDS = ["BOX", "TYPE", "PARAMETER", "IDENTIFIER", "CONTEXT", "INITIALIZER", "PARAMETER_LOOKUP_BY_PARAM", "LOOKUP_BY_PARAM", "PARAMETER_LOOKUP_BY_PARAM_WITH_DEFAULTS", "LOOKUP_BY_TYPED", "PARAMETER_LOOKUP_BY_TPARAM", "LOOKUP_BY_TPARAM", "MODIFIER"]
 
 
@@ -27,6 +27,8 @@ def parse(message: bytes) -> dict:
             node[TEXTS[number]] = value.decode("utf-8", "replace")
         elif number in NUMBERS and isinstance(value, int):
             node[NUMBERS[number]] = bool(value) if number == 10 else value
+        elif number == EXCLUDED:
+            node.setdefault("exclude_on_include", []).extend(KINDS[k] for k in (value if isinstance(value, bytes) else [value]) if k < len(KINDS))  # kinds are below 128, one byte each
         elif number == CHILD and isinstance(value, bytes):
             node.setdefault("child", []).append(parse(value))
     return node
@@ -45,6 +47,8 @@ def serialise(node: dict) -> bytes:
     for number, name in NUMBERS.items():
         if node.get(name):
             out += varint(number << 3) + varint(int(node[name]))
+    if node.get("exclude_on_include"):
+        out += varint(EXCLUDED << 3 | 2) + delimited(bytes(KINDS.index(k) for k in node["exclude_on_include"]))
     return out
 
 

@@ -105,24 +105,44 @@ def rendered(tree: Column | str, how: str = "signature") -> Column:
     return _udf(table[how])(tree if isinstance(tree, Column) else F.col(tree))
 
 
-def substituted(node: dict, lookup, depth: int = DEPTH) -> dict:
-    """A tree whose PARAMETER_LOOKUP nodes are filled in: lookup(lookup_index) gives the trees of the parameters from there on; those found twice on the way are left out."""
-
-    def walk(n: dict, seen: frozenset, depth: int) -> dict:
-        if depth == 0:
-            return {}
-        out = dict(n)
-        children = [walk(c, seen, depth - 1) for c in n.get("child", [])]
-        if n.get("kind") == "PARAMETER_LOOKUP_BY_PARAM":
-            for key, tree in lookup(n.get("lookup_index", 0)):
-                if key not in seen:
-                    children.append(walk(tree, seen | {key}, depth - 1))
-            out["kind"] = "PARAMETER"
-        if children:
-            out["child"] = children
-        return out
-
-    return walk(node, frozenset(), depth)
+def as_kind(tree: dict | None, kind: str) -> dict:
+    """A tree as one of a kind: a box takes the kind on, another tree is put inside."""
+    if tree is not None and tree.get("kind", "BOX") in ("BOX", kind):
+        return {**tree, "kind": kind}
+    return {"kind": kind, "child": [] if tree is None else [tree]}
+
+
+def without_excluded(tree: dict | None, kind: str) -> dict | None:
+    """A tree as it is included by a lookup of some kind: nodes that shun the kind go."""
+    if tree is None or kind in tree.get("exclude_on_include", []):
+        return None
+    return {**tree, "child": [k for c in tree["child"] if (k := without_excluded(c, kind))]} if tree.get("child") else tree
+
+
+#: What stands for a lookup of a parameter that isn't there (a fixed value).
+UNKNOWN = {"kind": "PARAMETER", "pre_text": "???"}
+
+
+def filled(node: dict, known: dict[str, dict[int, dict | None]], depth: int = DEPTH) -> dict | None:
+    """A tree whose lookups are filled in. known: param, tparam and typed -> ordinal -> tree (None: a node without one)."""
+    kind, at = node.get("kind", "BOX"), node.get("lookup_index", 0)
+    found = known.get("tparam" if "TPARAM" in kind else "param", {})
+    size = max(found, default=-1) + 1
+    if depth and kind == "LOOKUP_BY_TYPED":
+        return without_excluded(as_kind(known.get("typed", {}).get(0), "TYPE"), kind)
+    if depth and kind.startswith("LOOKUP_BY_"):
+        if at >= size:
+            return UNKNOWN
+        if at in found:
+            return without_excluded(as_kind(found[at], "PARAMETER"), kind)
+    elif depth and kind.startswith("PARAMETER_LOOKUP_BY_"):
+        if at > size:
+            return UNKNOWN
+        trees = (without_excluded(found.get(k), kind) for k in range(at, size))
+        return {**{k: v for k, v in node.items() if k != "lookup_index"}, "kind": "PARAMETER", "child": [t for t in trees if t]}
+    if depth and node.get("child"):
+        return {**node, "child": [k for c in node["child"] if (k := filled(c, known, depth - 1))]}
+    return node
 
 
 def flat(trees: Column) -> Column:

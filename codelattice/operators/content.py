@@ -109,6 +109,12 @@ def resolve(graph: Graph, nodes: DataFrame, params: int | None = None, most: int
     return places.groupBy("file", "start").agg(F.sort_array(F.collect_set("node")).alias("nodes")).orderBy("file", "start").limit(most)
 
 
+def resolve_identifier(graph: Graph, identifiers: DataFrame, name: str, corpora: list[str] | None = None, languages: list[str] | None = None, **limits) -> DataFrame:
+    """Links of a qualified name: its matches (canonical ones alone), resolved with the limits of resolve()."""
+    matches = find(identifiers, name, corpora, languages, canonical=True)
+    return resolve(graph, matches.select(F.col("ticket").alias("node")).distinct(), **limits)
+
+
 def unit_info(units: DataFrame, inputs: DataFrame) -> DataFrame:
     """Totals by (corpus, language) with grand totals: units(digest, corpus, language), inputs(digest, path)."""
     n = inputs.groupBy("digest").agg(F.count("*").alias("n_inputs"))

@@ -118,10 +118,10 @@ def merged(graph: Graph, kinds: list[str], most: int = 64) -> DataFrame:
     Pointer jumping doubles the distance each round, so `most` rounds reach any chain; a cycle takes its smallest member.
     """
     up = graph.edges.where(F.col("kind").isin(kinds)).select(F.col("src").alias("node"), F.col("dst").alias("to")).distinct()
-    reach = _checked(up)
+    reach = checked(up)
     n = reach.count()
     for _ in range(most):
-        longer = _checked(reach.unionByName(reach.alias("a").join(reach.alias("b"), F.col("a.to") == F.col("b.node")).select("a.node", "b.to")).distinct())
+        longer = checked(reach.unionByName(reach.alias("a").join(reach.alias("b"), F.col("a.to") == F.col("b.node")).select("a.node", "b.to")).distinct())
         m = longer.count()
         reach, stop = longer, m == n
         n = m
@@ -130,7 +130,7 @@ def merged(graph: Graph, kinds: list[str], most: int = 64) -> DataFrame:
     return reach.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("root"))
 
 
-def _checked(df: DataFrame) -> DataFrame:
+def checked(df: DataFrame) -> DataFrame:
     """Cuts the lineage where the session has a checkpoint folder; plain otherwise."""
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         return df

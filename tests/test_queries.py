@@ -1,5 +1,6 @@
 import pytest
 
+from codelattice import queries_replies  # noqa: F401
 from codelattice.queries_requests import ORACLES, QUERIES
 
 from .compare import duck, rows
