@@ -77,3 +77,18 @@ def cross_reference_targets(graph: Graph, of: DataFrame) -> DataFrame:
 
 def signed_callers(graph: Graph, of: DataFrame) -> DataFrame:
     return with_signature(callers(graph), of, "caller")
+
+
+def tag_fields(graph: Graph, identifier: str) -> DataFrame:
+    """(node, letter, arity, parents): a tag file's fields of nodes; parents name functions, classes and enums by an identifier fact."""
+    v = graph.v
+    w = graph.wide(v.fact("subkind"), identifier).withColumn("subkind", F.coalesce(F.col("subkind").cast("string"), F.lit("")))
+    own = w.select("ticket", "kind", "subkind", F.col(identifier.rsplit("/", 1)[-1]).cast("string").alias("identifier"))
+    what = F.concat_ws("|", "kind", "subkind")
+    letters = F.create_map(*(F.lit(x) for pair in {"function|": "f", "sum|enumClass": "g", "package|": "p", "record|class": "c", "variable|": "v"}.items() for x in pair))
+    kinds = F.create_map(*(F.lit(x) for pair in {"function|": "function", "record|class": "class", "sum|enumClass": "enum"}.items() for x in pair))
+    n_params = graph.edges.where(F.col("kind") == v.edge("param")).groupBy(F.col("src").alias("ticket")).agg(F.count("*").alias("n"))
+    above = own.where("identifier <> ''").select(F.col("ticket").alias("dst"), F.concat(kinds[what], F.lit(":"), F.col("identifier")).alias("parent")).where("parent is not null")
+    up = graph.edges.where(F.col("kind") == v.edge("childof")).join(above, "dst").groupBy(F.col("src").alias("ticket")).agg(F.array_join(F.sort_array(F.collect_set("parent")), "\t").alias("parents"))  # the parents of one node
+    rows = own.select("ticket", letters[what].alias("letter")).join(n_params, "ticket", "left").join(up, "ticket", "left")
+    return rows.select(F.col("ticket").alias("node"), "letter", F.when(F.col("letter") == "f", F.coalesce("n", F.lit(0))).alias("arity"), F.coalesce("parents", F.lit("")).alias("parents"))

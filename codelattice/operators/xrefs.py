@@ -9,7 +9,7 @@ from ..functions import edgekinds
 from ..functions.uri import parse_ticket
 from ..model import VOCABULARY, Vocabulary
 from .graph import Graph
-from .refs import narrow_references
+from .refs import definitions, narrow_references
 from .requests import position
 
 
@@ -135,3 +135,24 @@ def checked(df: DataFrame) -> DataFrame:
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         return df
     return df.checkpoint()
+
+
+def caller_totals(calls: DataFrame, filters: list[dict], v: Vocabulary = VOCABULARY) -> DataFrame:
+    """(target, total, filtered): callers that the filters leave and take, by the anchors of their definitions. calls(callee, caller, definition, ...)."""
+    keep = path_filter("definition", filters, v)
+    one = calls.groupBy(F.col("callee").alias("target"), "caller").agg(F.min("definition").alias("definition"))
+    return one.groupBy("target").agg(F.count_if(keep).alias("total"), F.count_if(~keep).alias("filtered"))
+
+
+def related_totals(graph: Graph, filters: list[dict], kinds: list[str] | None = None) -> DataFrame:
+    """(node, kind, total, filtered): related nodes that the filters leave and take, by their definition or else their own ticket."""
+    e = graph.edges_all().where(is_related(F.col("kind"), kinds, graph.v)).select(F.col("src").alias("node"), "kind", F.col("dst").alias("related")).distinct()
+    rows = e.join(definitions(graph).withColumnRenamed("node", "related"), "related", "left").withColumn("at", F.coalesce("definition", "related"))
+    keep = path_filter("at", filters, graph.v)
+    return rows.groupBy("node", "kind").agg(F.count_if(keep).alias("total"), F.count_if(~keep).alias("filtered"))
+
+
+def scope_totals(refs: DataFrame, filters: list[dict], v: Vocabulary = VOCABULARY) -> DataFrame:
+    """(target, scope, total, filtered): references by the scope that they stand in; null for those in none."""
+    keep = path_filter("file", filters, v)
+    return refs.where("category = 'reference'").groupBy("target", "scope").agg(F.count_if(keep).alias("total"), F.count_if(~keep).alias("filtered"))

@@ -1,9 +1,10 @@
-"""Archives of compilation units: zip files with unit records (JSON) and the files they need, named by digest."""
+"""Archives of compilation units: zip or tar files with unit records (JSON) and the files they need, named by digest."""
 
 from __future__ import annotations
 
 import io
 import json
+import tarfile
 import zipfile
 from collections.abc import Iterator
 
@@ -20,12 +21,58 @@ def _archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
+def _everything(content: bytes) -> Iterator[tuple[str, bytes]]:
+    """(name, bytes) of the files of a zip, or of a tar (compressed or not)."""
+    raw = io.BytesIO(bytes(content))
+    if zipfile.is_zipfile(raw):
+        with zipfile.ZipFile(raw) as z:
+            yield from ((n, z.read(n)) for n in z.namelist() if not n.endswith("/"))
+    else:
+        raw.seek(0)
+        with tarfile.open(fileobj=raw) as t:
+            yield from ((m.name, t.extractfile(m).read()) for m in t if m.isfile())
+
+
 def _members(content: bytes, folder: str) -> Iterator[tuple[str, bytes]]:
-    with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-        for name in z.namelist():
-            parts = name.strip("/").split("/")
-            if len(parts) >= 2 and parts[-2] == folder and parts[-1]:
-                yield parts[-1], z.read(name)
+    for name, raw in _everything(content):
+        parts = name.strip("/").split("/")
+        if len(parts) >= 2 and parts[-2] == folder and parts[-1]:
+            yield parts[-1], raw
+
+
+def read_members(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, name, content): every file of every archive, compilation units or not."""
+
+    def decode(batches):
+        for b in batches:
+            for archive, content in zip(b["path"], b["content"], strict=True):
+                for name, raw in _everything(content):
+                    yield pd.DataFrame({"archive": [archive], "name": [name], "content": [raw]})
+
+    return _archives(spark, path).mapInPandas(decode, "archive string, name string, content binary")
+
+
+#: What the clock says in every header, so that equal contents give equal archives (a fixed value).
+STAMP = (1980, 1, 1, 0, 0, 0)
+
+
+def archives(units: DataFrame, files: DataFrame) -> DataFrame:
+    """(archive, content): zip files of units(archive, digest, record) and files(archive, content), each once, in order of names.
+
+    record is the JSON of a unit. An archive is made by one task, so it should hold what one worker can.
+    """
+    own = units.select("archive", F.concat(F.lit("root/units/"), "digest").alias("name"), F.col("record").cast("binary").alias("content"))
+    data = files.select("archive", F.concat(F.lit("root/files/"), F.sha2("content", 256)).alias("name"), "content")
+    members = own.unionByName(data).groupBy("archive", "name").agg(F.min("content").alias("content"))
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for r in rows.sort_values("name").itertuples():
+                z.writestr(zipfile.ZipInfo(r.name, STAMP), bytes(r.content), zipfile.ZIP_DEFLATED)
+        return pd.DataFrame({"archive": [rows["archive"].iloc[0]], "content": [out.getvalue()]})
+
+    return members.groupBy("archive").applyInPandas(pack, "archive string, content binary")
 
 
 def read_units(spark: SparkSession, path: str) -> DataFrame:

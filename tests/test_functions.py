@@ -116,3 +116,19 @@ def test_marked_source(spark):
 def test_html(spark):
     assert one(spark, html.plain_text(F.lit("<p>a &amp; <b>b</b></p>"))) == "a & b"
     assert html.decorated("<p>ab<b>cd</b></p>", [(1, 3, "x")]) == '<p>a<span class="x">b</span><b><span class="x">c</span>d</b></p>'
+
+
+def test_lookups_are_filled_in():
+    from codelattice.functions import marked_message, render
+
+    own = {"kind": "IDENTIFIER", "pre_text": "f", "exclude_on_include": ["LOOKUP_BY_PARAM"]}
+    assert marked_message.parse(marked_message.serialise(own)) == own
+    known = {"param": {0: {"kind": "IDENTIFIER", "pre_text": "a"}, 2: {"child": [own, {"pre_text": "b"}]}}, "typed": {0: None}}
+    show = lambda node: render.render(render.filled(node, known) or {})
+    assert show({"kind": "PARAMETER_LOOKUP_BY_PARAM", "pre_text": "(", "post_child_text": ",", "post_text": ")"}) == "(a,fb)"
+    assert show({"kind": "PARAMETER_LOOKUP_BY_PARAM", "lookup_index": 3, "pre_text": "("}) == "("
+    assert show({"kind": "PARAMETER_LOOKUP_BY_PARAM", "lookup_index": 4}) == "???"
+    assert show({"kind": "LOOKUP_BY_PARAM", "lookup_index": 2}) == "b"
+    assert show({"kind": "LOOKUP_BY_PARAM", "lookup_index": 3}) == show({"kind": "LOOKUP_BY_TPARAM"}) == "???"
+    assert show({"kind": "LOOKUP_BY_PARAM", "lookup_index": 1, "pre_text": "kept"}) == "kept"
+    assert show({"kind": "LOOKUP_BY_TYPED"}) == ""

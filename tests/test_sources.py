@@ -78,3 +78,23 @@ def test_generated_code_rules(spark):
     anchors = spark.createDataFrame([("a", "f", 1, 4), ("b", "f", 1, 5)], "anchor string, file string, start int, end int")
     refs = spark.createDataFrame([("a", "/graph/edge/defines/binding", "n"), ("b", "/graph/edge/defines", "m")], "anchor string, kind string, target string")
     assert [tuple(r) for r in metadata.edges(rules, anchors, refs).collect()] == [("graph://c#s", "/graph/edge/generates", "n")]
+
+
+def test_archives_written_and_tar(spark, tmp_path):
+    import io
+    import tarfile
+
+    units = spark.createDataFrame([("a.kzip", "u1", json.dumps({"unit": {"v_name": {"language": "go"}}})), ("b.kzip", "u2", '{"unit": {}}')], "archive string, digest string, record string")
+    files = spark.createDataFrame([("a.kzip", bytearray(b"x")), ("a.kzip", bytearray(b"x")), ("b.kzip", bytearray(b""))], "archive string, content binary")
+    (tmp_path / "z").mkdir()
+    for r in kzip.archives(units, files).collect():
+        (tmp_path / "z" / r.archive).write_bytes(bytes(r.content))
+    assert {(u.digest, u.language) for u in kzip.read_units(spark, str(tmp_path / "z")).collect()} == {("u1", "go"), ("u2", "")}
+    back = kzip.read_files(spark, str(tmp_path / "z"))
+    assert back.count() == 2 and kzip.wrong_digests(back).count() == 0
+    (tmp_path / "t").mkdir()
+    with tarfile.open(tmp_path / "t" / "c.tar.gz", "w:gz") as t:
+        info = tarfile.TarInfo("d/e.txt")
+        info.size = 2
+        t.addfile(info, io.BytesIO(b"hi"))
+    assert [(r.name, bytes(r.content)) for r in kzip.read_members(spark, str(tmp_path / "t")).collect()] == [("d/e.txt", b"hi")]
