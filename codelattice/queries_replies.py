@@ -134,14 +134,15 @@ def xref_scope_totals(x):
 
 
 @query(LIFT + """, up AS (SELECT s_suppkey, 'class:' || p_brand AS parent FROM supplier JOIN part ON p_partkey = s_suppkey WHERE p_brand <> ''), n AS (SELECT ticket, value FROM facts WHERE name = '/graph/node/kind'), a AS (SELECT src, count(*) AS n FROM edges WHERE kind LIKE '/graph/edge/param.%' GROUP BY 1)
-    SELECT n.ticket AS node, CASE n.value WHEN 'function' THEN 'f' WHEN 'package' THEN 'p' WHEN 'record' THEN 'c' WHEN 'variable' THEN 'v' END AS letter, CASE WHEN n.value = 'function' THEN coalesce(a.n, 0) END AS arity, coalesce(parent, '') AS parents
+    SELECT n.ticket AS node, CASE n.value WHEN 'function' THEN 'f' WHEN 'package' THEN 'p' WHEN 'record' THEN 'c' WHEN 'variable' THEN 'v' END AS letter, CASE WHEN n.value = 'function' THEN 'arity:' || coalesce(a.n, 0) ELSE '' END AS arity, coalesce(parent, '') AS parents
     FROM n LEFT JOIN a ON a.src = n.ticket LEFT JOIN up ON n.ticket = 'graph://tpch?lang=tpch#supplier%2F' || s_suppkey""", lift=False)
 def tag_fields(spark, d):
-    """Suppliers stand as members of the part with their number."""
+    """As a tag file writes them; suppliers stand as members of the part with their number."""
     x = Lift(spark, d)
     s, p = x.table("supplier"), x.table("part")
     within = edges(s.join(p, s.s_suppkey == p.p_partkey, "left_semi"), node(named("supplier", s.s_suppkey)), V.edge("childof"), node(named("part", s.s_suppkey)))
-    return signatures.tag_fields(Graph(x.entries().unionByName(within), folder=d), "/tpch/brand")
+    fields = signatures.tag_fields(Graph(x.entries().unionByName(within), folder=d), "/tpch/brand")
+    return fields.withColumn("arity", F.coalesce(F.concat(F.lit("arity:"), F.col("arity").cast("string")), F.lit("")))
 
 
 # --- entry sets, shards, digests ---
