@@ -124,6 +124,37 @@ def test_repeated_ids_learn_from_one_text(spark):
     assert first == second and len({r.doc_id for r in first}) == len(first)
 
 
+def test_models_learn_from_every_labelled_text(spark, monkeypatch):
+    """Each text has a word of its own; the models get those of all texts that are neither held out nor kept for the curve, and the curve the rest."""
+    n = 5200
+    name = lambda i: "own" + "".join(chr(97 + int(x)) for x in str(i))
+    rows = [(i, f"{name(i)} {PLAIN[i % 400]} {BAD[i % 3] if i % 2 else ''}") for i in range(n)]
+    learned, curve = {}, []
+    monkeypatch.setattr(kneser_ney.Models, "__init__", lambda self, ws, number, make=kneser_ney.Models.__init__: (learned.update(zip(ws.to_pylist(), number.tolist(), strict=True)), make(self, ws, number))[1])
+    monkeypatch.setattr(kneser_ney, "fit_curve", lambda rows, make=kneser_ney.fit_curve: (curve.append(rows.count()), make(rows))[1])
+    monkeypatch.setattr(kneser_ney, "MODEL_WORDS", 1000)
+    monkeypatch.setattr(kneser_ney, "COUNT_WORDS", 500)
+    kneser_ney.scoring(docs(spark, rows), labels(spark, [(i, 1, i % 2) for i in range(n)]))
+    train = spark.range(n).selectExpr("id", "pmod(crc32(cast(id as string)), 5) as fifth", "pmod(xxhash64(id, 5), 5) as part").where("fifth <> 0").collect()
+    assert min(sum(r.id % 2 == c for r in train) for c in (0, 1)) > 2000
+    own = {name(r.id): r.id % 2 for r in train if r.part < kneser_ney.MODEL_SHARE}
+    assert {w: x for w, x in learned.items() if w.startswith("own")} == {w: [1 - c, c] for w, c in own.items()}
+    assert curve == [len(train) - len(own)]
+
+
+def test_curve_matches_newton_in_one_place(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3)) * [1, 5, 0.1] + [0, 3, 1]
+    y = (x[:, 0] + x[:, 1] / 5 + rng.normal(size=300) > 1).astype(int)
+    rows = spark.createDataFrame([(r.tolist(), int(v)) for r, v in zip(x, y, strict=True)], "x array<double>, y int").repartition(5)
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    z, w = np.c_[(x - mean) / scale, np.ones(300)], np.zeros(4)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(4), z.T @ (p - y) + 1e-2 * w)
+    assert np.allclose(kneser_ney.fit_curve(rows), np.r_[w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum()])
+
+
 def page(good):
     lines = []
     for _ in range(RNG.choice([3, 10, 25])):
