@@ -172,6 +172,23 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([r.predicted == (r.doc_id % 5 != 0) for r in held]) > 0.95
 
 
+def test_field_is_learned_from_every_labelled_text(spark, monkeypatch):
+    """The mean of the fields of all blocks, which hold each labelled text that isn't held out once."""
+    monkeypatch.setattr(line_crf, "BLOCK_DOCS", 60)
+    rows = [(i, page(i % 3 != 0)) for i in range(260)]
+    label = labels(spark, [(i, int(i % 3 != 0), 0) for i in range(0, 260)])
+    got = line_crf.train(docs(spark, rows), label)
+    train = spark.range(260).selectExpr("id", "pmod(crc32(cast(id as string)), 5) as fifth", "xxhash64(id, 9) as h").where("fifth <> 0").collect()
+    blocks = {}
+    for r in sorted(train):
+        blocks.setdefault(r.h % (len(train) // 60), []).append(r.id)
+    assert len(blocks) == 3 and sum(map(len, blocks.values())) == len(train)
+    fits = [line_crf.fit([rows[i][1].encode() for i in ids], np.array([int(i % 3 != 0) for i in ids])) for ids in blocks.values()]
+    weights = [len(ids) for ids in blocks.values()]
+    for i, found in enumerate((got.weights, got.pair)):
+        assert np.allclose(found, np.average([f[i] for f in fits], axis=0, weights=weights))
+
+
 @pytest.mark.parametrize("lines", [1, 2, 5])
 def test_marginals_match_enumeration(lines):
     rng = np.random.default_rng(lines)
