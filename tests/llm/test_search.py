@@ -1,11 +1,14 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from codelattice.llm import bm25
+from codelattice.llm.common import word_hashes
 
 from .helpers import ODD, docs
 
@@ -52,3 +55,41 @@ def test_odd_rows(spark):
     assert {r.query_id for r in got} == {4, 5, 6, 7, 8}
     assert bm25.top_k(docs(spark, []), q, 3).count() == 0
     assert bm25.top_k(docs(spark, ODD), q.limit(0), 3).count() == 0
+
+
+def shard(texts):
+    of, h, tf, n = bm25.terms([t.encode() for _, t in texts], word_hashes())
+    return bm25.Shard(bm25.packed_index(np.array([i for i, _ in texts]), of, h, tf, n), float(n.mean())), of, h
+
+
+@pytest.mark.parametrize("dense", [0.02, 0.14, 0.6])
+def test_skipped_ranges_hold_nothing_better(dense, monkeypatch):
+    """Several ranges of several languages, dense and sparse blocks, copies that tie at the threshold."""
+    for name, value in (("BLOCK", 16), ("TOGETHER", 4), ("BATCH", 7), ("DENSE", dense)):
+        monkeypatch.setattr(bm25, name, value)
+    rng = random.Random(5)
+    texts = [(3 * i, " ".join(f"{'ab'[i % 2]}{int(rng.paretovariate(0.5))}" for _ in range(rng.choice([1, 9, 60])))) for i in range(500)]
+    texts += [(1 + 3 * i, texts[i % 9][1]) for i in range(60)]
+    s, of, h = shard(texts)
+    names, df = np.unique(h, return_counts=True)
+    asked = [np.searchsorted(names, h[of == i]) for i in range(0, len(texts), 8)] + [np.zeros(0, int)]
+    weights = np.log(1 + (len(texts) - df + 0.5) / (df + 0.5))
+    got = list(s.search(names, weights, np.concatenate(asked), np.r_[0, np.cumsum([len(x) for x in asked])], 5))
+    want = brute(texts, [texts[i] for i in range(0, len(texts), 8)] + [(-1, "")], 5)
+    have = sorted((q, r + 1, x) for (q, _), (_, score) in zip([texts[i] for i in range(0, len(texts), 8)] + [(-1, "")], got, strict=True) for r, x in enumerate(score))
+    assert [x[:2] for x in have] == [x[:2] for x in want]
+    assert [x[2] for x in have] == pytest.approx([x[2] for x in want], abs=2e-6)
+    assert all((np.lexsort((ids, -score)) == np.arange(len(ids))).all() for ids, score in got)
+
+
+def test_a_shard_takes_little_more_than_its_postings():
+    """Terms that a twentieth of the documents hold don't take a cell for every document."""
+    rng = random.Random(6)
+    texts = [(i, " ".join(f"w{x}" for x in rng.sample(range(700), 35))) for i in range(6000)]
+    of, h, tf, n = bm25.terms([t.encode() for _, t in texts], word_hashes())
+    row = bm25.packed_index(np.arange(6000), of, h, tf, n)
+    tracemalloc.start()
+    s = bm25.Shard(row, float(n.mean()))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert s.ranges and most < 100 * len(h)
