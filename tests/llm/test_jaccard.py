@@ -112,6 +112,20 @@ def test_a_star_that_holds_nothing_together(spark, monkeypatch):
     assert sorted(map(tuple, j.jaccard_components(docs(spark, rows)).collect())) == brute(rows)
 
 
+def test_later_turns_count_only_members_that_are_apart_by_now():
+    """The nearest members have joined the stray's component since turn 0; the farther ones still are compared, or it is told that there are more."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 100, dtype=np.uint64)
+    sets = [base] + [np.r_[base[k // 4 :], rng.integers(0, 2**63, k // 4, dtype=np.uint64)] for k in range(40)]
+    n = len(sets)
+    cell = pa.table({"gid": pa.array([9] * n), "id": pa.array(range(n)), "component": pa.array(range(n)), "now": pa.array([0 if i <= 20 else i for i in range(n)]), "stray": pa.array([1] + [0] * (n - 1), pa.int32()), "own": pa.array([True] + [False] * (n - 1)), "n": pa.array([100] * n, pa.int32()), "sketch": pa.array([j.sketch(x) for x in sets], pa.binary())})
+    for turn in (1, 2):
+        rows = j._within(75, turn)(cell).to_pylist()
+        found = {x["m"] for x in rows if x["m"] is not None}
+        assert found <= set(range(21, n)) and len(found) == min(n - 21, j.TURN_PAIRS * 8**turn)
+        assert [(x["c"], x["gid"], x["component"]) for x in rows if x["m"] is None] == ([(0, 9, 0)] if turn == 1 else [])
+
+
 def test_odd_rows(spark):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in j.jaccard_components(docs(spark, ODD)).collect()]
     assert sorted(x for x in got if x[0]) == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (5, 1, 5), (6, 2, 6), (7, 1, 7), (8, 1, 8)]
