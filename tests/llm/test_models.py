@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -189,6 +190,27 @@ def test_field_is_learned_from_every_labelled_text(spark, monkeypatch):
         assert np.allclose(found, np.average([f[i] for f in fits], axis=0, weights=weights))
 
 
+def test_lines_are_described_in_bounded_memory():
+    """Ten times the texts take little more than their features."""
+    rng, most = random.Random(8), []
+    some = ["\n".join(" ".join(rng.choices(PLAIN, k=60)) for _ in range(5)).encode() for _ in range(200)]
+    for times in (1, 10):
+        texts = some * times
+        tracemalloc.start()
+        x, length, lines = line_crf.line_features(texts)
+        most.append(tracemalloc.get_traced_memory()[1] - 2 * x.nbytes)
+        tracemalloc.stop()
+    assert most[1] < 2 * most[0]
+
+
+@pytest.mark.parametrize("size", [1, 70, 500])
+def test_parts_of_texts_give_the_lines_of_the_whole(size, monkeypatch):
+    texts = [b"", b"\n", b"one line", b"a a a\n\nB | c", "\u00e9 \u00df\n".encode(), b"", b"x " * 300, b"last\nof all"]
+    want = line_crf.line_features(texts)
+    monkeypatch.setattr(line_crf, "CHUNK_BYTES", size)
+    assert all((a == b).all() and a.shape == b.shape for a, b in zip(line_crf.line_features(texts), want, strict=True))
+
+
 @pytest.mark.parametrize("lines", [1, 2, 5])
 def test_marginals_match_enumeration(lines):
     rng = np.random.default_rng(lines)
