@@ -93,3 +93,14 @@ def test_a_shard_takes_little_more_than_its_postings():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert s.ranges and most < 100 * len(h)
+
+
+def test_queries_that_share_common_terms_go_together():
+    """Terms 0 and 1 are common; each query keeps what it asks, also one that asks nothing."""
+    asked = [[0, 5], [1, 6, 7], [], [0, 8], [1, 7], [9]]
+    many = np.array([90, 80, 0, 0, 0, 3, 3, 4, 2, 1])
+    order, asks, ends = bm25.alike(np.array([t for q in asked for t in q], np.int32), np.r_[0, np.cumsum([len(q) for q in asked])], many)
+    assert sorted(order) == list(range(6))
+    assert [asks[ends[i] : ends[i + 1]].tolist() for i in range(6)] == [asked[q] for q in order]
+    at = np.argsort(order)
+    assert abs(at[0] - at[3]) == 1 and abs(at[1] - at[4]) == 1
