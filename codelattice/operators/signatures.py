@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import marked_message, render
-from .graph import Graph
+from .graph import Graph, joined
 from .refs import callers
 from .xrefs import categorised, checked
 
@@ -67,7 +67,7 @@ def resolved(graph: Graph, most: int = render.DEPTH) -> DataFrame:
 def with_signature(rows: DataFrame, of: DataFrame, column: str, how: str = "signature") -> DataFrame:
     """rows with the rendered marked source of a column's nodes, null where there is none. of(node, tree)."""
     signed = of.select(F.col("node").alias(column), render.rendered("tree", how).alias(how))
-    return rows.join(signed, column, "left").select(*rows.columns, how)
+    return joined(rows, signed, column, "left").select(*rows.columns, how)
 
 
 def cross_reference_targets(graph: Graph, of: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import edgekinds
 from ..functions.uri import parse_ticket
 from ..model import VOCABULARY, Vocabulary
-from .graph import Graph
+from .graph import Graph, joined
 from .refs import definitions, narrow_references
 from .requests import position
 
@@ -67,7 +67,7 @@ def category(kind: Column, complete: Column | None = None, v: Vocabulary = VOCAB
 def categorised(graph: Graph) -> DataFrame:
     """narrow_references with a category; what has none isn't a cross-reference."""
     complete = graph.wide(graph.v.fact("complete")).select(F.col("ticket").alias("target"), F.col("complete").cast("string").alias("complete"))
-    r = narrow_references(graph).join(complete, "target", "left")
+    r = joined(narrow_references(graph), complete, "target", "left")
     return r.withColumn("category", category(F.col("kind"), F.col("complete"), graph.v)).where("category is not null")
 
 
@@ -147,7 +147,7 @@ def caller_totals(calls: DataFrame, filters: list[dict], v: Vocabulary = VOCABUL
 def related_totals(graph: Graph, filters: list[dict], kinds: list[str] | None = None) -> DataFrame:
     """(node, kind, total, filtered): related nodes that the filters leave and take, by their definition or else their own ticket."""
     e = graph.edges_all().where(is_related(F.col("kind"), kinds, graph.v)).select(F.col("src").alias("node"), "kind", F.col("dst").alias("related")).distinct()
-    rows = e.join(definitions(graph).withColumnRenamed("node", "related"), "related", "left").withColumn("at", F.coalesce("definition", "related"))
+    rows = joined(e, definitions(graph).withColumnRenamed("node", "related"), "related", "left").withColumn("at", F.coalesce("definition", "related"))
     keep = path_filter("at", filters, graph.v)
     return rows.groupBy("node", "kind").agg(F.count_if(keep).alias("total"), F.count_if(~keep).alias("filtered"))
 

@@ -165,3 +165,37 @@ def test_stream_duplicates(spark, tmp_path):
     q = dedup.unique(dedup.read_stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("unique_entries").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("unique_entries").count() == len(set(ROWS))
+
+
+def _plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sorts_by_tickets_compare_hashes_first(graph):
+    """All tickets begin alike, so a sort by them alone compares whole texts."""
+    import re
+
+    for df in (refs.narrow_references(graph), refs.target_definitions(graph), refs.callers(graph)):
+        sorts = re.findall(r"Sort \[([^\]]*)\]", _plan(df))
+        assert sorts and all(s.startswith(("_hash#", "_groupingexpression#")) for s in sorts)
+
+
+def test_anchors_edges_and_scopes_are_shuffled_once(graph):
+    """One shuffle each of facts, edges and childof edges."""
+    df = refs.narrow_references(graph)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3
+
+
+def test_tickets_of_plain_names_are_those_of_the_whole_rules(spark):
+    from codelattice.functions import uri
+
+    odd = ["", "a", "a/b", "a//b", "./a", "a/..", "../a", "/a", "a/.", "a b", "a*b", "a~b", "é", "a+b", "a%2Fb", "a#b?c", ".", "..", "a.b/c-d_e", None]
+    rows = [(s, c, r, p, lang) for s in ("", "x/y", "é") for c in ("c", "c/d", "*") for r in ("", "r") for lang in ("", "l/m") for p in odd] + [(s, "c", "", "p", "l") for s in odd]
+    df = spark.createDataFrame([(r,) for r in rows], "v struct<signature: string, corpus: string, root: string, path: string, language: string>")
+    v = F.col("v")
+    path = F.when(v["path"] == "", "").otherwise(uri.clean_path(v["path"]))
+    want = uri._joined(uri.VOCABULARY, uri.escape(v["corpus"], True), uri.escape(v["language"]), path, uri.escape(path, True), v["root"], uri.escape(v["root"], True), uri.escape(v["signature"]), v)
+    for r in df.select("v", uri.ticket("v").alias("got"), want.alias("want"), uri.file_ticket(uri.ticket("v")).alias("file"), uri.ticket(uri.file_vname("v")).alias("want_file")).collect():
+        assert (r.got, r.file) == (r.want, r.want_file), r.v
