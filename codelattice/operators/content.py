@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import edgekinds
 from ..functions.uri import basename, dirname
-from .graph import Graph, neighbours
+from .graph import HASH, Graph, joined, neighbours
 from .refs import anchors, definitions, narrow_references
 from .requests import kind_matches, located
 
@@ -18,7 +18,7 @@ def documents(graph: Graph) -> DataFrame:
     text = graph.wide(v.fact("text")).where("kind = 'doc'").select(F.col("ticket").alias("doc"), F.col("text").cast("string").alias("text"))
     e = graph.edges.where(F.col("kind") == v.edge("documents")).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("doc"))
     children = neighbours(graph, v.edge("childof"), reverse=True).groupBy(F.col("ticket").alias("node")).agg(F.countDistinct("other").alias("n_children"))
-    return e.join(text, "doc").join(children, "node", "left").select("node", "doc", "text", F.coalesce("n_children", F.lit(0)).alias("n_children"))
+    return joined(joined(e, text, "doc"), children, "node", "left").select("node", "doc", "text", F.coalesce("n_children", F.lit(0)).alias("n_children"))
 
 
 def file_names(graph: Graph) -> DataFrame:
@@ -97,14 +97,14 @@ def resolve(graph: Graph, nodes: DataFrame, params: int | None = None, most: int
     kinds: kinds or kind/subkind of nodes (none: all but lookup nodes); include, exclude: places of definitions.
     """
     named = graph.wide(graph.v.fact("subkind")).select(F.col("ticket").alias("node"), "kind", F.col("subkind").cast("string").alias("subkind"))
-    nodes = nodes.select("node").join(named, "node", "left").where(kind_matches(F.col("kind"), F.col("subkind"), kinds)).select("node")
+    nodes = joined(nodes.select("node"), named, "node", "left").where(kind_matches(F.col("kind"), F.col("subkind"), kinds)).select("node")
     complete = graph.wide(graph.v.fact("complete")).select(F.col("ticket").alias("node"), (F.col("complete").cast("string") == "definition").alias("full"))
-    d = nodes.join(definitions(graph), "node").join(complete, "node", "left")
+    d = joined(joined(nodes, definitions(graph), "node"), complete, "node", "left")
     if params is not None:
         d = d.join(arity(graph).where(F.col("arity") == params).select("node"), "node", "left_semi")
     best = d.agg(F.max(F.coalesce("full", F.lit(False))).alias("any_full"))
     d = d.crossJoin(F.broadcast(best)).where(F.coalesce("full", F.lit(False)) | ~F.col("any_full"))  # one row
-    places = d.join(anchors(graph).select(F.col("anchor").alias("definition"), "file", "start"), "definition")
+    places = joined(d, anchors(graph).select(F.col("anchor").alias("definition"), "file", "start"), "definition")
     places = places.where(located("file", include, True, graph.v) & ~located("file", exclude, False, graph.v))
     return places.groupBy("file", "start").agg(F.sort_array(F.collect_set("node")).alias("nodes")).orderBy("file", "start").limit(most)
 
@@ -127,9 +127,21 @@ def required_inputs(inputs: DataFrame, sources: DataFrame, missing: bool = False
 
 
 def atomised(refs: DataFrame, kind: str = "anchor") -> DataFrame:
-    """A reply's references back as (source, name, value) facts and (source, kind, target) edges in one table."""
-    stack = F.expr("stack(4, 'node/kind', 'anchor', 'loc/start', cast(start as string), 'loc/end', cast(end as string), kind, target) as (name, value)")
-    return refs.select("anchor", "start", "end", "kind", "target").select("anchor", stack).distinct()
+    """A reply's references back as (source, name, value) facts and (source, kind, target) edges in one table, without repeated rows.
+
+    References go by anchor, in order: one states what the reference before it didn't, so no task holds more than it sorts.
+    Only anchors with several places, which an assembled graph doesn't have, take a distinct.
+    """
+    dealt = refs.select(F.xxhash64("anchor").alias(HASH), "anchor", "start", "end", "kind", "target")
+    own = Window.partitionBy(HASH, "anchor")
+    place, edge = F.struct("start", "end"), F.struct("kind", "target")
+    rows = dealt.withColumns({"_several": F.min(place).over(own) != F.max(place).over(own), "_first": F.row_number().over(own.orderBy("kind", "target")) == 1, "_before": F.lag(edge).over(own.orderBy("kind", "target"))})
+    pair = lambda name, value: F.struct(F.lit(name).alias("name") if isinstance(name, str) else name.alias("name"), value.cast("string").alias("value"))
+    facts = [pair("node/kind", F.lit(kind)), pair("loc/start", F.col("start")), pair("loc/end", F.col("end"))]
+    edges = [pair(F.col("kind"), F.col("target"))]
+    said = F.when(F.col("_first"), F.array(*facts, *edges)).when(~F.col("_before").eqNullSafe(edge), F.array(*edges))
+    once = rows.where(~F.col("_several")).select("anchor", F.inline(said))
+    return once.unionByName(rows.where("_several").select("anchor", F.inline(F.array(*facts, *edges))).distinct())
 
 
 def references_of(graph: Graph, node: str) -> DataFrame:
