@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,10 @@ def claims(candidates: DataFrame) -> DataFrame:
 
     The choice for an input depends on all choices before it, so inputs that share units are decided one after another
     in their order. Inputs of different connected groups of units don't meet: a group is the unit of work here, found by
-    repeated minima over shared inputs, and groups are decided in parallel.
+    repeated minima over shared inputs, and groups are decided in parallel. A task streams its pairs in order, which Spark
+    sorts (beyond memory on disk), and holds one number for each unit.
     """
-    pairs = candidates.select("unit", "input").distinct()
+    pairs = candidates.select("unit", "input").where("unit is not null and input is not null").distinct()
     group = pairs.select("unit").distinct().withColumn("group", F.col("unit"))
     while True:
         by_input = pairs.join(group, "unit").groupBy("input").agg(F.min("group").alias("group"))
@@ -25,14 +28,28 @@ def claims(candidates: DataFrame) -> DataFrame:
         if not changed:
             break
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        n: dict = {}
-        rows = []
-        for name, units in pdf.sort_values(["input", "unit"]).groupby("input", sort=True)["unit"]:
-            unit = min(units, key=lambda u: (n.get(u, 0), u))
-            n[unit] = n.get(unit, 0) + 1
-            rows.append((name, unit))
-        return pd.DataFrame(rows, columns=["input", "unit"])
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: dict = {}  # claims of each unit so far; a unit is in one group, so all groups of a task count side by side
+        asked = best = least = None
+        for b in batches:
+            inputs, chosen = [], []
+            for i, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                c = n.get(u, 0)
+                if i != asked or best is None:
+                    if best is not None:
+                        n[best] = least + 1
+                        inputs.append(asked)
+                        chosen.append(best)
+                        if best == u:
+                            c = least + 1
+                    asked, best, least = i, u, c
+                elif c < least:  # units of an input come in order, so the smaller name stands on ties
+                    best, least = u, c
+            yield pa.RecordBatch.from_arrays([pa.array(inputs, b.schema.field(0).type), pa.array(chosen, b.schema.field(1).type)], ["input", "unit"])
+            kept = b.schema
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([asked], kept.field(0).type), pa.array([best], kept.field(1).type)], ["input", "unit"])
 
     kinds = dict(pairs.dtypes)
-    return pairs.join(group, "unit").groupBy("group").applyInPandas(lambda pdf: decide(pdf.drop(columns="group")), f"input {kinds['input']}, unit {kinds['unit']}")
+    dealt = pairs.join(group, "unit").repartition("group").select("input", "unit").sortWithinPartitions("input", "unit")
+    return dealt.mapInArrow(decide, f"input {kinds['input']}, unit {kinds['unit']}")

@@ -218,3 +218,16 @@ def test_atomised_keeps_no_map_of_all_rows(spark):
     df = content.atomised(spark.createDataFrame([("a", 0, 5, "ref", "x")], "anchor string, start int, end int, kind string, target string"))
     once = df._jdf.queryExecution().optimizedPlan().children().head().toString()
     assert "Aggregate" not in once and "Window" in once
+
+
+def test_claims_hold_no_group_in_memory(spark):
+    """One group of many units and inputs is streamed in order of its inputs, not handed to Python as a whole; rows without a name take no part."""
+    pairs = spark.createDataFrame([(u, i) for i in range(300) for u in (i % 7, i % 11, i % 13)] + [(None, 5), (3, None)], "unit int, input int")
+    df = units.claims(pairs)
+    n, want = {}, {}
+    for i in range(300):
+        want[i] = u = min({i % 7, i % 11, i % 13}, key=lambda x: (n.get(x, 0), x))
+        n[u] = n.get(u, 0) + 1
+    got = [(r.input, r.unit) for r in df.collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString() and "Pandas" not in df._jdf.queryExecution().executedPlan().toString()
