@@ -90,3 +90,23 @@ def test_references_over_lines_and_beyond_the_text(spark):
     want = {s: raw[s:e].decode("utf-8", "replace") for _, s, e in spots if e <= len(raw)}
     assert {s: g[0] for s, g in got.items()} == want
     assert got[0][1:] == (1, 0, "äb") and got[3][1:] == (1, 3, "äb") and got[7][1:] == (3, 0, "ef")
+
+
+def test_pages_of_sets_take_one_shuffle_and_one_sort(spark):
+    from codelattice.operators import requests
+
+    rows = [(s, k, o % 3, f"d{o:02d}") for s in ("a", "b") for k, n in (("k1", 5), ("k2", 2), ("k3", 4)) for o in range(n)]
+    df = requests.paged_sets(spark.createDataFrame(rows, "src string, kind string, ordinal int, dst string"), 2)
+    want, page = {}, 0
+    for s in ("a", "b"):
+        page = 0
+        for k in ("k1", "k2", "k3"):
+            mine = sorted(r for r in rows if r[:2] == (s, k))
+            for i, r in enumerate(mine):
+                want[r] = f"{s}.{page + i // 2:010d}"
+            page += -(-len(mine) // 2)
+    got = {(r.src, r.kind, r.ordinal, r.dst): r.page_key for r in df.collect()}
+    assert got == want
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = plan[: plan.find("Initial Plan")]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and "Join" not in plan
