@@ -132,3 +132,12 @@ def test_lookups_are_filled_in():
     assert show({"kind": "LOOKUP_BY_PARAM", "lookup_index": 3}) == show({"kind": "LOOKUP_BY_TPARAM"}) == "???"
     assert show({"kind": "LOOKUP_BY_PARAM", "lookup_index": 1, "pre_text": "kept"}) == "kept"
     assert show({"kind": "LOOKUP_BY_TYPED"}) == ""
+
+
+def test_the_span_of_an_empty_text_moves_behind_what_is_added(spark):
+    from codelattice.functions import diff, spans
+
+    t = spark.createDataFrame([(1, ""), (2, "a\n")], "doc_id int, old string").withColumn("new", F.concat(F.lit("ADDED\n"), F.col("old")))
+    lines = spans.line_index(t, "doc_id", "old").select("doc_id", F.col("line_start").alias("start"), (F.col("line_start") + F.col("line_bytes")).alias("end"))
+    got = {tuple(r) for r in spans.patched(lines, diff.edits(t, "doc_id", "old", "new"), "doc_id").select("doc_id", "start", "end").collect()}
+    assert got == {(1, 6, 6), (2, 6, 7), (2, 8, 8)}
