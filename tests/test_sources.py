@@ -98,3 +98,21 @@ def test_archives_written_and_tar(spark, tmp_path):
         info.size = 2
         t.addfile(info, io.BytesIO(b"hi"))
     assert [(r.name, bytes(r.content)) for r in kzip.read_members(spark, str(tmp_path / "t")).collect()] == [("d/e.txt", b"hi")]
+
+
+def test_a_name_is_encoded_once_and_records_are_those_of_single_entries(spark, monkeypatch):
+    from codelattice.model import ENTRY
+    from codelattice.sources import entries, wire
+
+    n, m = ("é", "c", "", "p" * 200, "x"), ("", "", "", "", "")
+    rows = [(n, "", None, "/f", b"v" * 300), (n, "", None, "/g", b""), (n, "/e", m, "/", b""), (m, "/e", n, "/", b"")] * 3
+    df = spark.createDataFrame(rows, ENTRY).coalesce(1)
+    got = entries.encoded(df)
+    as_dict = lambda v: v and dict(zip(wire.FIELDS, v, strict=True))
+    want = [wire.delimited(wire.encode_entry({"source": as_dict(s), "edge_kind": k, "target": as_dict(t), "fact_name": f, "fact_value": x})) for s, k, t, f, x in rows]
+    assert sorted(bytes(r.record) for r in got.collect()) == sorted(want)
+    assert sorted(map(str, entries.decoded(got).collect())) == sorted(map(str, df.collect()))
+    calls, real = [], wire.encode_vname
+    monkeypatch.setattr(wire, "encode_vname", lambda v: calls.append(v) or real(v))
+    names = wire.Names()
+    assert len({names.encode(n) for _ in range(5)}) == 1 and len(calls) == 1
