@@ -104,3 +104,29 @@ def test_queries_that_share_common_terms_go_together():
     assert [asks[ends[i] : ends[i + 1]].tolist() for i in range(6)] == [asked[q] for q in order]
     at = np.argsort(order)
     assert abs(at[0] - at[3]) == 1 and abs(at[1] - at[4]) == 1
+
+
+def test_a_shard_is_packed_and_read_in_little_memory():
+    """Bytes a posting that packing and reading a shard take at most: 41.4 and 38.5 here; 64.6 and 43.7 before."""
+    import tracemalloc
+
+    import numpy as np
+
+    from codelattice.llm import bm25
+
+    r = np.random.default_rng(5)
+    n, per = 4_000, 100
+    of = np.repeat(np.arange(n), per).astype(np.uint16)
+    h = (r.zipf(1.3, n * per) % 5_000).astype(np.uint64)
+    tf = np.ones(n * per, np.uint32)
+
+    def most(f):
+        tracemalloc.start()
+        out = f()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, peak / (n * per)
+
+    row, packing = most(lambda: bm25.packed_index(np.arange(n), of, h, tf, np.full(n, per, np.uint32)))
+    _, reading = most(lambda: bm25.Shard(row, float(per)))
+    assert packing < 50 and reading < 41
